@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..model import ItemField
-from .lets import let
+from .lets import let, shared
 from .urls import http_url
 
 _INT_TEXT = r"\A\s*[+-]?\d+(?:_\d+)*(?:\.0+)?\s*\z"
@@ -121,15 +121,12 @@ _NULL_TEXT = {
 }
 
 
-def check_value(field: ItemField, v: Column, kind: Column) -> Column:
-    """Check value text ``v`` of kind ``kind`` ('str', 'int', 'float', 'bool', 'absent').
-
-    Struct of ``value`` (NULL when unusable), ``error`` (NULL when acceptable) and,
-    for a datetime, the instant ``stamp``.
-    """
-    present = lambda c: _CHECKS[field.kind](c, kind)
-    if field.required:
-        missing = F.when(kind == "absent", F.lit("Field required")).otherwise(F.lit(_NULL_TEXT[field.kind]))
+@shared
+def _check_tagged(x: Column, field_kind: str, required: bool) -> Column:
+    v, kind = x["v"], x["k"]
+    present = lambda c: _CHECKS[field_kind](c, kind)
+    if required:
+        missing = F.when(kind == "absent", F.lit("Field required")).otherwise(F.lit(_NULL_TEXT[field_kind]))
     else:
         missing = F.lit(None).cast("string")
 
@@ -137,8 +134,17 @@ def check_value(field: ItemField, v: Column, kind: Column) -> Column:
         error = F.when(v.isNull(), missing).otherwise(r["error"])
         good = v.isNotNull() & r["error"].isNull()
         out = [F.when(good, r["value"]).alias("value"), error.alias("error")]
-        if field.kind == "datetime":
+        if field_kind == "datetime":
             out.append(F.when(good, r["stamp"]).alias("stamp"))
         return F.struct(*out)
 
-    return let(let(v, present), settle)
+    return let(present(v), settle)
+
+
+def check_value(field: ItemField, v: Column, kind: Column) -> Column:
+    """Check value text ``v`` of kind ``kind`` ('str', 'int', 'float', 'bool', 'absent').
+
+    Struct of ``value`` (NULL when unusable), ``error`` (NULL when acceptable) and,
+    for a datetime, the instant ``stamp``.
+    """
+    return _check_tagged(F.struct(v.alias("v"), kind.alias("k")), field.kind, field.required)

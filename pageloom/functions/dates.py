@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from .lets import let
+from .lets import let, shared
 from .text import trim_ws
 
 _MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
@@ -147,6 +147,7 @@ def _iso(p: Column, day: Column) -> Column:
     return F.when(stamp.isNotNull() & ~bad_half & (p["second"] < 60), text)
 
 
+@shared
 def iso_date(c: Column, as_of: dt.date | None = None) -> Column:
     """ISO text of a free-form date or date-time; NULL when it is not one.
 

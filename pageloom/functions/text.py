@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .lets import shared
+
 # Whitespace as Python's str.strip() sees it: Unicode White_Space plus the four
 # ASCII separators U+001C..U+001F, which Java's class leaves out.
 WS = r"[\s\x1c-\x1f]"
@@ -62,6 +64,7 @@ def percent(rate: Column) -> Column:
     return F.concat(F.bround(rate * 100, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
+@shared
 def float_text(d: Column) -> Column:
     """A double in its shortest decimal form: '1.0', '150000.5', '1e+16', '1.5e-05'."""
     size = F.abs(d)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .lets import let
+from .lets import let, shared
 
 # Generic URL parts (RFC 3986, appendix B), one pattern per part.
 _SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 _AFTER_SCHEME = r"(?s)\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(.*)\z"
 
 
+@shared
 def split_url(url: Column) -> Column:
     """Struct of scheme, netloc, path, query and fragment; an absent part is ''."""
     clean = F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -82,7 +83,7 @@ def _relative(b: Column, r: Column) -> Column:
     return F.when(r["path"] == "", b["path"]).otherwise(resolved)
 
 
-def _resolve(base: Column, ref: Column, b: Column, r: Column) -> Column:
+def _resolve(ref: Column, b: Column, r: Column) -> Column:
     scheme = F.when(r["scheme"] == "", b["scheme"]).otherwise(r["scheme"])
     query = F.when((r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
     return (
@@ -92,19 +93,25 @@ def _resolve(base: Column, ref: Column, b: Column, r: Column) -> Column:
     )
 
 
-def resolve_url(base: Column, ref: Column) -> Column:
-    """Resolve ``ref`` against the page url ``base`` (RFC 3986 reference resolution).
-
-    An empty or NULL base leaves the reference alone; NULL stays NULL.
-    """
+@shared
+def _resolve_pair(pair: Column) -> Column:
+    base, ref = pair["base"], pair["ref"]
     return (
         F.when(ref.isNull(), F.lit(None).cast("string"))
         .when(F.coalesce(base, F.lit("")) == "", ref)
         .when(ref == "", base)
-        .otherwise(let(split_url(base), lambda b: let(split_url(ref), lambda r: _resolve(base, ref, b, r))))
+        .otherwise(let(split_url(base), lambda b: let(split_url(ref), lambda r: _resolve(ref, b, r))))
     )
 
 
+def resolve_url(base: Column, ref: Column) -> Column:
+    """Resolve ``ref`` against the page url ``base`` (RFC 3986 reference resolution).
+
+    An empty or NULL base leaves the reference alone; NULL stays NULL.
+    """
+    return _resolve_pair(F.struct(base.alias("base"), ref.alias("ref")))
+
+
 def _percent_encode(c: Column, unsafe: str) -> Column:
     """Percent-encode the characters matched by the class ``unsafe`` as UTF-8 bytes."""
     encoded = F.array_join(
@@ -153,6 +160,7 @@ def _http_error(text: Column, p: Column, a: Column) -> Column:
     )
 
 
+@shared
 def http_url(c: Column) -> Column:
     """Check and normalise an absolute http/https url: struct of ``value`` and ``error``.
 

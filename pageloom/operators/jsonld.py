@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.lets import let
+from ..functions.lets import let, shared
 from ..functions.text import float_text, trim_ws
 
 # One pass over the source: comments and other raw-text elements are consumed whole,
@@ -92,6 +92,7 @@ def type_matches(obj: Column, wanted: str | None) -> Column:
     return F.coalesce(single, F.lit(False)) | F.coalesce(F.exists(names, lambda n: n == wanted), F.lit(False))
 
 
+@shared
 def scalar_text(v: Column) -> Column:
     """Text of a JSON scalar: numbers and booleans spelled out, anything else NULL."""
     kind = _kind(v)
@@ -119,7 +120,7 @@ def path_text(obj: Column, dotted: str) -> Column:
         key = part.replace("\\", "\\\\").replace("'", "\\'")
         current = _member(current, f"['{key}']", through_lists=i > 0)
     leaf = let(current, lambda c: F.when(is_array(c), F.try_variant_get(c, "$[0]", "variant")).otherwise(c))
-    return let(leaf, scalar_text)
+    return scalar_text(leaf)
 
 
 def first_path_text(objects: Column, dotted: str) -> Column:
