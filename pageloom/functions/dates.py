@@ -76,10 +76,12 @@ def _partial(d: Column, as_of: dt.date) -> list[tuple[Column, Column]]:
 
 def _day_parts(d: Column, as_of: dt.date | None) -> Column:
     """(y, m, d) of a day text, NULL when no layout fits."""
-    layouts = [(d.rlike(p), _day(_num(d, p, y), _num(d, p, m), _num(d, p, g))) for p, y, m, g in _NUMERIC]
-    layouts += [
-        (d.rlike(p), _day(_num(d, p, y), _month_no(F.regexp_extract(d, p, m)), _num(d, p, g))) for p, y, m, g in _NAMED
+    named = d.rlike("[a-z]")
+    layouts = [
+        (named & d.rlike(p), _day(_num(d, p, y), _month_no(F.regexp_extract(d, p, m)), _num(d, p, g)))
+        for p, y, m, g in _NAMED
     ]
+    layouts += [(d.rlike(p), _day(_num(d, p, y), _num(d, p, m), _num(d, p, g))) for p, y, m, g in _NUMERIC]
     layouts.append((d.rlike(_SLASHED), _month_first(d)))
     if as_of is not None:
         layouts += _partial(d, as_of)
@@ -99,14 +101,28 @@ def _spread_compact(t: Column) -> Column:
 
 def _plain_day(d: Column) -> Column:
     """Day text in lower case, ordinals and punctuation gone, month names shortened."""
+    letters = lambda x: x.rlike("[a-z]")
     spaced = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _MONTH_WORDS, _SHORT_MONTH), r"[\s,\-/]+", " "))
     return let(
         F.regexp_replace(F.lower(d), r"(?<=\d)(?:st|nd|rd|th)\b", ""),
-        lambda x: F.when(x.rlike(_MONTH_WORDS), spaced(x)).otherwise(F.regexp_replace(F.trim(x), r",\z", "")),
+        lambda x: F.when(letters(x) & x.rlike(_MONTH_WORDS), spaced(x)).otherwise(F.regexp_replace(F.trim(x), r",\z", "")),
+    )
+
+
+def _no_clock(t: Column) -> Column:
+    nothing, zero = F.lit(""), F.lit(0)
+    return F.struct(
+        _plain_day(t).alias("day"), zero.alias("hour"), zero.alias("minute"), zero.alias("second"),
+        nothing.alias("micros"), nothing.alias("half"), nothing.alias("zone"),
     )
 
 
 def _pieces(t: Column) -> Column:
+    """Day text and clock parts; only text with a colon can hold a clock."""
+    return F.when(F.contains(t, F.lit(":")), _with_clock(t)).otherwise(_no_clock(t))
+
+
+def _with_clock(t: Column) -> Column:
     clock = lambda i: F.regexp_extract(t, _CLOCK, i)
     number = lambda i: F.coalesce(clock(i).try_cast("int"), F.lit(0))
     return F.struct(
@@ -155,5 +171,6 @@ def iso_date(c: Column, as_of: dt.date | None = None) -> Column:
     the date make it NULL. Partial dates ('May 2024', '2024', '10:30') need
     ``as_of`` to fill the missing parts and are NULL without it.
     """
-    text = let(F.regexp_replace(trim_ws(c), _WEEKDAY, ""), _spread_compact)
+    day_first = lambda t: F.when(t.rlike(r"\A\d"), t).otherwise(F.regexp_replace(t, _WEEKDAY, ""))
+    text = let(let(trim_ws(c), day_first), _spread_compact)
     return let(let(text, _pieces), lambda p: let(_day_parts(p["day"], as_of), lambda d: _iso(p, d)))

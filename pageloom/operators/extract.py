@@ -207,21 +207,24 @@ def extract_by_spec(
     as_of: dt.date | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows of pages that name their spec in ``spec_id``: many templates, one pass.
+    """Rows of pages that list their specs in ``assigned``: many templates, one pass.
 
-    Up to ``SPECS_PER_PLAN`` specs share a scan, each page evaluating only its own
+    ``assigned`` is an array of structs with ``spec_id`` and the ``keep`` fields, which
+    tell apart several specs tried on one page; a page is shredded once for all of them.
+    Up to ``SPECS_PER_PLAN`` specs share a scan, each assignment evaluating only its own
     branch; larger sets are unions of such plans. Fields come out as
     ``struct<v: string, k: string>`` (value and kind; kind 'absent' when the spec has
     no such field).
     """
-    source = pages.select("page_id", F.col("url").alias("page_url"), "html", "spec_id", *keep)
+    source = pages.select("page_id", F.col("url").alias("page_url"), "html", "assigned")
     parts = []
     names = sorted(specs)
     for at in range(0, len(names), SPECS_PER_PLAN):
         group = names[at : at + SPECS_PER_PLAN]
-        prepared = _prepare(
-            source.where(F.col("spec_id").isin(group)), [specs[n] for n in group], cardinality
-        )
+        mine = F.filter("assigned", lambda a: a["spec_id"].isin(group))
+        chosen = source.withColumn("assigned", mine).where(F.size("assigned") > 0)
+        prepared = _prepare(chosen, [specs[n] for n in group], cardinality)
+        prepared = prepared.withColumn("a", F.explode("assigned")).select("*", "a.*")
         branches = [
             (F.col("spec_id") == n, _tagged_rows(specs[n], cardinality, fields, as_of)) for n in group
         ]

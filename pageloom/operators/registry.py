@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import sha_prefix
 from ..model import SELECTOR_TYPES, SPEC_SCHEMA, ExtractionSpec, ExtractionTarget
+from ..session import cut_lineage
 from .extract import extract_by_spec
 from .skew import latest, spread_join
 from .validate import check_rows, run_quality
@@ -56,7 +57,8 @@ def lookup(prints: DataFrame, registry: DataFrame, target_name: str) -> DataFram
     ``prints`` is narrow (page_id, url, fingerprint, …). An unreadable entry is a miss.
     A url that holds a large share of the pages is salted.
     """
-    keyed = prints.withColumn("cache_key", cache_key(F.col("url"), F.lit(target_name)))
+    # Checkpointed: the hot-key count and the join both read it, and it ends a heavy plan.
+    keyed = cut_lineage(prints.withColumn("cache_key", cache_key(F.col("url"), F.lit(target_name))))
     rest = [c for c in registry.columns if c != "cache_key"]
     entries = registry.where((F.col("target_name") == target_name) & readable_spec(F.col("spec_json"))).select(
         "cache_key", F.struct(*rest).alias("entry")
@@ -92,6 +94,12 @@ def with_spec_id(df: DataFrame) -> DataFrame:
     return df.withColumn("spec_id", sha_prefix(F.col("spec_json")))
 
 
+def assign(pages: DataFrame, assigned: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pages with their list of specs, one entry per attempt on the page."""
+    lists = assigned.groupBy("page_id").agg(F.collect_list(F.struct("spec_id", *keys)).alias("assigned"))
+    return pages.select("page_id", "url", "html").join(lists, "page_id")
+
+
 def evaluate_assigned(
     pages: DataFrame,
     assigned: DataFrame,
@@ -109,9 +117,8 @@ def evaluate_assigned(
     if not specs:
         empty = assigned.select(*run_keys).where(F.lit(False))
         return run_quality(check_rows(empty, target, run_keys), empty, target, run_keys)
-    work = pages.join(assigned.select("spec_id", *run_keys), "page_id")
     rows = extract_by_spec(
-        work, specs, [f.name for f in target.fields], target.cardinality, as_of, keep=keys
+        assign(pages, assigned, keys), specs, [f.name for f in target.fields], target.cardinality, as_of, keep=keys
     )
     checked = check_rows(rows, target, run_keys)
     return run_quality(checked, assigned, target, run_keys)
@@ -130,6 +137,7 @@ def decide(
         return found.withColumn(
             "cache_status", cache_status(F.lit(None).cast("boolean"), F.col("fingerprint"), F.col("entry"), use_cache, refresh)
         )
+    found = cut_lineage(found)
     unchanged = with_spec_id(
         found.where(F.col("entry.fingerprint") == F.col("fingerprint")).select(
             "page_id", F.col("entry.spec_json").alias("spec_json")

@@ -104,54 +104,87 @@ def _unescape(raw: bytes) -> str:
     return htmllib.unescape(text) if "&" in text else text
 
 
+# Facts known when an element opens, in the order of the tuples kept per element.
+_AT_OPEN = (
+    "node_id", "parent_id", "prev_id", "depth", "sib_pos", "tag_pos", "anc", "tag", "classes", "attrs",
+    "noise", "t0", "v0", "h0",
+)
+
+
 class _Tree:
     """Element tree of one page, grown tag by tag."""
 
     def __init__(self) -> None:
-        self.cols: dict[str, list] = {name: [] for name in _NODE}
-        self.pieces: dict[str, list[bytes]] = {"text": [], "visible": []}
-        self.size = {"text": 0, "visible": 0}
-        self.rendered: list[str] = []
-        self.stack: list[int] = []
+        self.opened: list[tuple] = []
+        self.tags: list[str] = []
+        self.end_id: list[int] = []
+        self.t1: list[int] = []
+        self.v1: list[int] = []
+        self.h1: list[int] = []
+        self.noise: list[bool] = []
+        self.unrendered: list[bool] = []
         self.kids: list[int] = []
         self.last_kid: list[int] = []
         self.tag_count: list[dict[str, int]] = []
         self.own: list[list[str]] = []
-        self.unrendered: list[bool] = []
+        self.text_parts: list[bytes] = []
+        self.visible_parts: list[bytes] = []
+        self.text_size = self.visible_size = 0
+        self.rendered: list[str] = []
+        self.stack: list[int] = []
+        self.html_attrs: dict[str, str] = {}
         self.head = self.body = -1
 
     def open(self, tag: str, attrs: dict[str, str], pos: int) -> None:
-        c, me = self.cols, len(self.own)
-        parent = self.stack[-1] if self.stack else -1
-        noisy = tag in NOISE or (parent >= 0 and c["noise"][parent])
-        if parent >= 0:
-            self.kids[parent] += 1
+        me, stack = len(self.tags), self.stack
+        if stack:
+            parent = stack[-1]
+            self.kids[parent] = sib_pos = self.kids[parent] + 1
             counts = self.tag_count[parent]
-            counts[tag] = counts.get(tag, 0) + 1
-        facts = {
-            "node_id": me, "end_id": me, "parent_id": parent,
-            "prev_id": self.last_kid[parent] if parent >= 0 else -1,
-            "depth": len(self.stack), "sib_pos": self.kids[parent] if parent >= 0 else 1, "n_sib": 1,
-            "tag_pos": self.tag_count[parent][tag] if parent >= 0 else 1,
-            "anc": self.stack[:], "tag": tag, "classes": attrs.get("class", "").split(),
-            "attrs": list(attrs.items()), "own_text": None, "noise": noisy,
-            "t0": self.size["text"], "t1": 0, "v0": self.size["visible"], "v1": 0, "h0": pos, "h1": pos,
-        }
-        for name, value in facts.items():
-            c[name].append(value)
-        if parent >= 0:
-            self.last_kid[parent] = me
-        self.kids.append(0), self.last_kid.append(-1), self.tag_count.append({}), self.own.append([])
-        self.unrendered.append(tag in UNRENDERED or (parent >= 0 and self.unrendered[parent]))
-        self.stack.append(me)
+            counts[tag] = tag_pos = counts.get(tag, 0) + 1
+            prev, self.last_kid[parent] = self.last_kid[parent], me
+            noise = self.noise[parent] or tag in NOISE
+            hidden = self.unrendered[parent] or tag in UNRENDERED
+        else:
+            parent, sib_pos, tag_pos, prev, noise, hidden = -1, 1, 1, -1, False, False
+        cls = attrs.get("class")
+        self.opened.append(
+            (me, parent, prev, len(stack), sib_pos, tag_pos, stack[:], tag, cls.split() if cls else [],
+             list(attrs.items()) if attrs else [], noise, self.text_size, self.visible_size, pos)
+        )
+        self.tags.append(tag)
+        self.end_id.append(me)
+        self.t1.append(0)
+        self.v1.append(0)
+        self.h1.append(pos)
+        self.noise.append(noise)
+        self.unrendered.append(hidden)
+        self.kids.append(0)
+        self.last_kid.append(-1)
+        self.tag_count.append({})
+        self.own.append([])
+        stack.append(me)
 
     def close_top(self, pos: int) -> None:
-        me, c = self.stack.pop(), self.cols
-        c["end_id"][me] = len(self.own) - 1
-        c["t1"][me], c["v1"][me], c["h1"][me] = self.size["text"], self.size["visible"], pos
+        me = self.stack.pop()
+        self.end_id[me] = len(self.tags) - 1
+        self.t1[me], self.v1[me], self.h1[me] = self.text_size, self.visible_size, pos
+
+    def columns(self, names: tuple[str, ...]) -> list[list]:
+        """Node columns by name, one value per element."""
+        made = dict(zip(_AT_OPEN, zip(*self.opened)))
+        made.update(end_id=self.end_id, t1=self.t1, v1=self.v1, h1=self.h1)
+        if "n_sib" in names:
+            made["n_sib"] = [self.kids[p] if p >= 0 else 1 for p in made["parent_id"]]
+        if "own_text" in names:
+            made["own_text"] = ["".join(parts) for parts in self.own]
+        if self.html_attrs:
+            made["attrs"] = [list(self.html_attrs.items()), *made["attrs"][1:]]
+            made["classes"] = [self.html_attrs.get("class", "").split(), *made["classes"][1:]]
+        return [made[n] for n in names]
 
     def tag_of(self, depth: int) -> str:
-        return self.cols["tag"][self.stack[depth]]
+        return self.tags[self.stack[depth]]
 
     def close_to(self, depth: int, pos: int, end: int) -> None:
         """Close everything above ``depth`` at ``pos`` and that element itself at ``end``."""
@@ -171,27 +204,25 @@ class _Tree:
     def enter_body(self, pos: int, attrs: dict[str, str] | None = None) -> None:
         while len(self.stack) > 1:
             self.close_top(pos)
-        self.body = len(self.own)
+        self.body = len(self.tags)
         self.open("body", attrs or {}, pos)
 
     def start(self, tag: str, attrs: dict[str, str], pos: int, end: int) -> None:
         if tag == "html":
-            known = dict(self.cols["attrs"][0])
-            self.cols["attrs"][0] = list({**attrs, **known}.items())
-            self.cols["classes"][0] = dict(self.cols["attrs"][0]).get("class", "").split()
+            self.html_attrs = {**attrs, **self.html_attrs}
             return
         if tag in ("head", "body"):
             if tag == "body" and self.body < 0:
                 self.enter_body(pos, attrs)
             elif tag == "head" and self.head < 0 and self.body < 0:
-                self.head = len(self.own)
+                self.head = len(self.tags)
                 self.open("head", attrs, pos)
             return
         if self.body < 0:
             if tag not in HEAD_ONLY and not (tag in ("noscript", "template") and self.head >= 0):
                 self.enter_body(pos)
             elif self.head < 0:
-                self.head = len(self.own)
+                self.head = len(self.tags)
                 self.open("head", {}, pos)
             elif len(self.stack) == 1:
                 self.stack.append(self.head)
@@ -222,12 +253,12 @@ class _Tree:
                 return
             self.enter_body(pos)
         me, data = self.stack[-1], value.encode("utf-8", "replace")
-        self.pieces["text"].append(data)
-        self.size["text"] += len(data)
+        self.text_parts.append(data)
+        self.text_size += len(data)
         self.own[me].append(value)
-        if not self.cols["noise"][me]:
-            self.pieces["visible"].append(data)
-            self.size["visible"] += len(data)
+        if not self.noise[me]:
+            self.visible_parts.append(data)
+            self.visible_size += len(data)
         if self.body >= 0 and not self.unrendered[me]:
             self.rendered.append(value)
 
@@ -236,9 +267,6 @@ class _Tree:
             self.enter_body(pos)
         while self.stack:
             self.close_top(pos)
-        c = self.cols
-        c["n_sib"] = [self.kids[p] if p >= 0 else 1 for p in c["parent_id"]]
-        c["own_text"] = ["".join(parts) for parts in self.own]
 
 
 def parse_page(source: bytes) -> _Tree:
@@ -265,7 +293,7 @@ def parse_page(source: bytes) -> _Tree:
             value = next((g for g in a.groups()[1:] if g is not None), "")
             attrs.setdefault(a[1].lower(), htmllib.unescape(value) if "&" in value else value)
         tree.start(tag, attrs, m.start(), m.end())
-        if tag in RAW_TEXT and tree.cols["tag"][tree.stack[-1]] == tag:
+        if tag in RAW_TEXT and tree.tags[tree.stack[-1]] == tag:
             stop = re.compile(rb"</" + re.escape(name) + rb"(?=[\s/>])[^>]*>?", re.I).search(source, at)
             inner_end, after = (stop.start(), stop.end()) if stop else (n, n)
             tree.text(source[at:inner_end], tag in ("textarea", "title"), at)
@@ -279,17 +307,25 @@ def parse_page(source: bytes) -> _Tree:
 def _arrow_nodes(trees: list[_Tree | None], fields: tuple[str, ...]) -> pa.Array:
     offsets, total = [0], 0
     for tree in trees:
-        total += len(tree.own) if tree else 0
+        total += len(tree.tags) if tree else 0
         offsets.append(total)
-    columns = [
-        pa.array([v for tree in trees if tree for v in tree.cols[name]], type=_NODE[name][1])
-        for name in fields
-    ]
+    merged: list[list] = [[] for _ in fields]
+    for tree in trees:
+        if tree:
+            for target, column in zip(merged, tree.columns(fields)):
+                target.extend(column)
+    columns = [pa.array(values, type=_NODE[name][1]) for name, values in zip(fields, merged)]
     return pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=list(fields))
     )
 
 
+def _page_value(tree: _Tree, name: str) -> bytes | str:
+    if name == "body_text":
+        return " ".join(tree.rendered)
+    return b"".join(tree.text_parts if name == "text" else tree.visible_parts)
+
+
 def _shredder(carry: list[str], fields: tuple[str, ...], page_fields: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -299,10 +335,7 @@ def _shredder(carry: list[str], fields: tuple[str, ...], page_fields: tuple[str,
                 trees = [parse_page(s.encode("utf-8", "replace")) if s is not None else None for s in sources]
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in carry]
                 for name in page_fields:
-                    if name == "body_text":
-                        values = [" ".join(t.rendered) if t else None for t in trees]
-                    else:
-                        values = [b"".join(t.pieces[name]) if t else None for t in trees]
+                    values = [_page_value(t, name) if t else None for t in trees]
                     arrays.append(pa.array(values, type=_PAGE[name][1]))
                 arrays.append(_arrow_nodes(trees, fields))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *page_fields, "nodes"])

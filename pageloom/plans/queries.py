@@ -171,9 +171,8 @@ def cards_jsonld(spark, sf):
 
 def cards_by_spec(spark, sf):
     """Each board read by its own spec in one pass; fields come with their kinds."""
-    pages = bd.board_pages(spark, sf).withColumn(
-        "spec_id", F.element_at(F.array(F.lit("css"), F.lit("xpath"), F.lit("jsonld")), (F.col("page_id") % 3 + 1).cast("int"))
-    )
+    name = F.element_at(F.array(F.lit("css"), F.lit("xpath"), F.lit("jsonld")), (F.col("page_id") % 3 + 1).cast("int"))
+    pages = bd.board_pages(spark, sf).withColumn("assigned", F.array(F.struct(name.alias("spec_id"))))
     specs = {"css": bd.CSS_SPEC, "xpath": bd.XPATH_SPEC, "jsonld": bd.JSONLD_SPEC}
     rows = extract_by_spec(pages, specs, ["title", "salary_min", "missing"])
     return rows.select(
@@ -413,7 +412,7 @@ def repair_requests(spark, sf):
     evaluated = cand.evaluate_candidates(pages, _two_proposals(pages), JOB_POSTINGS)
     assigned = evaluated.select("page_id", "attempt", "spec_id", "spec_json")
     specs = reg.load_specs(assigned)
-    work = pages.select("page_id", "url", "html").join(assigned.select("page_id", "attempt", "spec_id"), "page_id")
+    work = reg.assign(pages, assigned, ("attempt",))
     rows = extract_by_spec(work, specs, [f.name for f in JOB_POSTINGS.fields], keep=("attempt",))
     messages = row_errors(check_rows(rows, JOB_POSTINGS, ("page_id", "attempt", "row_no")), ("page_id", "attempt"))
     texts = cand.repair_requests(sm.page_summary(pages), evaluated, messages, JOB_POSTINGS)
