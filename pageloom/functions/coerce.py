@@ -11,6 +11,7 @@ from .urls import http_url
 _INT_TEXT = r"\A\s*[+-]?\d+(?:_\d+)*(?:\.0+)?\s*\z"
 _DATE = r"\A(\d{4})-(\d{2})-(\d{2})"
 _DATETIME = _DATE + r"(?:[Tt _](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?\z"
+_LOCAL = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 _EPOCH = r"\A\s*[+-]?\d+(?:\.\d+)?\s*\z"
 
 
@@ -65,7 +66,12 @@ def _iso_datetime(v: Column) -> Column:
             ),
         )
 
-    return F.when(v.rlike(_DATETIME), let(pieces, spell))
+    # The common case, as the date transform writes it: a full local time.
+    plain = let(
+        F.concat(v, F.lit("Z")).try_cast("timestamp"),
+        lambda s: F.when(s.isNotNull(), F.struct(v.alias("text"), s.alias("stamp"))),
+    )
+    return F.when(v.rlike(_LOCAL), plain).when(v.rlike(_DATETIME), let(pieces, spell))
 
 
 def _epoch_datetime(v: Column) -> Column:

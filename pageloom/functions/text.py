@@ -21,7 +21,7 @@ def collapse_ws(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """NULL or whitespace only."""
-    return F.coalesce(trim_ws(c.cast("string")), F.lit("")) == ""
+    return ~F.coalesce(c.cast("string").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def sha_prefix(c: Column, n: int = 16) -> Column:

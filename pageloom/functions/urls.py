@@ -93,11 +93,17 @@ def _resolve(ref: Column, b: Column, r: Column) -> Column:
     )
 
 
+# The common case: a rooted path without dots, blanks, query or fragment, on an http page.
+_ROOTED = r"\A(?!.*/\.)/(?!/)[^\x00-\x20?#;]*\z"
+_ORIGIN = r"\A(https?://[^/?#\s]+)"
+
+
 @shared
 def _resolve_pair(pair: Column) -> Column:
     base, ref = pair["base"], pair["ref"]
     return (
         F.when(ref.isNull(), F.lit(None).cast("string"))
+        .when(ref.rlike(_ROOTED) & F.coalesce(base.rlike(_ORIGIN), F.lit(False)), F.concat(F.regexp_extract(base, _ORIGIN, 1), ref))
         .when(F.coalesce(base, F.lit("")) == "", ref)
         .when(ref == "", base)
         .otherwise(let(split_url(base), lambda b: let(split_url(ref), lambda r: _resolve(ref, b, r))))
@@ -160,6 +166,10 @@ def _http_error(text: Column, p: Column, a: Column) -> Column:
     )
 
 
+# A url that is already in output form: lower-case host, no port, no dots, nothing to encode.
+_CLEAN = r"\A(?!.*/\.)https?://[a-z0-9.\-]+/(?:[\x21\x24-\x26\x28-\x3b=?-\x5b\x5d_a-z~])*\z"
+
+
 @shared
 def http_url(c: Column) -> Column:
     """Check and normalise an absolute http/https url: struct of ``value`` and ``error``.
@@ -176,4 +186,8 @@ def http_url(c: Column) -> Column:
             lambda e: F.struct(F.when(e.isNull(), _http_value(p, a)).alias("value"), e.alias("error")),
         )
 
-    return let(text, lambda t: let(split_url(t), lambda p: let(_authority(p), lambda a: judge(t, p, a))))
+    def slow(t: Column) -> Column:
+        return let(split_url(t), lambda p: let(_authority(p), lambda a: judge(t, p, a)))
+
+    as_is = lambda t: F.struct(t.alias("value"), F.lit(None).cast("string").alias("error"))
+    return let(text, lambda t: F.when(t.rlike(_CLEAN) & (F.length(t) <= 2083), as_is(t)).otherwise(slow(t)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -129,11 +129,11 @@ def _page_values(specs: list[ExtractionSpec]) -> Column:
     return F.create_map(*pairs)
 
 
-def _prepare(pages: DataFrame, specs: list[ExtractionSpec], cardinality: str) -> DataFrame:
+def _prepare(pages: DataFrame, specs: list[ExtractionSpec], cardinality: str, tree: bool = False) -> DataFrame:
     """Add the page-level columns the specs read: nodes and text, objects, page_values."""
     needs = [_needs(s, cardinality) for s in specs]
     out = pages
-    if any(n.tree for n in needs):
+    if tree or any(n.tree for n in needs):
         regex = any(r.selector_type == "regex" for s in specs for r in s.field_rules)
         keep = regex or any(n.objects for n in needs)
         out = shred(out, keep_html=keep)
@@ -149,6 +149,45 @@ def _value(rule: FieldRule, raw: Column, as_of: dt.date | None) -> Column:
     return apply_transform(rule.transform, raw, F.col("page_url"), as_of)
 
 
+def _next_value(spec: ExtractionSpec) -> Column:
+    """Absolute next-page url of a page, NULL without one."""
+    if not spec.next_page_selector:
+        return F.lit(None).cast("string")
+    rule = FieldRule("next", spec.next_page_selector, spec.next_page_selector_type, spec.next_page_attribute)
+    root = F.get(F.col("nodes"), F.lit(0))
+    return let(
+        _tree_value(rule, F.col("nodes"), F.col("text"), root),
+        lambda v: F.when(v != "", resolve_url(F.col("page_url"), v)),
+    )
+
+
+def extract_pages(
+    pages: DataFrame, spec: ExtractionSpec, cardinality: str = "many", keep: tuple[str, ...] = (), links: bool = True
+) -> DataFrame:
+    """One row per page from a single shred: ``page_id, page_url, *keep, next_url, raw_rows``."""
+    clash = {"page_id", "page_url", "row_no", *keep} & set(spec.effective_rules())
+    if clash:
+        raise ValueError(f"field names {sorted(clash)} are taken by row keys")
+    source = pages.select("page_id", F.col("url").alias("page_url"), "html", *keep)
+    tree = links and spec.next_page_selector is not None
+    prepared = _prepare(source, [spec], cardinality, tree)
+    link = _next_value(spec) if tree else F.lit(None).cast("string")
+    return prepared.select(
+        "page_id", "page_url", *keep, link.alias("next_url"), _raw_rows(spec, cardinality).alias("raw_rows")
+    )
+
+
+def rows_of(
+    extracted: DataFrame, spec: ExtractionSpec, as_of: dt.date | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Explode the raw rows of ``extract_pages`` and apply the transforms."""
+    rows = extracted.select("page_id", "page_url", *keep, F.posexplode("raw_rows").alias("row_no", "raw"))
+    return rows.select(
+        "page_id", "page_url", *keep, "row_no",
+        *[_value(rule, F.col("raw")[name], as_of).alias(name) for name, rule in spec.effective_rules().items()],
+    )
+
+
 def extract(
     pages: DataFrame,
     spec: ExtractionSpec,
@@ -161,19 +200,7 @@ def extract(
     ``pages`` has ``page_id``, ``url`` and ``html``. ``row_no`` counts from 0 in
     document order within the page. Field columns take the type of their transform.
     """
-    rules = spec.effective_rules()
-    clash = {"page_id", "page_url", "row_no", *keep} & set(rules)
-    if clash:
-        raise ValueError(f"field names {sorted(clash)} are taken by row keys")
-    source = pages.select("page_id", F.col("url").alias("page_url"), "html", *keep)
-    prepared = _prepare(source, [spec], cardinality)
-    rows = prepared.select(
-        "page_id", "page_url", *keep, F.posexplode(_raw_rows(spec, cardinality)).alias("row_no", "raw")
-    )
-    return rows.select(
-        "page_id", "page_url", *keep, "row_no",
-        *[_value(rule, F.col("raw")[name], as_of).alias(name) for name, rule in rules.items()],
-    )
+    return rows_of(extract_pages(pages, spec, cardinality, keep, links=False), spec, as_of, keep)
 
 
 def _tagged(rule: FieldRule | None, raw: Column | None, as_of: dt.date | None) -> Column:
@@ -239,16 +266,14 @@ def extract_by_spec(
     return reduce(DataFrame.unionByName, parts)
 
 
+def links_of(extracted: DataFrame) -> DataFrame:
+    """Next links among the pages of ``extract_pages``: ``page_id, src_url, dst_url``."""
+    return extracted.where(F.col("next_url").isNotNull()).select(
+        "page_id", F.col("page_url").alias("src_url"), F.col("next_url").alias("dst_url")
+    )
+
+
 def next_links(pages: DataFrame, spec: ExtractionSpec) -> DataFrame:
     """``page_id, src_url, dst_url`` for every page whose spec finds a next-page link."""
-    if not spec.next_page_selector:
-        return pages.select(
-            "page_id", F.col("url").alias("src_url"), F.lit(None).cast("string").alias("dst_url")
-        ).where(F.lit(False))
-    rule = FieldRule(
-        "next", spec.next_page_selector, spec.next_page_selector_type, spec.next_page_attribute
-    )
-    found = extract(pages, ExtractionSpec((rule,)), "one")
-    return found.where(F.coalesce(F.col("next"), F.lit("")) != "").select(
-        "page_id", F.col("page_url").alias("src_url"), resolve_url(F.col("page_url"), F.col("next")).alias("dst_url")
-    )
+    only_link = replace(spec, field_rules=(), container_selector=None, container_selector_type="css")
+    return links_of(extract_pages(pages, only_link, "one"))
