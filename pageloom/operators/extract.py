@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -81,21 +81,43 @@ def _tree_value(rule: FieldRule, nodes: Column, text: Column, root: Column) -> C
     return let(first_match(sel, nodes, root), read)
 
 
-def _dom_row(spec: ExtractionSpec, root: Column, slice_html: bool) -> Column:
-    nodes, text, html = F.col("nodes"), F.col("text"), F.col("html")
+def _dom_row(spec: ExtractionSpec, root: Column, page: dict[str, Column], slice_html: bool) -> Column:
     values = []
     for name, rule in spec.effective_rules().items():
         if rule.selector_type in ("css", "xpath"):
-            value = _tree_value(rule, nodes, text, root)
+            value = _tree_value(rule, F.col("nodes"), page["text"], root)
         elif rule.selector_type == "regex":
-            source = text_slice(html.cast("binary"), root["h0"], root["h1"]) if slice_html else html
+            source = text_slice(page["html"], root["h0"], root["h1"]) if slice_html else F.col("html")
             value = _regex_value(source, rule.selector)
         else:
-            value = F.try_element_at(F.col("page_values"), F.lit(rule.selector))
+            value = F.try_element_at(page["values"], F.lit(rule.selector))
         values.append(value.alias(name))
     return F.struct(*values) if values else F.struct(F.lit(None).cast("string").alias("_"))
 
 
+def _with_page(spec: ExtractionSpec, tree: bool, body: Callable[[dict[str, Column]], Column]) -> Column:
+    """Bind the page-level values the rules read, once per page.
+
+    Reading a binary column copies it, and a projected column may be inlined where it
+    is used; inside a lambda over containers either would repeat per container.
+    """
+    kinds = {r.selector_type for r in spec.effective_rules().values()}
+    wanted = {}
+    if tree and kinds & {"css", "xpath"}:
+        wanted["text"] = F.col("text")
+    if tree and "regex" in kinds:
+        wanted["html"] = F.col("html").cast("binary")
+    if "json_ld" in kinds:
+        wanted["values"] = F.col("page_values")
+
+    def bind(names: list[str], page: dict[str, Column]) -> Column:
+        if not names:
+            return body(page)
+        return let(wanted[names[0]], lambda v: bind(names[1:], {**page, names[0]: v}))
+
+    return bind(list(wanted), {})
+
+
 def _raw_rows(spec: ExtractionSpec, cardinality: str) -> Column:
     """``array<struct<field: string>>``: the untransformed rows of one page."""
     rules = spec.effective_rules()
@@ -113,11 +135,15 @@ def _raw_rows(spec: ExtractionSpec, cardinality: str) -> Column:
         )
     if cardinality == "many":
         containers = select_nodes(_container_selector(spec), F.col("nodes"))
-        return F.transform(containers, lambda c: _dom_row(spec, c, slice_html=True))
+        return _with_page(
+            spec, True, lambda page: F.transform(containers, lambda c: _dom_row(spec, c, page, slice_html=True))
+        )
     if not _needs(spec, cardinality).tree:
-        return F.array(_dom_row(spec, F.lit(None), slice_html=False))
+        return _with_page(spec, False, lambda page: F.array(_dom_row(spec, F.lit(None), page, slice_html=False)))
     whole = F.slice(F.col("nodes"), 1, 1)
-    return F.transform(whole, lambda c: _dom_row(spec, c, slice_html=False))
+    return _with_page(
+        spec, True, lambda page: F.transform(whole, lambda c: _dom_row(spec, c, page, slice_html=False))
+    )
 
 
 def _page_values(specs: list[ExtractionSpec]) -> Column:
@@ -125,8 +151,10 @@ def _page_values(specs: list[ExtractionSpec]) -> Column:
     paths = sorted(
         {r.selector for s in specs for r in s.effective_rules().values() if r.selector_type == "json_ld"}
     )
-    pairs = [c for p in paths for c in (F.lit(p), jsonld.first_path_text(F.col("objects"), p))]
-    return F.create_map(*pairs)
+    return let(
+        F.col("objects"),
+        lambda objects: F.create_map(*[c for p in paths for c in (F.lit(p), jsonld.first_path_text(objects, p))]),
+    )
 
 
 def _prepare(pages: DataFrame, specs: list[ExtractionSpec], cardinality: str, tree: bool = False) -> DataFrame:

@@ -36,12 +36,13 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+# Shallow casts: the schema of a container would describe everything below it as well.
 def is_object(v: Column) -> Column:
-    return F.startswith(_kind(v), F.lit("OBJECT"))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.startswith(_kind(v), F.lit("ARRAY"))
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def _graph(v: Column) -> Column:

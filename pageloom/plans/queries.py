@@ -16,7 +16,7 @@ from ..operators import crawl as cr
 from ..operators import jsonld, policy
 from ..operators import registry as reg
 from ..operators import summary as sm
-from ..operators.extract import extract, extract_by_spec
+from ..operators.extract import extract, extract_by_spec, next_links
 from ..operators.fingerprint import fingerprints, template_census
 from ..operators.rendering import needs_render
 from ..operators.shred import dom_nodes
@@ -450,7 +450,7 @@ def _seeds(pages):
 
 def pagination_walk(spark, sf):
     pages = bd.board_pages(spark, sf)
-    walked = cr.walk(_seeds(pages), cr.next_links(pages, bd.CSS_SPEC), max_pages=7)
+    walked = cr.walk(_seeds(pages), next_links(pages, bd.CSS_SPEC), max_pages=7)
     return cr.mark_missing(walked, pages).select("seed", _long("seq"), "url", "missing_page")
 
 
