@@ -247,6 +247,13 @@ def test_detail_enrichment(spark, pages_of):
     assert rn.replay(pages, SPEC, TARGET)["quality"].where("ok").count() == pages.count()
 
 
+def test_copies_of_a_url_are_walked_once(spark, pages_of):
+    pages = pages_of(("https://h.example/l", listing("ab")), ("https://h.example/l", listing("cde")))
+    seeds = spark.createDataFrame([("s", "https://h.example/l")], "seed string, url string")
+    out = cr.crawl(pages, seeds, SPEC, TARGET, 2)
+    assert sorted((r.run_row, r.title) for r in out["rows"].collect()) == [(0, "c"), (1, "d"), (2, "e")]
+
+
 # -------------------------------------------------------------------- policy
 ROBOTS = [
     "User-agent: *\nDisallow: /a\nAllow: /a/b\n", "User-agent: *\nAllow: /a/b\nDisallow: /a\n", "User-agent: loom\nDisallow: /\n\nUser-agent: *\nAllow: /\n",
