@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pageloom.llm.bpe import op6_bpe
+from pageloom.llm.packing import op3_packing
 from pageloom.llm.simhash import op4_simhash
 
-QUERIES = {"op4_simhash": op4_simhash}
+QUERIES = {"op3_packing": op3_packing, "op6_bpe": op6_bpe, "op4_simhash": op4_simhash}
 ORACLES: dict[str, str] = {}
