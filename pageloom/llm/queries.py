@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pageloom.llm.bpe import op6_bpe
 from pageloom.llm.packing import op3_packing
+from pageloom.llm.pivots import op5_pivots
+from pageloom.llm.search import OP8_SQL, op8_search
 from pageloom.llm.simhash import op4_simhash
+from pageloom.llm.urls import OP2_SQL, op2_urls
 
-QUERIES = {"op3_packing": op3_packing, "op6_bpe": op6_bpe, "op4_simhash": op4_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_urls": op2_urls, "op5_pivots": op5_pivots, "op8_search": op8_search, "op3_packing": op3_packing, "op6_bpe": op6_bpe, "op4_simhash": op4_simhash}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op8_search": OP8_SQL}
