@@ -63,6 +63,13 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*by), F.lit(1_000_003)) < int(1_000_003 * rows / total))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows named by ``gone``: doc_id and ``h``, the xxhash64 of id and text."""
+    named = gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("doc_id").cast("bigint"), "text") == F.col("_h"))
+    return docs.join(named, same, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` (smallest node reachable) for every node of ``edges`` (a, b: bigint).
 
