@@ -147,10 +147,11 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed words gone from ``text`` (untouched where nothing is removed)."""
-    out = parsed(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    narrow = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_none"), *rest).alias("_rest"))
+    out = parsed(narrow).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("_rest.n_chars")) if "n_chars" in rest else None
+    return out.select(*(c if c not in rest else chars.alias(c) if c == "n_chars" else F.col(f"_rest.{c}").alias(c) for c in docs.columns))
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:

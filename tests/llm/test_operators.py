@@ -106,6 +106,8 @@ def test_substrings_against_brute_force(docs, empty):
         gone = {k for i in range(len(w) - 12) if r.doc_id is not None and first[tuple(w[i : i + 13])] < r.doc_id for k in range(i, i + 13)}
         assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
     assert substrings.parsed(empty.drop("kept")).count() == 0
+    same = substrings.cleaned(docs)
+    assert same.columns == docs.columns and same.where("n > 0 and kept <> 'clash'").count() == 0
 
 
 def test_pivots_against_brute_force(spark):
