@@ -17,11 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import Forest, arrow_map, components, paired_blocks
+from pageloom.llm.common import arrow_map, components, paired_blocks
 from pageloom.operators.skew import spread_join
 from pageloom.session import cut_lineage
 
-SHINGLE, BUDGET, SEED, BLOCK = 4, 4, 42, 4096
+SHINGLE, BUDGET, SEED, BLOCK, LEAF = 4, 4, 42, 4096, 128
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -52,19 +52,15 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return arrow_map(docs.select(F.col(doc_id).cast("bigint"), text), work, "doc_id bigint, fp bigint")
 
 
-def trie_links(fps: np.ndarray, budget: int, link, leaf: int = 64) -> None:
-    """Call ``link(i, j array)`` for positions of the sorted ``fps`` at most ``budget`` bits apart."""
+def trie_ranges(fps: np.ndarray, budget: int, leaf: int = LEAF):
+    """Pairs of ranges ``a, b, c, d`` of the sorted ``fps`` whose nodes may hold links; each pair of rows is in one."""
     stack = [(0, len(fps), 0, len(fps), 63, 0)]
     while stack:
         a, b, c, d, bit, off = stack.pop()
         if b <= a or d <= c:
             continue
         if bit < 0 or (b - a) <= leaf or (d - c) <= leaf:
-            for i in range(a, b):
-                lo = max(c, i + 1) if a == c else c
-                near = np.flatnonzero(np.bitwise_count(fps[lo:d] ^ fps[i]) <= budget)
-                if len(near):
-                    link(i, near + lo)
+            yield a, b, c, d
             continue
         mask = np.uint64(1 << bit)
         m = a + int(np.count_nonzero((fps[a:b] & mask) == 0))
@@ -79,6 +75,36 @@ def trie_links(fps: np.ndarray, budget: int, link, leaf: int = 64) -> None:
             stack += [(a, m, n, d, bit - 1, off + 1), (m, b, c, n, bit - 1, off + 1)]
 
 
+def trie_links(fps: np.ndarray, budget: int, link, leaf: int = LEAF) -> None:
+    """Call ``link(i, j array)`` for positions of the sorted ``fps`` at most ``budget`` bits apart."""
+    for a, b, c, d in trie_ranges(fps, budget, leaf):
+        for i in range(a, b):
+            lo = max(c, i + 1) if a == c else c
+            near = np.flatnonzero(np.bitwise_count(fps[lo:d] ^ fps[i]) <= budget)
+            if len(near):
+                link(i, near + lo)
+
+
+def trie_labels(fps: np.ndarray, budget: int, leaf: int = LEAF) -> np.ndarray:
+    """The smallest position reachable by links from each position of the sorted ``fps``.
+
+    Rows whose links lead to their own label already cost no step of their own, so a dense group
+    costs as many merges as it has rows, not as it has pairs.
+    """
+    labels = np.arange(len(fps))
+    for a, b, c, d in trie_ranges(fps, budget, leaf):
+        step = max(1, (1 << 20) // (d - c))
+        for lo in range(a, b, step):
+            hi = min(b, lo + step)
+            near = np.bitwise_count(fps[lo:hi, None] ^ fps[None, c:d]) <= budget
+            differ = near & (labels[lo:hi, None] != labels[None, c:d])
+            for i in np.flatnonzero(differ.any(axis=1)).tolist():
+                found = np.unique(np.append(labels[c:d][near[i]], labels[lo + i]))
+                if len(found) > 1:
+                    labels[np.isin(labels, found[1:])] = found[0]
+    return labels
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """``a, b``: a spanning forest per block of the links among distinct fingerprints ``fp``."""
     edges = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
@@ -89,15 +115,9 @@ def links(distinct: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> Data
 
     def solve(rest: pa.Table):
         fps = np.unique(rest.column("fp").to_numpy().view(np.uint64))
-        forest = Forest(len(fps))
-
-        def link(i, js):
-            for j in js.tolist():
-                forest.union(i, j)
-
-        trie_links(fps, budget, link)
-        x, y = forest.edges()
-        return fps[x].view(np.int64), fps[y].view(np.int64)
+        labels = trie_labels(fps, budget)
+        x = np.flatnonzero(labels != np.arange(len(fps)))
+        return fps[x].view(np.int64), fps[labels[x]].view(np.int64)
 
     return by_item(items, solve)
 
@@ -107,23 +127,30 @@ def by_item(items: DataFrame, solve) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        held, key = [], None
+        held, key, out = [], None, []
+
+        def close():
+            if sum(map(len, held)) > 1:
+                a, b = solve(pa.Table.from_batches(held))
+                if len(a):
+                    out.append(pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema))
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]).tolist()
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi == lo:
                     continue
                 if held and ids[lo] != key:
-                    if sum(map(len, held)) > 1:
-                        a, b = solve(pa.Table.from_batches(held))
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                    close()
                     held = []
                 key = ids[lo]
                 held.append(batch.slice(lo, hi - lo))
-        if held and sum(map(len, held)) > 1:
-            a, b = solve(pa.Table.from_batches(held))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out.clear()
+        close()
+        yield from out
 
     return items.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a bigint, b bigint")
 
