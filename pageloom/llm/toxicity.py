@@ -13,31 +13,29 @@ labels the larger counts. Very long sentences are handled whole. Empty tables gi
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import arrow_map, bounded_sample, fold, table, without
+from pageloom.llm.common import arrow_map, bounded_sample, fold, stored, table, without
+from pageloom.llm.hashing import mixed
+from pageloom.session import cut_lineage
 
 DOCS, SENTENCES, FEATURES, CONTEXTS, STEPS = 20_000, 20_000, 20_000, 3, 80
-TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
-ENDS = frozenset(".!?\n")
+WORD, LINE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sentences(text: str | None) -> list[tuple[list[str], list[int]]]:
-    """Lower-cased words of each sentence and where they start."""
-    out, words, starts = [], [], []
-    for m in TOKEN.finditer(text or ""):
-        w = m.group()
-        if w in ENDS:
-            if words:
-                out.append((words, starts))
-                words, starts = [], []
-        else:
-            words.append(w.lower())
-            starts.append(m.start())
-    return [*out, (words, starts)] if words else out
+def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, end and lower-cased words of each sentence that has words."""
+    for m in LINE.finditer(text or ""):
+        found = WORD.findall(m.group())
+        if found:
+            yield m.start(), m.end(), " ".join(found).lower().split(" ")
 
 
 class Field:
@@ -50,38 +48,36 @@ class Field:
         self.move = np.zeros((2, 2))
 
     def padded(self, lines: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in lines])
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         ids = np.zeros((len(lines), sizes.max() + 2), dtype=np.int64)
-        for i, x in enumerate(lines):
-            ids[i, 1 : len(x) + 1] = x
+        live = np.arange(sizes.max())[None, :] < sizes[:, None]
+        ids[:, 1:-1][live] = np.fromiter(chain.from_iterable(lines), np.int64, int(sizes.sum()))
         return ids, sizes
 
     def odds(self, ids: np.ndarray) -> np.ndarray:
         return self.at[ids[:, 1:-1]] + self.before[ids[:, :-2]] + self.after[ids[:, 2:]] + self.bias[0]
 
-    def marginals(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(toxic) at each position and the expected transitions, by forward-backward in log odds."""
-        e, (rows, width) = self.odds(ids), (len(ids), ids.shape[1] - 2)
-        e[np.arange(width)[None, :] >= sizes[:, None]] = 0
-        m = self.move
-        forward, backward = np.zeros((rows, width)), np.zeros((rows, width))
-        forward[:, 0] = e[:, 0]
+    def marginals(self, ids: np.ndarray, sizes: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) at each position and, where asked for, the expected transitions, by forward-backward in odds."""
+        e, width = self.odds(ids), ids.shape[1] - 2
+        live = np.arange(width)[:, None] < sizes[None, :]
+        e = np.where(live, e.T, 0.0)
+        (w00, w01), (w10, w11) = np.exp(self.move).tolist()
+        forward, backward, odds = e.copy(), np.zeros_like(e), np.ones_like(e)
         for t in range(1, width):
-            r = forward[:, t - 1]
-            forward[:, t] = e[:, t] + np.logaddexp(m[0, 1], m[1, 1] + r) - np.logaddexp(m[0, 0], m[1, 0] + r)
+            x = odds[t - 1] = np.exp(np.clip(forward[t - 1], -300, 300))
+            forward[t] += np.log((w01 + w11 * x) / (w00 + w10 * x))
         for t in range(width - 2, -1, -1):
-            r = backward[:, t + 1] + e[:, t + 1]
-            b = np.logaddexp(m[1, 0], m[1, 1] + r) - np.logaddexp(m[0, 0], m[0, 1] + r)
-            backward[:, t] = np.where(t + 1 < sizes, b, 0)
+            x = np.exp(np.clip(backward[t + 1] + e[t + 1], -300, 300))
+            backward[t] = np.where(live[t + 1], np.log((w10 + w11 * x) / (w00 + w01 * x)), 0.0)
         p = 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
-        pairs = np.zeros((2, 2))
-        if width > 1:
-            f, r = forward[:, :-1], (backward + e)[:, 1:]
-            s = np.stack([np.full_like(f, m[0, 0]), m[0, 1] + r, m[1, 0] + f, m[1, 1] + f + r])
-            s = np.exp(s - s.max(axis=0))
-            s = s / s.sum(axis=0) * (np.arange(1, width)[None, :] < sizes[:, None])
-            pairs = s.sum(axis=(1, 2)).reshape(2, 2)
-        return p, pairs
+        moves = np.zeros((2, 2))
+        if pairs and width > 1:
+            inner, x = live[1:], odds[:-1]
+            both = (p[1:] * (w11 * x / (w01 + w11 * x)))[inner].sum()
+            first, second = p[:-1][inner].sum(), p[1:][inner].sum()
+            moves = np.array([[inner.sum() - first - second + both, second - both], [first - both, both]])
+        return p.T, moves
 
     def train(self, lines: list[list[int]], labels: list[list[int]], steps: int = STEPS) -> None:
         """Gradient ascent of the penalised log likelihood with per-weight step sizes."""
@@ -95,7 +91,7 @@ class Field:
         weights = [self.at, self.before, self.after, self.bias, self.move]
         sums = [np.full_like(w, 1e-6) for w in weights]
         for _ in range(steps):
-            p, pairs = self.marginals(ids, sizes)
+            p, pairs = self.marginals(ids, sizes, pairs=True)
             gap = np.where(live, gold - p, 0.0)
             grads = [np.bincount(k.ravel(), gap.ravel(), len(self.at)) for k in (ids[:, 1:-1], ids[:, :-2], ids[:, 2:])]
             grads[0][0] = grads[1][0] = grads[2][0] = 0
@@ -116,13 +112,24 @@ def telling(t: int, n: int, share: float, words: int) -> bool:
 
 
 def _contexts(batch):
-    seen: Counter = Counter()
-    for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        for words, _ in sentences(text):
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                seen[w, f"{before} {after}", toxic] += 1
-    keys = list(seen)
-    yield {"word": [k[0] for k in keys], "context": [k[1] for k in keys], "toxic": [k[2] for k in keys]}
+    """Distinct (word, context, label) of a batch; a context is the hash of both neighbours."""
+    vocabulary: dict[str, int] = {"": 0}
+    flat, marks, texts, labels = [], [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for text, toxic in zip(texts, labels):
+        before = len(flat)
+        for _, _, words in sentences(text):
+            flat.append(0)
+            flat.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+        marks.append((len(flat) - before, toxic))
+    flat.append(0)
+    ids = np.array(flat, dtype=np.int64)
+    toxic = np.append(np.repeat([t for _, t in marks], [n for n, _ in marks]), 0).astype(np.int64)
+    names = list(vocabulary)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype=np.uint64)
+    at = np.flatnonzero(ids)
+    context = mixed(h[ids[at - 1]] * ODD + h[ids[at + 1]])
+    _, one = np.unique(mixed(context * ODD + h[ids[at]]) * np.uint64(2) + toxic[at].astype(np.uint64), return_index=True)
+    yield {"word": pa.array(names).take(pa.array(ids[at][one])), "context": context[one].view(np.int64), "toxic": toxic[at][one].astype(np.int32)}
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = DOCS) -> tuple[Field, set[str]]:
@@ -130,8 +137,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = DOCS) -> tuple[Fiel
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text").join(bounded_sample(marks, sample, "doc_id"), "doc_id").where("text is not null").select("text", "toxic")
     rows = rows.dropDuplicates(["text", "toxic"])
-    counted = arrow_map(rows, _contexts, "word string, context string, toxic int").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
-    words = counted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= CONTEXTS)
+    counted = arrow_map(rows, _contexts, "word string, context bigint, toxic int").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
+    words = cut_lineage(counted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= CONTEXTS))
     kept = words.orderBy(F.desc("n"), "word").limit(FEATURES).unionByName(
         words.where("t >= 0.6 * n").orderBy(F.desc("t"), "word").limit(FEATURES)).distinct().collect()
     total, hits = sum(r.n for r in kept), sum(r.t for r in kept)
@@ -144,14 +151,14 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = DOCS) -> tuple[Fiel
     def chosen(batch):
         index, lines = field.index, {}
         for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for words, _ in sentences(text):
+            for _, _, words in sentences(text):
                 for at in range(0, len(words), 40):
                     part = words[at : at + 40]
                     tags = [int(bool(mark) and w in toxic) for w in part]
                     lines[" ".join(part)] = ([index.get(w, 0) for w in part], tags, int(any(tags)))
         yield {"line": list(lines), "ids": [x[0] for x in lines.values()], "tags": [x[1] for x in lines.values()], "any": [x[2] for x in lines.values()]}
 
-    picked = arrow_map(rows, chosen, "line string, ids array<int>, tags array<int>, any int").dropDuplicates(["line"])
+    picked = stored(arrow_map(rows, chosen, "line string, ids array<int>, tags array<int>, any int").dropDuplicates(["line"]))
     some = [picked.where(F.col("any") == k).orderBy(F.xxhash64("line"), "line").limit(SENTENCES // 2).select("ids", "tags").collect() for k in (1, 0)]
     lines = [*some[0], *some[1]]
     field.train([r.ids for r in lines], [r.tags for r in lines])
@@ -176,19 +183,21 @@ def scored(docs: DataFrame, field: Field, some: bool) -> DataFrame:
                 part = group[at : at + size]
                 ids, sizes = field.padded([x[1] for x in part])
                 p, _ = field.marginals(ids, sizes)
-                p[np.arange(p.shape[1])[None, :] >= sizes[:, None]] = 0
-                for (doc, _, starts), most, row in zip(part, p.max(axis=1).tolist(), p):
-                    best[doc] = max(best[doc], most)
-                    if most >= 0.5:
-                        spans[doc] += [starts[i] for i in np.flatnonzero(row >= 0.5).tolist()]
+                p = np.where(np.arange(p.shape[1])[None, :] < sizes[:, None], p, 0.0)
+                most = p.max(axis=1)
+                np.maximum.at(best, [x[0] for x in part], most)
+                for k in np.flatnonzero(most >= 0.5).tolist():
+                    doc, _, start, end = part[k]
+                    starts = [m.start() for m in WORD.finditer(texts[doc], start, end)]
+                    spans[doc] += [starts[i] for i in np.flatnonzero(p[k] >= 0.5).tolist()]
                 at += size
             group.clear()
 
         held = 0
         get = field.index.get
         for i, text in enumerate(texts if some else []):
-            for words, starts in sentences(text):
-                group.append((i, [get(w, 0) for w in words], starts))
+            for start, end, words in sentences(text):
+                group.append((i, [get(w, 0) for w in words], start, end))
                 held += len(words)
             if held > 500_000:
                 flush()

@@ -60,6 +60,37 @@ def test_trie_finds_every_link():
     assert found == want
 
 
+def test_trie_labels_reach_what_links_reach():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    fps = np.unique(np.array([int(b) ^ sum(1 << int(i) for i in set(ones)) for b in base for ones in rng.integers(0, 64, (12, 3))], dtype=np.uint64))
+    want, before = np.arange(len(fps)), None
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    while before is None or (want != before).any():
+        before, want = want, np.where(near, want[None, :], len(fps)).min(axis=1)
+    for leaf in (2, 16, 512):
+        assert simhash.trie_labels(fps, 4, leaf).tolist() == want.tolist()
+
+
+def test_field_marginals_against_all_taggings():
+    from itertools import product
+
+    field = toxicity.Field(["a", "b", "c"])
+    rng = np.random.default_rng(3)
+    field.at, field.before, field.after, field.move = rng.normal(size=4), rng.normal(size=4), rng.normal(size=4), rng.normal(size=(2, 2))
+    ids, sizes = field.padded([[1, 2, 3, 0], [3, 1]])
+    p, moves = field.marginals(ids, sizes, pairs=True)
+    odds, want = field.odds(ids), np.zeros((2, 2))
+    for row, size in enumerate(sizes):
+        ways = [(y, np.exp(sum(odds[row, t] * y[t] for t in range(size)) + sum(field.move[a, b] for a, b in zip(y, y[1:])))) for y in product((0, 1), repeat=int(size))]
+        total = sum(w for _, w in ways)
+        for y, w in ways:
+            for a, b in zip(y, y[1:]):
+                want[a, b] += w / total
+        assert np.allclose(p[row, :size], [sum(w for y, w in ways if y[t]) / total for t in range(size)])
+    assert np.allclose(moves, want)
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 
