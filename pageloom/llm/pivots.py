@@ -1,6 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index with exact verification.
 
-Reference points are a bounded sample of the vectors. Each distinct vector is described by its ``near`` nearest
+Reference points are chosen far apart from a bounded sample of the vectors, so that a dense group of near copies holds
+few of them and its members agree on the points around them. Each distinct vector is described by its ``near`` nearest
 reference points in order and posted in their inverted lists. Two vectors of one list are candidates when they
 share at least ``shared`` points (and counted in the least shared list only); the cosine in double precision then decides.
 Long lists are cut into pairs of blocks. Tasks give each vector's number of links and a spanning forest, never the pairs.
@@ -18,14 +19,27 @@ from pyspark.sql import DataFrame, functions as F
 from pageloom.llm.common import arrow_map, bounded_sample, components, paired_blocks, stored, table
 from pageloom.operators.skew import spread_join
 
-COSINE, PIVOTS, NEAR, SHARED, BLOCK = 0.95, 256, 8, 2, 4_096
+COSINE, PIVOTS, NEAR, SHARED, BLOCK, DRAWN = 0.95, 256, 8, 1, 4_096, 16
 
 
 def _pivots(distinct: DataFrame, pivots: int) -> np.ndarray:
-    rows = bounded_sample(distinct.select("cid", "v"), pivots, "cid").orderBy("cid").limit(2 * pivots).collect()
+    rows = bounded_sample(distinct.select("cid", "v"), DRAWN * pivots, "cid").orderBy("cid").limit(2 * DRAWN * pivots).collect()
     width = max([len(r.v) for r in rows], default=0)
     found = [r.v for r in rows if len(r.v) == width]
-    return np.array(found, dtype=np.float64).reshape(len(found), width)
+    return spread(np.array(found, dtype=np.float64).reshape(len(found), width), pivots)
+
+
+def spread(drawn: np.ndarray, pivots: int) -> np.ndarray:
+    """``pivots`` rows of ``drawn``: the first, then always the one whose nearest chosen row is farthest."""
+    if len(drawn) <= pivots:
+        return drawn
+    unit = drawn / np.abs(drawn).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < pivots:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return drawn[chosen]
 
 
 def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE,
@@ -71,8 +85,6 @@ def _verify(items: DataFrame, cosine: float, shared: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def solve(rest: pa.Table):
-        from pageloom.llm.common import Forest
-
         rest = rest.sort_by("cid")
         cid, n = rest.column("cid").to_numpy(), rest.column("n").to_numpy()
         raw = rest.column("raw").to_pylist()
@@ -90,25 +102,26 @@ def _verify(items: DataFrame, cosine: float, shared: int) -> DataFrame:
         for i, q in enumerate(perms):
             has[i, [names[x] for x in q]] = 1
         lower = has[:, : names[pivot]]
-        links, forest = np.zeros(len(raw), dtype=np.int64), Forest(len(raw))
+        links, label = np.zeros(len(raw), dtype=np.int64), np.arange(len(raw))
         whole = bool((mine == other).all())
         need = shared if pivot >= 0 else 1
         for at in range(0, len(raw), 512):
             cut = slice(at, at + 512)
             hit = (v[cut] @ v.T) / norm[cut, None] / norm >= cosine
-            i, j = np.nonzero(hit)
+            hit &= lower[cut] @ lower.T == 0
+            if need > 1:
+                hit &= has[cut] @ has.T >= need
             if not whole:
-                across = mine[i + at] != mine[j]
-                i, j = i[across], j[across]
-            i = i + at
-            for lo in range(0, len(i), 100_000):
-                x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
-                keep = (x != y) & ((has[x] * has[y]).sum(1) >= need) & ((lower[x] * lower[y]).sum(1) == 0)
-                x, y = x[keep], y[keep]
-                np.add.at(links, x, n[y])
-                for a, b in zip(x[x < y].tolist(), y[x < y].tolist()):
-                    forest.union(a, b)
-        a, b = forest.edges()
+                hit &= mine[cut, None] != mine
+            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+            links[cut] = [int(n[row].sum()) for row in hit]
+            # A row whose links lead to its own label already costs no merge.
+            for i in np.flatnonzero((hit & (label[cut, None] != label)).any(axis=1)).tolist():
+                found = np.unique(np.append(label[hit[i]], label[at + i]))
+                if len(found) > 1:
+                    label[np.isin(label, found[1:])] = found[0]
+        a = np.flatnonzero(label != np.arange(len(raw)))
+        b = label[a]
         some = np.flatnonzero(links)
         return (pa.array(np.concatenate([cid[some], cid[a]])), pa.array([None] * len(some) + cid[b].tolist(), pa.int64()),
                 pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])))

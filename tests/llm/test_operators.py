@@ -152,6 +152,18 @@ def test_pivots_against_brute_force(spark):
     assert all(got[i].kept and got[i].n_links == 0 for i in (90, 91, 92, 93))
 
 
+def test_pivots_find_every_link_of_a_dense_third(spark):
+    rng = np.random.default_rng(5)
+    base, noise = rng.normal(size=64), rng.normal(size=(500, 64))
+    group = np.sqrt(0.97) * base / np.linalg.norm(base) + np.sqrt(0.03) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    v = np.concatenate([group, rng.normal(size=(1000, 64))])
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.linked(rows, block=200).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    assert got == {i: (int(near[i].sum()) - 1, int(near[i].argmax())) for i in range(len(v))}
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_agrees_with_its_oracle(spark, name):
     assert differences(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF) == []
