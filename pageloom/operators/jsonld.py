@@ -15,8 +15,6 @@ _BLOCKS = (
     r"|application/ld\+json(?=[\s>])))[^>]*>(.*?)(?:</script\s*>|\z)"
     r"|<(?:script|style|textarea|title)(?=[\s>])[^>]*>.*?(?:</(?:script|style|textarea|title)\s*>|\z)"
 )
-#: How many levels of arrays and @graph wrappers are unfolded.
-DEPTH = 4
 
 
 def jsonld_blocks(html: Column) -> Column:
@@ -62,14 +60,24 @@ def _unfold(entry: Column) -> Column:
     )
 
 
-def jsonld_objects(html: Column, depth: int = DEPTH) -> Column:
+def _unfold_all(entries: Column, html: Column) -> Column:
+    """``entries`` unfolded until none is left to do; each level opens a bracket of its own."""
+    text = F.array_join(jsonld_blocks(html), "")
+    levels = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit("["), F.lit(""))))
+    step = lambda found, _: F.when(F.exists(found, lambda e: ~e["done"]), F.flatten(F.transform(found, _unfold))).otherwise(found)
+    return F.aggregate(levels, entries, step)
+
+
+def jsonld_objects(html: Column, depth: int | None = None) -> Column:
     """All JSON-LD objects of a page in document order, as ``array<variant>``.
 
-    Blocks that are not JSON are skipped. A page nested deeper than ``depth`` raises
-    an error instead of losing objects.
+    Blocks that are not JSON are skipped. Arrays and @graph wrappers are unfolded however
+    deep they nest; where ``depth`` is given, a deeper page raises an error instead of losing objects.
     """
     parsed = F.filter(F.transform(jsonld_blocks(html), parse_block), lambda v: v.isNotNull())
     entries = F.transform(parsed, lambda v: F.struct(v.alias("v"), F.lit(False).alias("done")))
+    if depth is None:
+        return F.filter(F.transform(_unfold_all(entries, html), lambda e: e["v"]), is_object)
     for _ in range(depth):
         entries = F.flatten(F.transform(entries, _unfold))
     objects = F.transform(
@@ -162,7 +170,7 @@ def ld_types(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(found)))
 
 
-def explode_objects(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def explode_objects(pages: DataFrame, depth: int | None = None) -> DataFrame:
     """One row per JSON-LD object: ``page_id, seq, obj``."""
     objects = pages.select("page_id", jsonld_objects(F.col("html"), depth).alias("objects"))
     return objects.select("page_id", F.posexplode("objects").alias("seq", "obj"))

@@ -138,6 +138,15 @@ def test_jsonld_deeper_than_the_depth_is_an_error_not_a_loss(pages_of):
         jsonld.explode_objects(page, depth=2).collect()
 
 
+def test_jsonld_unfolds_any_depth(pages_of):
+    deep = '{"name":"deep"}'
+    for i in range(40):
+        deep = f"[{deep}]" if i % 2 else f'{{"@graph":[{deep}],"name":"g{i}"}}'
+    page = pages_of(f'<script type="application/ld+json">{deep}</script><script type="application/ld+json">[1,{{"name":"flat"}}]</script>', "<p>none</p>", LD)
+    got = [(r.page_id, r.n) for r in jsonld.explode_objects(page).select("page_id", "seq", jsonld.path_text(F.col("obj"), "name").alias("n")).orderBy("page_id", "seq").collect()]
+    assert got == [(0, "deep"), *[(0, f"g{i}") for i in range(0, 40, 2)], (0, "flat"), (2, "A"), (2, None), (2, "B"), (2, "W")]
+
+
 def test_ld_types(pages_of):
     page = pages_of('<script type="application/ld+json">{"@type":"A","x":{"@type":["C","B"]},"t":"\\"@type\\":\\"no\\""}</script><script type="application/ld+json">oops</script>')
     assert page.select(jsonld.ld_types(F.col("html")).alias("t")).first().t == ["<unparsed-ld>", "A", "B", "C"]
