@@ -468,7 +468,8 @@ def detail_enrich(spark, sf):
         (R("title", "h3", "css", transform="trim"), R("location", "span.location", "css"), R("link", "a.job-link", "css", "href", "abs_url")),
         "li.job-card", next_page_selector="a.next", detail_url_field="link", detail_field_rules=bd.DETAIL_RULES,
     )
-    rows = cr.crawl(pages, _seeds(pages), spec, JOB_POSTINGS, bd.CHAIN, details)["rows"]
+    # The query's SQL fixes 25 details per walk; the operators have no limit of their own.
+    rows = cr.crawl(pages, _seeds(pages), spec, JOB_POSTINGS, bd.CHAIN, details, 25)["rows"]
     return rows.select("seed", _long("seq"), _long("row_no"), "title", "location", "description")
 
 

@@ -247,6 +247,16 @@ def test_detail_enrichment(spark, pages_of):
     assert rn.replay(pages, SPEC, TARGET)["quality"].where("ok").count() == pages.count()
 
 
+def test_walks_and_details_have_no_limit_of_their_own(spark):
+    seeds = spark.createDataFrame([("s", "0"), ("t", "30"), ("u", "loop0")], "seed string, url string")
+    ends = [(str(i), str(i + 1)) for i in range(34)] + [(f"loop{i}", f"loop{(i + 1) % 12}") for i in range(12)]
+    walked = cr.walk(seeds, spark.createDataFrame(ends, "src_url string, dst_url string"))
+    got = sorted((r.seed, r.seq, r.url) for r in walked.collect())
+    assert got == [("s", i, str(i)) for i in range(35)] + [("t", i, str(30 + i)) for i in range(5)] + [("u", i, f"loop{i}") for i in range(12)]
+    rows = walked.withColumn("row_no", F.lit(0))
+    assert cr.detail_picks(rows, "url").count() == 52 and cr.detail_picks(rows, "url", 3).count() == 9
+
+
 def test_copies_of_a_url_are_walked_once(spark, pages_of):
     pages = pages_of(("https://h.example/l", listing("ab")), ("https://h.example/l", listing("cde")))
     seeds = spark.createDataFrame([("s", "https://h.example/l")], "seed string, url string")
