@@ -9,9 +9,9 @@ forest of the links leaves a task, never all pairs of a group.
 Null and empty texts have fingerprint zero and link like any other. Copies share a fingerprint and
 are handled once. Repeated rows give one result row each. An empty table gives an empty result.
 
-``keep_first``, the stage of the pipeline, links texts by the similarity of their shingle sets instead. Two sets of a
-similarity of 0.8 share a hash among the smallest fifth of either, so every link is in one of the lists of those
-hashes; lists of the same members are read once, and each link is decided by the exact similarity.
+``keep_first``, the stage of the pipeline, keeps one document of each class: the one with the smallest id, and
+of several texts under that id the one with the smallest hash. Rows that repeat both id and text are one document
+and stay together; rows without an id belong to no class and stay. Extra columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -21,13 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import arrow_map, components, paired_blocks, stored, without
+from pageloom.llm.common import arrow_map, components, paired_blocks, table, without
 from pageloom.operators.skew import spread_join
 from pageloom.session import cut_lineage
 
 SHINGLE, BUDGET, SEED, BLOCK, LEAF = 4, 4, 42, 4096, 128
-#: Of the stage: words to a shingle, the similarity in hundredths, texts to a block.
-STAGE_SHINGLE, SIMILAR, TEXTS = 5, 80, 1024
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -54,14 +52,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist())
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed bigint) of every row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``doc_id, h, fp`` of every row: the 64 bits as a signed bigint; ``h`` as in ``without``."""
+    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def work(batch: pa.RecordBatch):
-        fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield {"doc_id": batch.column(0), "fp": fps}
+        fps = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield {"doc_id": batch.column(0), "h": batch.column(1), "fp": fps}
 
-    return arrow_map(docs.select(F.col(doc_id).cast("bigint"), text), work, "doc_id bigint, fp bigint")
+    return arrow_map(named.select("doc_id", F.xxhash64("doc_id", "text"), "text"), work, "doc_id bigint, h bigint, fp bigint")
 
 
 def trie_ranges(fps: np.ndarray, budget: int, leaf: int = LEAF):
@@ -167,91 +166,27 @@ def by_item(items: DataFrame, solve) -> DataFrame:
     return items.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; the component is the smallest id reachable."""
-    own = cut_lineage(fingerprints(docs, doc_id, text))
-    first = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(first.select("fp"), budget)).withColumnRenamed("node", "fp")
-    joined = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = spread_join(joined.select("fp", "root"), least, ["root"], ["fp"], rows=5_000).select("fp", "component_id")
-    return spread_join(own, known, ["fp"], ["doc_id"], rows=5_000).select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
+    """``doc_id, h, fp, component_id, first_h`` of every row.
 
-
-def similar_labels(sets: list[np.ndarray], similar: int) -> np.ndarray:
-    """A position of the same class for each of ``sets``; classes join sets of a similarity of ``similar`` hundredths.
-
-    Rows are held against all others until those left are in one class already, so a dense
-    group costs few comparisons.
+    The component is the smallest id reachable; ``first_h`` is the smallest hash of a text under that id in the class.
     """
-    n, sizes = len(sets), np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    rows = np.repeat(np.arange(n), sizes)[np.argsort(column, kind="stable")]
-    ends = np.cumsum(np.bincount(column))
-    starts, columns = np.concatenate([[0], ends[:-1]]), np.split(column, np.cumsum(sizes)[:-1])
-    labels, driven = np.arange(n), np.zeros(n, dtype=bool)
-    while True:
-        left = np.flatnonzero(~driven & (labels != np.bincount(labels).argmax()))
-        if not len(left):
-            return labels
-        i = int(left[0])
-        driven[i] = True
-        low, length = starts[columns[i]], (ends - starts)[columns[i]]
-        at = np.arange(length.sum()) + np.repeat(low - np.cumsum(length) + length, length)
-        both = np.bincount(rows[at], minlength=n)
-        near = 100 * both >= similar * (sizes + sizes[i] - both)
-        found = np.unique(np.append(labels[near], labels[i]))
-        if len(found) > 1:
-            labels[np.isin(labels, found[1:])] = found[0]
-
-
-def near_copies(docs: DataFrame, width: int = STAGE_SHINGLE, similar: int = SIMILAR, block: int = TEXTS) -> DataFrame:
-    """``doc_id, h, first`` of every row with an id: the smallest id its text reaches by links; ``h`` as in ``without``."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
-
-    def work(batch: pa.RecordBatch):
-        sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
-        cids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-        heads = [x[: len(x) - -(-similar * len(x) // 100) + 1].view(np.int64) for x in sets]
-        yield {"doc_id": batch.column(0), "h": batch.column(1), "cid": cids, "head": heads}
-
-    own = stored(arrow_map(texts, work, "doc_id bigint, h bigint, cid bigint, head array<bigint>"))
-    rep = own.groupBy("cid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("head").alias("head"))
-    posted = stored(rep.select("cid", "rep", F.explode("head").alias("s")))
-    lists = posted.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
-    lists = lists.where("n > 1").groupBy("n", "x", "y").agg(F.min("s").alias("s")).select("s")
-    members = stored(spread_join(posted, lists.withColumn("_in", F.lit(True)), ["s"], ["cid"], rows=5_000).where("_in").select("s", "cid", "rep"))
-    asked = members.select("cid", "rep.doc_id", "rep.h").distinct()
-    read = texts.join(asked, ["doc_id", "h"]).groupBy("cid").agg(F.first("text").alias("text"))
-    dealt = paired_blocks(members.select("s", "cid"), "s", "cid", block).select("item", "cid")
-    items = spread_join(dealt, read, ["cid"], ["item"], rows=5_000).select("item", "cid", "text")
-
-    def solve(rest: pa.Table):
-        cids, at = np.unique(rest.column("cid").to_numpy(), return_index=True)
-        held = rest.column("text").take(pa.array(at)).to_pylist()
-        labels = similar_labels([shingle_set(t, width) for t in held], similar)
-        x = np.flatnonzero(labels != np.arange(len(cids)))
-        return cids[x], cids[labels[x]]
-
-    roots = components(by_item(items, solve)).withColumnRenamed("node", "cid")
-    classed = rep.select("cid", F.col("rep.doc_id").alias("least")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    first = classed.groupBy("root").agg(F.min("least").alias("first"))
-    known = spread_join(classed.select("cid", "root"), first, ["root"], ["cid"], rows=5_000).select("cid", "first")
-    return spread_join(own.select("doc_id", "h", "cid"), known, ["cid"], ["doc_id"], rows=5_000).select("doc_id", "h", "first")
+    own = cut_lineage(fingerprints(docs, doc_id, text, width))
+    first = cut_lineage(own.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")))
+    roots = components(links(first.select("fp"), budget)).withColumnRenamed("node", "fp")
+    joined = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    known = spread_join(joined.select("fp", "root"), least, ["root"], ["fp"], rows=5_000).select("fp", "least")
+    return spread_join(own, known, ["fp"], ["doc_id"], rows=5_000).select(
+        "doc_id", "h", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.h").alias("first_h"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the smallest id of each class of near copies; null ids stay."""
-    return without(docs, near_copies(docs.select("doc_id", "text")).where("first <> doc_id").select("doc_id", "h"))
+def keep_first(docs: DataFrame, budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each class of near-duplicates; null ids stay."""
+    found = classes(docs.where("doc_id is not null").select("doc_id", "text"), budget=budget, width=width)
+    return without(docs, found.where("component_id <> doc_id or first_h <> h").select("doc_id", "h"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
-    from pageloom.llm.common import table
-
     found = classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
