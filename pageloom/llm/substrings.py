@@ -1,148 +1,308 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference windows.
+"""Substring dedup by relative Lempel-Ziv parsing against an index of reference passages.
 
-A reference phrase is a window of ``WIDTH`` words; the index maps each phrase that stands in documents of two ids or more to its
-first place (smallest id, then position). A document is factored greedily: a factor starts at the next position whose phrase has a
-reference of smaller id and grows while the following phrases continue the same reference. Phrases across
-factor boundaries are looked up like all others, so no window is missed. Factors become the spans that are removed.
+The reference of a passage is its first place: smallest id, then position. The index is sampled: every window of ``WIDTH`` words
+is represented by the least hash of its ``GRAM``-word parts, so equal windows have equal representatives, and
+neighbouring windows of one representative form a passage. A document is factored in these steps.
 
-What cannot repeat stays out of the index: each phrase is represented by the least hash of its ``GRAM``-word parts,
-which equal phrases share; only phrases whose representative stands under two ids go on. A Bloom filter of bounded size passes these
-(a fuller filter passes more, never fewer), and exact phrase hashes decide.
+1. Representatives that stand under one id only are left out, by a Bloom filter of those under two or more.
+2. A passage whose whole text has a first place under a smaller id is matched whole.
+3. Passages that are first of their kind, but share their representative with others, are cut into windows, and
+   each window looks for its own first place. That settles passages at factor boundaries.
+4. Matches of one reference that continue each other become one factor, and neighbouring factors overlap where
+   passages meet, so no window across a boundary is missed. The reference's words are sent to the document and
+   compared with its own: only equal words become a span that is removed.
+
+Bloom filters have a bounded size: a fuller one passes more, never fewer. Keys are pairs of 64-bit hashes (representative and
+passage); words decide in the end. Keys with many rows, found in a sample by hash of the id, are salted.
 
 Null and empty texts have no words. Rows without id neither lose words nor serve as reference. Rows of one id (repeated
-rows too) are no references for each other. An empty table gives an empty result; whole texts are read.
+rows too) are no references for each other. Among places of one id the first counts. An empty table gives an empty result; whole texts are
+read, however long. Extra columns pass through, those named ``kept, n_words, n_removed`` or ``spans`` only through ``cleaned``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from pageloom.llm.common import arrow_map, stored, table
-from pageloom.llm.hashing import mixed, span_hashes, spans_of, window_hashes
+from pageloom.llm.hashing import mixed, window_hashes
 from pageloom.operators.skew import spread_join
 
-WIDTH, GRAM, BLOCKS, OTHER = 13, 5, 1 << 21, 0xA0761D6478BD642F
+WIDTH, GRAM, BLOCKS, OTHER, MIX = 13, 5, 1 << 21, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
+#: One of SAMPLE ids is looked at for keys with at least HOT rows in the sample; at most HOT_KEYS keys get SALTS parts.
+SAMPLE, HOT, HOT_KEYS, SALTS, MEMO = 32, 200, 1_000, 64, 500_000
+
+
+class WordHashes(dict):
+    """64-bit hash of each word met; forgets all when it has grown to ``MEMO`` words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
+HASHES = WordHashes()
 
 
-def phrases(text: str | None, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and representative of every window of ``text``."""
-    raw = (text or "").encode("utf-8", "replace")
-    words = span_hashes(raw, *spans_of(raw))
-    whole = window_hashes(words, width)
-    if not len(whole):
-        return whole, whole
-    parts = window_hashes(words, gram, OTHER)
-    least = parts[: len(whole)].copy()
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def passages(text: str | None, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """``m, span, at, n`` of every passage (representative, hash, first window, windows) and the hash of every window."""
+    words = split(text)
+    n = len(words) - width + 1
+    if n <= 0:
+        none = np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.int32), np.zeros(0, np.int32), none
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    parts, whole = window_hashes(h, gram, OTHER), window_hashes(h, width)
+    least, place = parts[:n].copy(), np.zeros(n, np.int32)
     for j in range(1, width - gram + 1):
-        np.minimum(least, parts[j : j + len(whole)], out=least)
-    return whole, least
+        less = parts[j : j + n] < least
+        np.copyto(least, parts[j : j + n], where=less)
+        place[less] = j
+    place += np.arange(n, dtype=np.int32)
+    at = np.flatnonzero(np.diff(place, prepend=-1)).astype(np.int32)
+    count = np.diff(np.append(at, n)).astype(np.int32)
+    # The first and the last window of a passage overlap, so together they hold all of its words.
+    span = mixed(whole[at] * np.uint64(MIX) + whole[at + count - 1]) ^ count.astype(np.uint64)
+    return least[at], span, at, count, whole
 
 
-def _probe(m: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block and bits of each representative."""
-    h, mask = mixed(m ^ np.uint64(OTHER)), np.zeros(len(m), dtype=np.uint64)
+def _probe(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block and bits of each 64-bit value."""
+    h, mask = mixed(x ^ np.uint64(OTHER)), np.zeros(len(x), dtype=np.uint64)
     for i in range(4):
         mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
     return ((h >> np.uint64(24)) % np.uint64(blocks)).astype(np.int64), mask
 
 
-def _shared(docs: DataFrame, blocks: int) -> np.ndarray:
-    """Bloom filter of the representatives that stand under two ids or more."""
+def passes(bloom: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at, mask = _probe(x, len(bloom))
+    return bloom[at] & mask == mask
 
-    def represent(batch):
-        ids, found, counts = batch.column(0), [], []
-        for t in batch.column(1).to_pylist():
-            found.append(np.unique(phrases(t)[1]))
-            counts.append(len(found[-1]))
-        yield {"m": np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64), "doc_id": np.repeat(ids.to_numpy(), counts)}
+
+def filled(values: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
+    """Blocked Bloom filter of the one bigint column of ``values``; never more than ``blocks`` blocks."""
 
     def fill(batch):
-        at, mask = _probe(batch.column(0).to_numpy().view(np.uint64), blocks)
+        at, mask = _probe(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), blocks)
         order = np.argsort(at, kind="stable")
         at, mask = at[order], mask[order]
         cut = np.flatnonzero(np.diff(at, prepend=-1))
         yield {"b": at[cut], "bits": (np.bitwise_or.reduceat(mask, cut) if len(cut) else mask).view(np.int64)}
 
-    seen = arrow_map(docs, represent, "m bigint, doc_id bigint").groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    rows = arrow_map(seen.where("a < b").select("m"), fill, "b bigint, bits bigint").groupBy("b").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = arrow_map(values, fill, "b bigint, bits bigint").groupBy("b").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(blocks, dtype=np.uint64)
     out[rows.column("b").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def occurrences(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, h, pos, w`` of every window that may stand under two ids; ``docs`` has doc_id, text, h."""
-    filled = docs.sparkSession.sparkContext.broadcast(_shared(docs.select("doc_id", "text"), blocks))
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False)
+
+
+def _owner(span: np.ndarray, doc: int) -> np.ndarray:
+    return mixed(span + np.uint64(doc & 0xFFFFFFFFFFFFFFFF) * np.uint64(MIX))
+
+
+def represented(docs: DataFrame, blocks: int) -> np.ndarray:
+    """Bloom filter of the representatives that stand under two ids or more."""
 
     def work(batch):
-        pos, found, counts = [], [], []
+        found = [np.unique(passages(t)[0]) for t in batch.column(1).to_pylist()]
+        yield {"m": _joined(found, np.uint64).view(np.int64), "doc_id": np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])}
+
+    seen = arrow_map(docs, work, "m bigint, doc_id bigint").groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return filled(seen.where("a < b").select("m"), blocks)
+
+
+def with_first(rows: DataFrame, key: list[str], hot: int, columns: list[str]) -> DataFrame:
+    """``rows`` (doc_id, h, pos, ...) that are not the first of their key, or are it: ``columns``, ``ref_doc, ref_pos, own`` (it is the first).
+
+    One exchange: the first place is a window's minimum; salted keys take the minimum of their parts in a second step,
+    whose broadcast holds at most ``HOT_KEYS`` rows.
+    """
+    seen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).groupBy(*key).count()
+    often = seen.where(F.col("count") >= hot).orderBy(F.desc("count"), *key).limit(HOT_KEYS).select(*key, F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(stored(often)), key, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    place = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy(*key, "salt"))
+    mine = F.col("first") == F.struct("doc_id", "pos")
+    found = dealt.withColumn("first", place).where(F.col("hot") | (F.col("first.doc_id") < F.col("doc_id")) | mine)
+    keys = [F.when(F.col("hot") | mine, F.col(k)).alias(k) for k in key]
+    found = stored(found.select(*[c for c in columns if c not in key], *keys, "hot", "first"))
+    least = found.where("hot").groupBy(*key).agg(F.min("first").alias("least"))
+    whole = found.join(F.broadcast(least), key, "left").withColumn("first", F.coalesce("least", "first"))
+    return whole.select(*columns, F.col("first.doc_id").alias("ref_doc"), F.col("first.pos").alias("ref_pos"), mine.alias("own")).where("ref_doc < doc_id or own")
+
+
+def matches(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """``doc_id, h, pos, n, ref_doc, ref_pos``: runs of ``n`` windows that stand at the reference too; ``docs`` has doc_id, text, h."""
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(represented(docs.select("doc_id", "text"), blocks))
+
+    def whole(batch):
+        out: list[list] = [[], [], [], []]
         for t in batch.column(1).to_pylist():
-            whole, least = phrases(t)
-            at, mask = _probe(least, blocks)
-            hit = np.flatnonzero(filled.value[at] & mask == mask)
-            pos.append(hit)
-            found.append(whole[hit])
-            counts.append(len(hit))
-        none = np.zeros(0, np.uint64)
-        yield {"doc_id": np.repeat(batch.column(0).to_numpy(), counts), "h": np.repeat(batch.column(2).to_numpy(), counts),
-               "pos": np.concatenate([*pos, none]).astype(np.int32), "w": np.concatenate([*found, none]).view(np.int64)}
+            m, span, at, n, _ = passages(t)
+            hit = passes(shared.value, m)
+            for column, value in zip(out, (m, span, at, n)):
+                column.append(value[hit])
+        sizes = [len(x) for x in out[0]]
+        yield {"m": _joined(out[0], np.uint64).view(np.int64), "span": _joined(out[1], np.uint64).view(np.int64),
+               "doc_id": np.repeat(batch.column(0).to_numpy(), sizes), "h": np.repeat(batch.column(2).to_numpy(), sizes),
+               "pos": _joined(out[2], np.int32), "n": _joined(out[3], np.int32)}
+
+    rows = arrow_map(docs, whole, "m bigint, span bigint, doc_id bigint, h int, pos int, n int")
+    placed = with_first(stored(rows), ["m", "span"], hot, ["doc_id", "h", "pos", "n", "m", "span"])
+    first = placed.where("own").select("m", "span", "doc_id")
+    several = sc.broadcast(filled(first.groupBy("m").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("m"), blocks))
+
+    def owners(batch):
+        m, span, doc = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+        hit = passes(several.value, m)
+        yield {"x": mixed(span[hit] + doc[hit] * np.uint64(MIX)).view(np.int64)}
 
-    return arrow_map(docs, work, "doc_id bigint, h bigint, pos int, w bigint")
+    cut = sc.broadcast(filled(arrow_map(first, owners, "x bigint"), blocks))
 
+    def windows(batch):
+        out: list[list] = [[], [], []]
+        for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            m, span, at, n, every = passages(t)
+            hit = np.flatnonzero(passes(shared.value, m) & passes(several.value, m) & passes(cut.value, _owner(span, doc)))
+            pos = np.repeat(at[hit] - np.cumsum(n[hit]) + n[hit], n[hit]) + np.arange(n[hit].sum())
+            for column, value in zip(out, (np.repeat(m[hit], n[hit]), every[pos], pos)):
+                column.append(value)
+        sizes = [len(x) for x in out[0]]
+        yield {"m": _joined(out[0], np.uint64).view(np.int64), "w": _joined(out[1], np.uint64).view(np.int64),
+               "doc_id": np.repeat(batch.column(0).to_numpy(), sizes), "h": np.repeat(batch.column(2).to_numpy(), sizes), "pos": _joined(out[2], np.int32)}
 
-def factors(places: list[tuple[int, int, int]], width: int = WIDTH) -> list[tuple[int, int, int, int]]:
-    """Greedy factors ``start, length, reference id, reference position`` of sorted phrase places."""
+    single = stored(arrow_map(docs, windows, "m bigint, w bigint, doc_id bigint, h int, pos int"))
+    one = with_first(single, ["m", "w"], hot, ["doc_id", "h", "pos"]).where("not own")
+    columns = ["doc_id", "h", "pos", "n", "ref_doc", "ref_pos"]
+    return placed.where("not own").select(*columns).unionByName(one.withColumn("n", F.lit(1)).select(*columns))
+
+
+def factors(places: list[tuple[int, int, int, int]], width: int = WIDTH) -> list[tuple[int, int, int, int]]:
+    """Greedy factors ``start, length, reference id, reference position`` of sorted ``pos, n, reference id, reference position``."""
     out: list[list[int]] = []
-    last = None
-    for pos, doc, at in places:
-        if last and pos == last[0]:
-            continue
-        if last and (pos - 1, doc, at - 1) == last:
-            out[-1][1] += 1
+    for pos, n, doc, at in places:
+        last = out[-1] if out else None
+        if last and last[2] == doc and pos - at == last[0] - last[3] and pos <= last[0] + last[1] - width + 1:
+            last[1] = max(last[1], pos + n - 1 + width - last[0])
         else:
-            out.append([pos, width, doc, at])
-        last = (pos, doc, at)
+            out.append([pos, n - 1 + width, doc, at])
     return [tuple(x) for x in out]
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (text), ``n_words, n_removed`` and ``spans`` (start, length of each factor, flat)."""
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_h", F.xxhash64("_id", "text"))
-    rows = keyed.where("_id is not null and text is not null").select(F.col("_id").alias("doc_id"), "text", F.col("_h").alias("h"))
-    found = stored(occurrences(rows))
-    first = found.groupBy("w").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last")
-    refs = first.select("w", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.pos").alias("ref_pos"))
-    hits = spread_join(found, refs, ["w"], ["doc_id", "pos"], "inner", rows=5_000).where("doc_id > ref_doc")
-    places = hits.groupBy("doc_id", "h").agg(
-        F.flatten(F.sort_array(F.collect_list(F.array(F.col("pos").cast("bigint"), "ref_doc", F.col("ref_pos").cast("bigint"))))).alias("_places"))
-    joined = keyed.join(places.withColumnsRenamed({"doc_id": "_id", "h": "_h"}), ["_id", "_h"], "left").drop("_id", "_h")
-    names = docs.columns
-    from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+def _named(batch: pa.RecordBatch, bloom: np.ndarray, doc: int, h: int | None = None) -> np.ndarray:
+    """Which rows of a batch have their id (and hash) in the filter; not those without id."""
+    ids = batch.column(doc)
+    x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    if h is not None:
+        x = x * np.uint64(MIX) + batch.column(h).to_numpy().astype(np.int64).view(np.uint64)
+    return passes(bloom, mixed(x)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def spans(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, h, claims`` (start and the reference's words of each factor) and a filter of the rows named."""
+    sc = docs.sparkSession.sparkContext
+    flat = F.flatten(F.sort_array(F.collect_list(F.array(F.col("pos").cast("bigint"), F.col("n").cast("bigint"), "ref_doc", F.col("ref_pos").cast("bigint")))))
+    listed = matches(docs, blocks, hot).groupBy("doc_id", "h").agg(flat.alias("places"))
+
+    def parse(batch):
+        found = [factors(list(zip(x[::4], x[1::4], x[2::4], x[3::4]))) for x in batch.column(2).to_pylist()]
+        sizes = [len(x) for x in found]
+        start, length, ref, at = (np.array([f[i] for x in found for f in x], dtype=np.int64) for i in range(4))
+        yield {"doc_id": np.repeat(batch.column(0).to_numpy(), sizes), "h": np.repeat(batch.column(1).to_numpy(), sizes),
+               "start": start.astype(np.int32), "length": length.astype(np.int32), "ref_doc": ref, "ref_pos": at.astype(np.int32)}
+
+    parsed_rows = stored(arrow_map(listed, parse, "doc_id bigint, h int, start int, length int, ref_doc bigint, ref_pos int"))
+
+    def mixed_ids(batch):
+        x = batch.column(0).to_numpy().view(np.uint64)
+        yield {"x": mixed(x).view(np.int64)}
+
+    def mixed_rows(batch):
+        x = batch.column(0).to_numpy().view(np.uint64) * np.uint64(MIX) + batch.column(1).to_numpy().astype(np.int64).view(np.uint64)
+        yield {"x": mixed(x).view(np.int64)}
+
+    references = sc.broadcast(filled(arrow_map(parsed_rows.select("ref_doc").distinct(), mixed_ids, "x bigint"), blocks))
+    named = filled(arrow_map(parsed_rows.select("doc_id", "h").distinct(), mixed_rows, "x bigint"), blocks)
 
+    def referred(batch):
+        kept = batch.filter(pa.array(_named(batch, references.value, 0)))
+        yield {"ref_doc": kept.column(0), "ref_text": kept.column(1)}
+
+    texts = arrow_map(docs.select("doc_id", "text"), referred, "ref_doc bigint, ref_text string")
+    asked = spread_join(parsed_rows, texts, ["ref_doc"], ["doc_id", "start"], "inner", rows=5_000)
+
+    def quoted(batch):
+        out, text, words = [], None, []
+        for t, at, length in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            if t != text:
+                text, words = t, split(t)
+            out.append(b" ".join(words[at : at + length]))
+        yield {"doc_id": batch.column(1), "h": batch.column(2), "start": batch.column(3), "words": out}
+
+    quotes = arrow_map(asked.select("ref_text", "doc_id", "h", "start", "ref_pos", "length"), quoted, "doc_id bigint, h int, start int, words binary")
+    return quotes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "words")).alias("claims")), named
+
+
+def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """``docs`` with ``kept`` (text), ``n_words, n_removed`` and ``spans`` (start, length of each factor, flat).
+
+    Only rows that the filter names go to the join with their factors; the others are counted where they are read.
+    """
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_h", F.hash("text"))
+    claims, named = spans(keyed.where("_id is not null and text is not null").select(F.col("_id").alias("doc_id"), "text", F.col("_h").alias("h")), blocks, hot)
+    bloom = docs.sparkSession.sparkContext.broadcast(named)
+    names, width = docs.columns, len(docs.columns)
     extra = [StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("spans", ArrayType(LongType()))]
-    schema = StructType([*docs.schema.fields, *extra])
-    text_at, width = names.index("text"), len(names)
+    schema, text_at = StructType([*docs.schema.fields, *extra]), names.index("text")
 
-    def run(batches):
+    def cut(batch: pa.RecordBatch, listed: list) -> pa.RecordBatch:
+        kept, n_words, n_removed, found = [], [], [], []
+        for t, claimed in zip(batch.column(text_at).to_pylist(), listed):
+            words, good = split(t), []
+            gone = np.zeros(len(words), dtype=bool)
+            for claim in sorted(claimed or (), key=lambda c: c["start"]):
+                other, start = claim["words"].split(), claim["start"]
+                if len(other) >= WIDTH and words[start : start + len(other)] == other:
+                    gone[start : start + len(other)] = True
+                    good += [start, len(other)]
+            kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if good else words).decode("utf-8", "replace"))
+            n_words.append(len(words))
+            n_removed.append(int(gone.sum()))
+            found.append(good)
+        arrays = [*(batch.column(i) for i in range(width)), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()),
+                  pa.array(n_removed, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def whole(batches):
+        for batch in batches:
+            rest = batch.filter(pa.array(~_named(batch, bloom.value, width, width + 1)))
+            yield cut(rest, [None] * len(rest))
+
+    def asked(batches):
         for batch in batches:
-            kept, n_words, n_removed, spans = [], [], [], []
-            for t, flat in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist()):
-                words = (t or "").encode("utf-8", "replace").split()
-                cut = factors(list(zip(flat[::3], flat[1::3], flat[2::3]))) if flat else []
-                gone = np.zeros(len(words), dtype=bool)
-                for start, length, _, _ in cut:
-                    gone[start : start + length] = True
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "replace"))
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                spans.append([x for start, length, _, _ in cut for x in (start, length)])
-            arrays = [*(batch.column(i) for i in range(width)), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()),
-                      pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return joined.select(*names, "_places").mapInArrow(run, schema)
+            yield batch.filter(pa.array(_named(batch, bloom.value, width, width + 1)))
+
+    def claimed(batches):
+        for batch in batches:
+            yield cut(batch, batch.column(width).to_pylist())
+
+    rows = keyed.select(*names, "_id", "_h")
+    met = rows.mapInArrow(asked, rows.schema).join(claims.withColumnsRenamed({"doc_id": "_id", "h": "_h", "claims": "_claims"}), ["_id", "_h"], "left")
+    return rows.mapInArrow(whole, schema).unionByName(met.select(*names, "_claims").mapInArrow(claimed, schema))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -154,23 +154,72 @@ def test_packing_covers_every_id_once(docs, empty):
     assert all(len(r.ids) == 4096 for r in whole)
 
 
-def test_substrings_against_brute_force(docs, empty):
-    words = {r.doc_id: WORD.findall(r.text or "") for r in docs.collect() if r.doc_id is not None}
+def plain_substrings(rows):
+    """``doc_id, text, n_words, n_removed, kept`` of every row, windows compared word by word."""
+    words = [(d, WORD.findall(t or "")) for d, t in rows]
     first = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - 12):
-            first.setdefault(tuple(words[d][i : i + 13]), d)
-    rows = substrings.parsed(docs.drop("kept")).collect()
-    assert len(rows) == docs.count()
-    for r in rows:
-        w = WORD.findall(r.text or "")
-        gone = {k for i in range(len(w) - 12) if r.doc_id is not None and first[tuple(w[i : i + 13])] < r.doc_id for k in range(i, i + 13)}
-        assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    for d, w in words:
+        for i in range(len(w) - 12 if d is not None else 0):
+            cut = tuple(w[i : i + 13])
+            first[cut] = min(first.get(cut, d), d)
+    out = []
+    for (d, w), (_, t) in zip(words, rows):
+        gone = {k for i in range(len(w) - 12) if d is not None and first[tuple(w[i : i + 13])] < d for k in range(i, i + 13)}
+        out.append((d, t, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def substring_rows(spark, rows, **options):
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted((tuple(r) for r in substrings.parsed(table, **options).drop("spans").select("doc_id", "text", "n_words", "n_removed", "kept").collect()), key=str)
+
+
+def test_substrings_against_brute_force(spark, docs, empty):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = substrings.parsed(docs.drop("kept")).select("doc_id", "text", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == plain_substrings(rows)
     assert substrings.parsed(empty.drop("kept")).count() == 0
     same = substrings.cleaned(docs)
     assert same.columns == docs.columns and same.where("n > 0 and kept <> 'clash'").count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "blocks": 1}])
+def test_substrings_of_passages_in_many_contexts(spark, options):
+    rng = np.random.default_rng(8)
+    lines = [[f"p{k}w{x}" for x in rng.integers(0, 9, int(rng.integers(13, 30)))] for k in range(6)]
+    rows = []
+    for d in rng.permutation(150).tolist():
+        words = []
+        for _ in range(int(rng.integers(1, 5))):
+            words += [f"n{x}" for x in rng.integers(0, 40, int(rng.integers(0, 20)))]
+            line = lines[int(rng.integers(0, 6))]
+            words += line[int(rng.integers(0, 3)) : len(line) - int(rng.integers(0, 3))]
+        rows.append((d, " ".join(words)))
+    rows += [(d, rows[0][1]) for d in (3, 200, 201)] + [(7, "x " * 50), (9, "x " * 20), (201, rows[1][1]), (None, rows[2][1])]
+    assert substring_rows(spark, rows, **options) == plain_substrings(rows)
+
+
+def test_words_that_collide_modulo_a_power_of_two_are_told_apart(spark):
+    even = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(14)]
+    rows = [(1, " ".join([*rest[:7], even, *rest[7:]])), (2, " ".join([*rest[:7], odd, *rest[7:]]))]
+    assert [r[3] for r in substring_rows(spark, rows)] == [0, 0]
+
+
+def test_a_reference_with_other_words_removes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "matches", lambda docs, *_: docs.select(
+        "doc_id", "h", F.lit(0).alias("pos"), F.lit(2).alias("n"), F.lit(1).cast("bigint").alias("ref_doc"), F.lit(1).alias("ref_pos")).where("doc_id > 1"))
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "first " + text), (2, text), (3, text.replace("w5", "v5"))]
+    assert [r[3] for r in substring_rows(spark, rows)] == [0, 14, 0]
+
+
+def test_substrings_of_a_table_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert substring_rows(spark, rows) == plain_substrings(rows)
+
+
 def test_pivots_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 16))
