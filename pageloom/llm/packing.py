@@ -5,8 +5,9 @@ totals (one row per task) are summed in order, which gives each partition its ba
 at multiples of the window: pieces that share a window across documents or partitions are its boundary records.
 Every window but the last is full; the last is padded.
 
-Null and empty texts consist of the end id alone. Repeated rows are packed as often as they occur.
-An empty table gives no pieces. Documents may span any number of windows.
+Null and empty texts consist of the end id alone. Repeated rows, and rows of one or no id, are packed as often as they occur.
+An empty table gives no pieces. Very long texts, of any one character too, span any number of windows. The order is
+that of the partitions; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,17 @@ from pageloom.llm.bpe import BEYOND, VOCABULARY, default_path, vocabulary
 from pageloom.llm.common import arrow_schema, stored, table
 
 WINDOW, END = 1024, 0
+#: White space of twice this many characters may exhaust the faster library's splitter; blocks of it are looked for.
+BLANK = 25_000
+
+
+def long_blank(text: str) -> bool:
+    """Whether ``text`` may hold a run of ``2 * BLANK`` characters of white space: such a run covers a whole block."""
+    return any(text[at : at + BLANK].isspace() for at in range(0, len(text) - BLANK + 1, BLANK))
 
 
 def _tokenizer(path: str):
-    """Text to ids. Texts beyond Latin letters go to the file's own library, others to a faster one with the same ranks."""
+    """Text to ids. Texts beyond Latin letters or with very long white space go to the file's own library, others to a faster one with the same ranks."""
     import public_tokenizers
     import tiktoken
 
@@ -34,7 +42,7 @@ def _tokenizer(path: str):
     allowed = set(v.special)
 
     def ids(text: str) -> np.ndarray:
-        if text.isascii() or not BEYOND.search(text):
+        if (text.isascii() or not BEYOND.search(text)) and not long_blank(text):
             return np.asarray(quick.encode_to_numpy(text, allowed_special=allowed), dtype="<u4")
         return np.array(v.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -154,6 +154,24 @@ def test_packing_covers_every_id_once(docs, empty):
     assert all(len(r.ids) == 4096 for r in whole)
 
 
+def test_packing_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    rows = [*enumerate(TEXTS), (20, " " * 2_000_000), (21, "a" * 300_000), (22, ".,;:!?-" * 40_000), (23, "\n \t" * 30_000 + "end" + " " * 60_000),
+            (24, "ﬁn " + "✓" * 50_000), (25, "a\u00a0" * 70_000 + " " * 49_999), (None, "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {}
+    for r in packing.pieces(table).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == {d for d, _ in rows}
+    for d, text in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        cut = sorted(got[d], key=lambda r: r.start)
+        assert [r.start for r in cut] == np.cumsum([0, *(r.length for r in cut)])[:-1].tolist() and b"".join(r.ids for r in cut) == ids.tobytes()
+        assert all(r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in cut)
+
+
 def plain_substrings(rows):
     """``doc_id, text, n_words, n_removed, kept`` of every row, windows compared word by word."""
     words = [(d, WORD.findall(t or "")) for d, t in rows]
