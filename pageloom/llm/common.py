@@ -30,19 +30,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator], schema: str) -> DataFrame:
-    """Apply ``work`` to each Arrow batch; it yields dicts of column name to values."""
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply ``work`` to each Arrow batch, cut to ``rows`` rows if given; it yields dicts of column name to values."""
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for batch in batches:
-            for out in work(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for f, v in ((f, out[f.name]) for f in target)], schema=target)
+        for out in (out for batch in batches for part in sliced(batch, rows) for out in work(part)):
+            yield pa.RecordBatch.from_arrays(
+                [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for f, v in ((f, out[f.name]) for f in target)], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def sliced(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of ``rows`` rows: what a task holds of long texts at once is bounded by them."""
+    size = rows or max(1, batch.num_rows)
+    for at in range(0, batch.num_rows, size):
+        yield batch.slice(at, size)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
              "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}

@@ -9,11 +9,11 @@ neighbouring windows of one representative form a passage. A document is factore
 3. Passages that are first of their kind, but share their representative with others, are cut into windows, and
    each window looks for its own first place. That settles passages at factor boundaries.
 4. Matches of one reference that continue each other become one factor, and neighbouring factors overlap where
-   passages meet, so no window across a boundary is missed. The reference's words are sent to the document and
-   compared with its own: only equal words become a span that is removed.
+   passages meet, so no window across a boundary is missed. Both texts are read again: a factor whose words
+   are the reference's words, by a 128-bit BLAKE2 digest of them, becomes a span that is removed.
 
 Bloom filters have a bounded size: a fuller one passes more, never fewer. Keys are pairs of 64-bit hashes (representative and
-passage); words decide in the end. Keys with many rows, found in a sample by hash of the id, are salted.
+passage); the words decide in the end. Keys with many rows, found in a sample by hash of the id, are salted.
 
 Null and empty texts have no words. Rows without id neither lose words nor serve as reference. Rows of one id (repeated
 rows too) are no references for each other. Among places of one id the first counts. An empty table gives an empty result; whole texts are
@@ -22,58 +22,62 @@ read, however long. Extra columns pass through, those named ``kept, n_words, n_r
 
 from __future__ import annotations
 
+import hashlib
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from pageloom.llm.common import arrow_map, stored, table
+from pageloom.llm.common import arrow_map, sliced, stored, table
 from pageloom.llm.hashing import mixed, window_hashes
 from pageloom.operators.skew import spread_join
 
 WIDTH, GRAM, BLOCKS, OTHER, MIX = 13, 5, 1 << 21, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
-#: One of SAMPLE ids is looked at for keys with at least HOT rows in the sample; at most HOT_KEYS keys get SALTS parts.
-SAMPLE, HOT, HOT_KEYS, SALTS, MEMO = 32, 200, 1_000, 64, 500_000
-
-
-class WordHashes(dict):
-    """64-bit hash of each word met; forgets all when it has grown to ``MEMO`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
-HASHES = WordHashes()
+#: One of SAMPLE ids is looked at for keys with at least HOT rows in the sample; at most HOT_KEYS keys get SALTS parts. Texts to a step of a task.
+SAMPLE, HOT, HOT_KEYS, SALTS, ROWS = 32, 200, 1_000, 64, 500
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def passages(text: str | None, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``m, span, at, n`` of every passage (representative, hash, first window, windows) and the hash of every window."""
-    words = split(text)
-    n = len(words) - width + 1
-    if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int32), np.zeros(0, np.int32), none
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    parts, whole = window_hashes(h, gram, OTHER), window_hashes(h, width)
-    least, place = parts[:n].copy(), np.zeros(n, np.int32)
-    for j in range(1, width - gram + 1):
-        less = parts[j : j + n] < least
-        np.copyto(least, parts[j : j + n], where=less)
-        place[less] = j
-    place += np.arange(n, dtype=np.int32)
-    at = np.flatnonzero(np.diff(place, prepend=-1)).astype(np.int32)
-    count = np.diff(np.append(at, n)).astype(np.int32)
-    # The first and the last window of a passage overlap, so together they hold all of its words.
-    span = mixed(whole[at] * np.uint64(MIX) + whole[at + count - 1]) ^ count.astype(np.uint64)
-    return least[at], span, at, count, whole
+class Passages:
+    """The passages of several texts at once.
+
+    ``m, span, at, n``: representative, hash, first window and number of windows; ``text``: position of its text;
+    ``windows``: hashes of all windows, of which passage i has those from ``begin[i]`` on.
+    """
+
+    def __init__(self, texts: list[str | None], width: int = WIDTH, gram: int = GRAM) -> None:
+        words = [split(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        n = len(h) - width + 1
+        owner = np.repeat(np.arange(len(words)), sizes)
+        own = np.flatnonzero(owner[: max(n, 0)] == owner[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        if not len(own):
+            none = np.zeros(0, np.int64)
+            self.m = self.span = self.windows = none.view(np.uint64)
+            self.at = self.n = self.text = self.begin = none
+            return
+        parts, self.windows = window_hashes(h, gram, OTHER), window_hashes(h, width)
+        least, place = parts[:n].copy(), np.arange(n)
+        for j in range(1, width - gram + 1):
+            less = parts[j : j + n] < least
+            np.copyto(least, parts[j : j + n], where=less)
+            np.copyto(place, np.arange(j, j + n), where=less)
+        # Windows of one text follow one another; those of two texts never share a place.
+        new = np.flatnonzero(np.diff(place[own], prepend=-1))
+        self.begin = own[new]
+        self.n = np.diff(np.append(new, len(own)))
+        self.m, self.text = least[self.begin], owner[self.begin]
+        self.at = self.begin - (np.cumsum(sizes) - sizes)[self.text]
+        # The first and the last window of a passage overlap, so together they hold all of its words.
+        first, last = self.windows[self.begin], self.windows[self.begin + self.n - 1]
+        self.span = mixed(first * np.uint64(MIX) + last) ^ self.n.astype(np.uint64)
 
 
 def _probe(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,22 +109,18 @@ def filled(values: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
     return out
 
 
-def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False)
-
-
-def _owner(span: np.ndarray, doc: int) -> np.ndarray:
-    return mixed(span + np.uint64(doc & 0xFFFFFFFFFFFFFFFF) * np.uint64(MIX))
+def _owner(span: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mixed(span + doc.view(np.uint64) * np.uint64(MIX))
 
 
 def represented(docs: DataFrame, blocks: int) -> np.ndarray:
     """Bloom filter of the representatives that stand under two ids or more."""
 
     def work(batch):
-        found = [np.unique(passages(t)[0]) for t in batch.column(1).to_pylist()]
-        yield {"m": _joined(found, np.uint64).view(np.int64), "doc_id": np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])}
+        p = Passages(batch.column(1).to_pylist())
+        yield {"m": p.m.view(np.int64), "doc_id": batch.column(0).to_numpy()[p.text]}
 
-    seen = arrow_map(docs, work, "m bigint, doc_id bigint").groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    seen = arrow_map(docs, work, "m bigint, doc_id bigint", ROWS).groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     return filled(seen.where("a < b").select("m"), blocks)
 
 
@@ -150,42 +150,34 @@ def matches(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     shared = sc.broadcast(represented(docs.select("doc_id", "text"), blocks))
 
     def whole(batch):
-        out: list[list] = [[], [], [], []]
-        for t in batch.column(1).to_pylist():
-            m, span, at, n, _ = passages(t)
-            hit = passes(shared.value, m)
-            for column, value in zip(out, (m, span, at, n)):
-                column.append(value[hit])
-        sizes = [len(x) for x in out[0]]
-        yield {"m": _joined(out[0], np.uint64).view(np.int64), "span": _joined(out[1], np.uint64).view(np.int64),
-               "doc_id": np.repeat(batch.column(0).to_numpy(), sizes), "h": np.repeat(batch.column(2).to_numpy(), sizes),
-               "pos": _joined(out[2], np.int32), "n": _joined(out[3], np.int32)}
-
-    rows = arrow_map(docs, whole, "m bigint, span bigint, doc_id bigint, h int, pos int, n int")
+        p = Passages(batch.column(1).to_pylist())
+        hit = passes(shared.value, p.m)
+        text = p.text[hit]
+        yield {"m": p.m[hit].view(np.int64), "span": p.span[hit].view(np.int64), "doc_id": batch.column(0).to_numpy()[text],
+               "h": batch.column(2).to_numpy()[text], "pos": p.at[hit].astype(np.int32), "n": p.n[hit].astype(np.int32)}
+
+    rows = arrow_map(docs, whole, "m bigint, span bigint, doc_id bigint, h int, pos int, n int", ROWS)
     placed = with_first(stored(rows), ["m", "span"], hot, ["doc_id", "h", "pos", "n", "m", "span"])
     first = placed.where("own").select("m", "span", "doc_id")
     several = sc.broadcast(filled(first.groupBy("m").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("m"), blocks))
 
     def owners(batch):
-        m, span, doc = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
-        hit = passes(several.value, m)
-        yield {"x": mixed(span[hit] + doc[hit] * np.uint64(MIX)).view(np.int64)}
+        m, span, doc = (batch.column(i).to_numpy() for i in range(3))
+        hit = passes(several.value, m.view(np.uint64))
+        yield {"x": _owner(span[hit].view(np.uint64), doc[hit]).view(np.int64)}
 
     cut = sc.broadcast(filled(arrow_map(first, owners, "x bigint"), blocks))
 
     def windows(batch):
-        out: list[list] = [[], [], []]
-        for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            m, span, at, n, every = passages(t)
-            hit = np.flatnonzero(passes(shared.value, m) & passes(several.value, m) & passes(cut.value, _owner(span, doc)))
-            pos = np.repeat(at[hit] - np.cumsum(n[hit]) + n[hit], n[hit]) + np.arange(n[hit].sum())
-            for column, value in zip(out, (np.repeat(m[hit], n[hit]), every[pos], pos)):
-                column.append(value)
-        sizes = [len(x) for x in out[0]]
-        yield {"m": _joined(out[0], np.uint64).view(np.int64), "w": _joined(out[1], np.uint64).view(np.int64),
-               "doc_id": np.repeat(batch.column(0).to_numpy(), sizes), "h": np.repeat(batch.column(2).to_numpy(), sizes), "pos": _joined(out[2], np.int32)}
-
-    single = stored(arrow_map(docs, windows, "m bigint, w bigint, doc_id bigint, h int, pos int"))
+        p, ids = Passages(batch.column(1).to_pylist()), batch.column(0).to_numpy()
+        hit = np.flatnonzero(passes(shared.value, p.m) & passes(several.value, p.m) & passes(cut.value, _owner(p.span, ids[p.text])))
+        n = p.n[hit]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text = np.repeat(p.text[hit], n)
+        yield {"m": np.repeat(p.m[hit], n).view(np.int64), "w": p.windows[np.repeat(p.begin[hit], n) + step].view(np.int64), "doc_id": ids[text],
+               "h": batch.column(2).to_numpy()[text], "pos": (np.repeat(p.at[hit], n) + step).astype(np.int32)}
+
+    single = stored(arrow_map(docs, windows, "m bigint, w bigint, doc_id bigint, h int, pos int", ROWS))
     one = with_first(single, ["m", "w"], hot, ["doc_id", "h", "pos"]).where("not own")
     columns = ["doc_id", "h", "pos", "n", "ref_doc", "ref_pos"]
     return placed.where("not own").select(*columns).unionByName(one.withColumn("n", F.lit(1)).select(*columns))
@@ -213,7 +205,7 @@ def _named(batch: pa.RecordBatch, bloom: np.ndarray, doc: int, h: int | None = N
 
 
 def spans(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, h, claims`` (start and the reference's words of each factor) and a filter of the rows named."""
+    """``doc_id, h, claims`` (start, length and the digest of the reference's words of each factor) and a filter of the rows named."""
     sc = docs.sparkSession.sparkContext
     flat = F.flatten(F.sort_array(F.collect_list(F.array(F.col("pos").cast("bigint"), F.col("n").cast("bigint"), "ref_doc", F.col("ref_pos").cast("bigint")))))
     listed = matches(docs, blocks, hot).groupBy("doc_id", "h").agg(flat.alias("places"))
@@ -242,19 +234,29 @@ def spans(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> tuple[DataFr
         kept = batch.filter(pa.array(_named(batch, references.value, 0)))
         yield {"ref_doc": kept.column(0), "ref_text": kept.column(1)}
 
-    texts = arrow_map(docs.select("doc_id", "text"), referred, "ref_doc bigint, ref_text string")
-    asked = spread_join(parsed_rows, texts, ["ref_doc"], ["doc_id", "start"], "inner", rows=5_000)
+    texts = arrow_map(docs.select("doc_id", "text"), referred, "ref_doc bigint, ref_text string", ROWS)
+    # What is asked of a reference is asked once, in lists that its own text bounds.
+    part = F.pmod("ref_pos", F.lit(8))
+    asked = parsed_rows.select("ref_doc", "ref_pos", "length").distinct().groupBy("ref_doc", part).agg(F.collect_list(F.struct("ref_pos", "length")).alias("cuts"))
 
     def quoted(batch):
-        out, text, words = [], None, []
-        for t, at, length in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-            if t != text:
-                text, words = t, split(t)
-            out.append(b" ".join(words[at : at + length]))
-        yield {"doc_id": batch.column(1), "h": batch.column(2), "start": batch.column(3), "words": out}
+        out: list[list] = [[], [], [], []]
+        for doc, t, cuts in zip(*(c.to_pylist() for c in batch.columns)):
+            words = split(t)
+            for cut in cuts:
+                at, length = cut["ref_pos"], cut["length"]
+                for column, value in zip(out, (doc, at, length, quote(words, at, length))):
+                    column.append(value)
+        yield dict(zip(("ref_doc", "ref_pos", "length", "digest"), out))
 
-    quotes = arrow_map(asked.select("ref_text", "doc_id", "h", "start", "ref_pos", "length"), quoted, "doc_id bigint, h int, start int, words binary")
-    return quotes.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "words")).alias("claims")), named
+    quotes = arrow_map(asked.join(texts, "ref_doc").select("ref_doc", "ref_text", "cuts"), quoted, "ref_doc bigint, ref_pos int, length int, digest binary", 64)
+    told = spread_join(parsed_rows, quotes, ["ref_doc", "ref_pos", "length"], ["doc_id", "start"], "inner", rows=5_000)
+    return told.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "length", "digest")).alias("claims")), named
+
+
+def quote(words: list[bytes], at: int, length: int) -> bytes:
+    """Digest of ``length`` words; words hold no space, so joined ones tell them apart."""
+    return hashlib.blake2b(b" ".join(words[at : at + length]), digest_size=16).digest()
 
 
 def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
@@ -274,11 +276,11 @@ def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
         for t, claimed in zip(batch.column(text_at).to_pylist(), listed):
             words, good = split(t), []
             gone = np.zeros(len(words), dtype=bool)
-            for claim in sorted(claimed or (), key=lambda c: c["start"]):
-                other, start = claim["words"].split(), claim["start"]
-                if len(other) >= WIDTH and words[start : start + len(other)] == other:
-                    gone[start : start + len(other)] = True
-                    good += [start, len(other)]
+            for claim in sorted(claimed or (), key=lambda c: (c["start"], c["length"])):
+                start, length = claim["start"], claim["length"]
+                if claim["digest"] == quote(words, start, length):
+                    gone[start : start + length] = True
+                    good += [start, length]
             kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if good else words).decode("utf-8", "replace"))
             n_words.append(len(words))
             n_removed.append(int(gone.sum()))
@@ -288,7 +290,7 @@ def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def whole(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in sliced(batch, ROWS)):
             rest = batch.filter(pa.array(~_named(batch, bloom.value, width, width + 1)))
             yield cut(rest, [None] * len(rest))
 
@@ -297,7 +299,7 @@ def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
             yield batch.filter(pa.array(_named(batch, bloom.value, width, width + 1)))
 
     def claimed(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in sliced(batch, ROWS)):
             yield cut(batch, batch.column(width).to_pylist())
 
     rows = keyed.select(*names, "_id", "_h")
