@@ -35,7 +35,7 @@ from pageloom.llm.common import arrow_map, sliced, stored, table
 from pageloom.llm.hashing import mixed, window_hashes
 from pageloom.operators.skew import spread_join
 
-WIDTH, GRAM, BLOCKS, OTHER, MIX = 13, 5, 1 << 21, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
+WIDTH, GRAM, BLOCKS, OTHER, MIX = 13, 5, 1 << 19, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15
 #: One of SAMPLE ids is looked at for keys with at least HOT rows in the sample; at most HOT_KEYS keys get SALTS parts. Texts to a step of a task.
 SAMPLE, HOT, HOT_KEYS, SALTS, ROWS = 32, 200, 1_000, 64, 500
 
@@ -178,6 +178,8 @@ def matches(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
                "h": batch.column(2).to_numpy()[text], "pos": (np.repeat(p.at[hit], n) + step).astype(np.int32)}
 
     single = stored(arrow_map(docs, windows, "m bigint, w bigint, doc_id bigint, h int, pos int", ROWS))
+    for used in (shared, several, cut):
+        used.destroy()
     one = with_first(single, ["m", "w"], hot, ["doc_id", "h", "pos"]).where("not own")
     columns = ["doc_id", "h", "pos", "n", "ref_doc", "ref_pos"]
     return placed.where("not own").select(*columns).unionByName(one.withColumn("n", F.lit(1)).select(*columns))
