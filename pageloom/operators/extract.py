@@ -11,21 +11,19 @@ import datetime as dt
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lets import let
 from ..functions.text import float_text
-from ..functions.transforms import KIND, apply_transform
+from ..functions.transforms import KIND, TRANSFORMS, apply_transform
 from ..functions.urls import resolve_url
-from ..model import ExtractionSpec, FieldRule
+from ..model import SELECTOR_TYPES, ExtractionSpec, FieldRule
 from . import jsonld
-from .selectors import Selector, first_match, parse_selector, select_nodes, text_slice
-from .shred import shred
-
-#: Specs compiled into one plan; more specs are run in groups of this size.
-SPECS_PER_PLAN = 32
+from .programs import compile_spec, compiled, run_programs
+from .selectors import Selector, SelectorError, first_match, parse_selector, select_nodes, text_slice
+from .shred import EXTRACT_FIELDS, shred
+from .skew import spread_join
 
 
 @dataclass(frozen=True)
@@ -71,9 +69,11 @@ def _tree_value(rule: FieldRule, nodes: Column, text: Column, root: Column) -> C
     sel = parse_selector(rule.selector, rule.selector_type)
     attribute = rule.attribute if rule.attribute and rule.attribute != "text" else None
     if sel.reads and sel.reads.startswith("@"):
-        attribute = sel.reads[1:]
+        attribute = sel.reads[1:].lower()
 
     def read(n: Column) -> Column:
+        if sel.reads == "text()":
+            return n["first_text"]
         if attribute:
             return F.try_element_at(n["attrs"], F.lit(attribute))
         return F.when(n.isNotNull(), text_slice(text, n["t0"], n["t1"]))
@@ -146,6 +146,10 @@ def _raw_rows(spec: ExtractionSpec, cardinality: str) -> Column:
     )
 
 
+def _reads_text(selector: str, kind: str) -> bool:
+    return kind in ("css", "xpath") and parse_selector(selector, kind).reads == "text()"
+
+
 def _page_values(specs: list[ExtractionSpec]) -> Column:
     """Page-level JSON-LD values by path, for json_ld rules inside tree rows."""
     paths = sorted(
@@ -164,7 +168,9 @@ def _prepare(pages: DataFrame, specs: list[ExtractionSpec], cardinality: str, tr
     if tree or any(n.tree for n in needs):
         regex = any(r.selector_type == "regex" for s in specs for r in s.field_rules)
         keep = regex or any(n.objects for n in needs)
-        out = shred(out, keep_html=keep)
+        own = any(_reads_text(r.selector, r.selector_type) for s in specs for r in s.field_rules)
+        own = own or any(_reads_text(s.next_page_selector, s.next_page_selector_type) for s in specs if s.next_page_selector)
+        out = shred(out, EXTRACT_FIELDS + (("first_text",) if own else ()), keep_html=keep)
     if any(n.objects for n in needs):
         out = out.withColumn("objects", jsonld.jsonld_objects(F.col("html")))
         mixed = [s for s in specs if not _iterates_objects(s, cardinality) and _needs(s, cardinality).objects]
@@ -216,6 +222,20 @@ def rows_of(
     )
 
 
+def _beyond_columns(spec: ExtractionSpec) -> bool:
+    """Whether a spec tests the text of elements, or has a group that may stay out of a match: work for the evaluator."""
+    groups = [r.selector for r in spec.field_rules if r.selector_type == "regex" and re.compile(r.selector, re.DOTALL).groups]
+    if any("|" in g or re.search(r"\)(?:[?*]|\{0?,)", g) for g in groups):
+        return True
+    chosen = [(r.selector, r.selector_type) for r in spec.field_rules] + [(spec.container_selector or "*", spec.container_selector_type)]
+    kinds = {t[0] for text, kind in chosen if kind in ("css", "xpath") for chain in parse_selector(text, kind).chains for step in chain for t in _all_tests(step.tests)}
+    return bool(kinds & {"text", "space"})
+
+
+def _all_tests(tests) -> list[tuple]:
+    return [t for test in tests for t in ([test] if test[0] not in ("is", "not") else [x for group in test[1] for x in _all_tests(group)])]
+
+
 def extract(
     pages: DataFrame,
     spec: ExtractionSpec,
@@ -228,30 +248,54 @@ def extract(
     ``pages`` has ``page_id``, ``url`` and ``html``. ``row_no`` counts from 0 in
     document order within the page. Field columns take the type of their transform.
     """
-    return rows_of(extract_pages(pages, spec, cardinality, keep, links=False), spec, as_of, keep)
+    if not _beyond_columns(spec):
+        return rows_of(extract_pages(pages, spec, cardinality, keep, links=False), spec, as_of, keep)
+    rules = spec.effective_rules()
+    program = compile_spec(spec.to_json(), cardinality, SELECTOR_TYPES, tuple(TRANSFORMS))
+    source = pages.select("page_id", F.col("url").alias("page_url"), "html", *keep, F.array(F.lit(program)).alias("programs"))
+    rows = run_programs(source, list(rules))
+    return rows.select(
+        "page_id", "page_url", *keep, "row_no", *[_value(rule, F.col("cells")[i]["raw"], as_of).alias(name) for i, (name, rule) in enumerate(rules.items())])
 
 
-def _tagged(rule: FieldRule | None, raw: Column | None, as_of: dt.date | None) -> Column:
-    """A value as text together with its kind, so that rows of many specs line up."""
-    if rule is None:
-        return F.struct(F.lit(None).cast("string").alias("v"), F.lit("absent").alias("k"))
-    kind = KIND[rule.transform] if rule.transform else "str"
-    value = _value(rule, raw, as_of)
-    text = float_text(value) if kind == "float" else value.cast("string")
-    return F.struct(text.alias("v"), F.lit(kind).alias("k"))
+def _tagged(cell: Column, as_of: dt.date | None) -> Column:
+    """A raw cell through the transform it names, as text together with its kind, so that rows of all specs line up."""
+    text = cell["raw"]
+    kind = F.when(cell["how"] == "absent", F.lit("absent"))
+    for name in TRANSFORMS:
+        value = apply_transform(name, cell["raw"], F.col("page_url"), as_of)
+        text = F.when(cell["how"] == name, float_text(value) if KIND[name] == "float" else value.cast("string")).otherwise(text)
+        kind = kind.when(cell["how"] == name, F.lit(KIND[name]))
+    return F.struct(text.alias("v"), kind.otherwise(F.lit("str")).alias("k"))
 
 
-def _tagged_rows(spec: ExtractionSpec, cardinality: str, fields: list[str], as_of: dt.date | None) -> Column:
-    rules = spec.effective_rules()
-    return F.transform(
-        _raw_rows(spec, cardinality),
-        lambda raw: F.struct(
-            *[
-                _tagged(rules.get(f), raw[f] if f in rules else None, as_of).alias(f)
-                for f in fields
-            ]
-        ),
-    )
+def extract_assigned(
+    pages: DataFrame,
+    assigned: DataFrame,
+    fields: list[str],
+    cardinality: str = "many",
+    as_of: dt.date | None = None,
+    keep: tuple[str, ...] = (),
+    links: bool = False,
+) -> DataFrame:
+    """Rows of pages by the specs assigned to them: any number of specs, one scan and one shred.
+
+    ``assigned`` (page_id, spec_id, spec_json and the ``keep`` fields that tell apart several specs of a page) is compiled as data; a
+    bad spec yields no rows (``compiled`` has its error). Fields come out as ``struct<v: string, k: string>`` (value and kind;
+    kind 'absent' when the spec has no such field). With ``links``, ``next_url`` is set on the row of a page's next link, numbered -1.
+    """
+    programs = compiled(assigned, cardinality, SELECTOR_TYPES, tuple(TRANSFORMS)).drop("spec_error")
+    named = spread_join(assigned.select("page_id", "spec_id", *keep), programs, ["spec_id"], by=["page_id", *keep])
+    lists = named.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*keep, "spec_id", "program"))).alias("specs"))
+    source = pages.select("page_id", F.col("url").alias("page_url"), "html").join(lists, "page_id").select(
+        "page_id", "page_url", "html", F.transform("specs", lambda s: F.struct(s["spec_id"].alias("spec_id"), *[s[k].alias(k) for k in keep])).alias("specs"),
+        F.col("specs.program").alias("programs"))
+    rows = run_programs(source, fields, links).withColumn("s", F.get("specs", F.col("slot")))
+    cells = F.when(F.col("row_no") >= 0, F.transform("cells", lambda c: _tagged(c, as_of)))
+    following = [resolve_url(F.col("page_url"), F.when(F.col("row_no") < 0, F.get("cells", F.lit(0))["raw"])).alias("next_url")] if links else []
+    made = rows.select("page_id", "page_url", F.col("s.spec_id").alias("spec_id"), *[F.col(f"s.{k}").alias(k) for k in keep], "row_no", cells.alias("cells"), *following)
+    return made.select(
+        "page_id", "page_url", "spec_id", *keep, "row_no", *[F.get("cells", F.lit(i)).alias(f) for i, f in enumerate(fields)], *(["next_url"] if links else []))
 
 
 def extract_by_spec(
@@ -262,36 +306,12 @@ def extract_by_spec(
     as_of: dt.date | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows of pages that list their specs in ``assigned``: many templates, one pass.
-
-    ``assigned`` is an array of structs with ``spec_id`` and the ``keep`` fields, which
-    tell apart several specs tried on one page; a page is shredded once for all of them.
-    Up to ``SPECS_PER_PLAN`` specs share a scan, each assignment evaluating only its own
-    branch; larger sets are unions of such plans. Fields come out as
-    ``struct<v: string, k: string>`` (value and kind; kind 'absent' when the spec has
-    no such field).
-    """
-    source = pages.select("page_id", F.col("url").alias("page_url"), "html", "assigned")
-    parts = []
-    names = sorted(specs)
-    for at in range(0, len(names), SPECS_PER_PLAN):
-        group = names[at : at + SPECS_PER_PLAN]
-        mine = F.filter("assigned", lambda a: a["spec_id"].isin(group))
-        chosen = source.withColumn("assigned", mine).where(F.size("assigned") > 0)
-        prepared = _prepare(chosen, [specs[n] for n in group], cardinality)
-        prepared = prepared.withColumn("a", F.explode("assigned")).select("*", "a.*")
-        branches = [
-            (F.col("spec_id") == n, _tagged_rows(specs[n], cardinality, fields, as_of)) for n in group
-        ]
-        rows = reduce(lambda acc, b: acc.when(*b), branches[1:], F.when(*branches[0]))
-        parts.append(
-            prepared.select(
-                "page_id", "page_url", "spec_id", *keep, F.posexplode(rows).alias("row_no", "row")
-            ).select("page_id", "page_url", "spec_id", *keep, "row_no", "row.*")
-        )
-    if not parts:
+    """``extract_assigned`` for pages that list their specs in ``assigned`` (structs of spec_id and the ``keep`` fields), with given specs."""
+    if not specs:
         raise ValueError("no specs given")
-    return reduce(DataFrame.unionByName, parts)
+    known = pages.sparkSession.createDataFrame([(n, s.to_json()) for n, s in specs.items()], "spec_id string, spec_json string")
+    listed = pages.select("page_id", F.explode("assigned").alias("a")).select("page_id", "a.spec_id", *[F.col(f"a.{k}").alias(k) for k in keep])
+    return extract_assigned(pages, spread_join(listed, known, ["spec_id"], ["page_id"], "inner"), fields, cardinality, as_of, keep)
 
 
 def links_of(extracted: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import sha_prefix
-from ..model import SELECTOR_TYPES, SPEC_SCHEMA, ExtractionSpec, ExtractionTarget
+from ..functions.transforms import TRANSFORMS
+from ..model import SELECTOR_TYPES, SPEC_SCHEMA, ExtractionTarget
 from ..session import cut_lineage
-from .extract import extract_by_spec
+from .extract import extract_assigned
+from .programs import compiled
 from .skew import latest, spread_join
 from .validate import check_rows, run_quality
 
@@ -80,24 +82,13 @@ def cache_status(
     )
 
 
-def load_specs(assigned: DataFrame) -> dict[str, ExtractionSpec]:
-    """Specs named in an assignment table, by ``spec_id``.
-
-    Only the distinct spec texts come to the driver: they are the programs to
-    compile, and follow the number of templates rather than the number of pages.
-    """
-    distinct = assigned.select("spec_id", "spec_json").distinct()
-    return {r.spec_id: ExtractionSpec.from_json(r.spec_json) for r in distinct.toLocalIterator()}
-
-
 def with_spec_id(df: DataFrame) -> DataFrame:
     return df.withColumn("spec_id", sha_prefix(F.col("spec_json")))
 
 
-def assign(pages: DataFrame, assigned: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pages with their list of specs, one entry per attempt on the page."""
-    lists = assigned.groupBy("page_id").agg(F.collect_list(F.struct("spec_id", *keys)).alias("assigned"))
-    return pages.select("page_id", "url", "html").join(lists, "page_id")
+def spec_errors(assigned: DataFrame, target: ExtractionTarget) -> DataFrame:
+    """``spec_id, spec_error`` of the distinct specs that cannot be run."""
+    return compiled(assigned, target.cardinality, SELECTOR_TYPES, tuple(TRANSFORMS)).where("spec_error is not null").select("spec_id", "spec_error")
 
 
 def evaluate_assigned(
@@ -110,16 +101,11 @@ def evaluate_assigned(
     """Run the spec assigned to each page and judge the page's rows.
 
     ``assigned`` has ``page_id, spec_id, spec_json`` and the ``keys`` that tell apart
-    several assignments of one page. One verdict per (page_id, *keys).
+    several assignments of one page. One verdict per (page_id, *keys); a spec that cannot be
+    run yields no rows.
     """
-    specs = load_specs(assigned)
     run_keys = ("page_id", *keys)
-    if not specs:
-        empty = assigned.select(*run_keys).where(F.lit(False))
-        return run_quality(check_rows(empty, target, run_keys), empty, target, run_keys)
-    rows = extract_by_spec(
-        assign(pages, assigned, keys), specs, [f.name for f in target.fields], target.cardinality, as_of, keep=keys
-    )
+    rows = extract_assigned(pages, assigned, [f.name for f in target.fields], target.cardinality, as_of, keep=keys)
     checked = check_rows(rows, target, run_keys)
     return run_quality(checked, assigned, target, run_keys)
 

@@ -1,8 +1,8 @@
-"""CSS and XPath selectors as predicates on the ``nodes`` array.
+"""CSS and XPath selectors as step lists, and their Column form on the ``nodes`` array.
 
-A selector is turned, on the driver, into a short list of steps; each step is a
-Column predicate on one node, and the combinators between steps become lookups
-through the node's own ``anc``, ``parent_id`` and ``prev_id``. Nothing is joined.
+Parsing turns a selector into plain data: chains of steps, each a link to the step before and a list of tests.
+The Column form makes each test a predicate on one node and each link a lookup through the node's own ``anc``,
+``parent_id`` and ``prev_id``; nothing is joined. ``programs`` interprets the same steps where specs are rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 Predicate = Callable[[Column], Column]
+#: A test: a name and its arguments, lists and texts only.
+Test = tuple
 
 
 class SelectorError(ValueError):
@@ -22,8 +24,12 @@ class SelectorError(ValueError):
 
 @dataclass(frozen=True)
 class Step:
-    link: str            # how this step hangs on the one before: ' ', '>', '+', '~', '//', '/'
-    test: Predicate
+    link: str                  # how this step hangs on the one before: ' ', '>', '+', '~', '//', '/'
+    tests: tuple[Test, ...]    # all must hold
+
+    @property
+    def test(self) -> Predicate:
+        return _both([_predicate(t) for t in self.tests])
 
 
 @dataclass(frozen=True)
@@ -35,23 +41,21 @@ class Selector:
     reads: str | None = None   # None: the node; 'text()': its own text; '@name': an attribute
 
 
-# ---------------------------------------------------------------- node tests
+# ---------------------------------------------------------- tests as predicates
 def _attr(x: Column, name: str) -> Column:
     return F.try_element_at(x["attrs"], F.lit(name))
 
 
-def _tag_is(name: str) -> Predicate:
-    return lambda x: x["tag"] == name.lower()
-
-
 def _attr_test(name: str, op: str | None, value: str | None) -> Predicate:
     def test(x: Column) -> Column:
-        a = _attr(x, name.lower())
+        a = _attr(x, name)
         if op is None:
             return a.isNotNull()
         v = F.lit(value)
         if op == "=":
             return F.coalesce(a == v, F.lit(False))
+        if op == "!=":
+            return F.coalesce(a != v, F.lit(False))
         if value == "":
             return F.lit(False)
         if op == "~=":
@@ -65,7 +69,15 @@ def _attr_test(name: str, op: str | None, value: str | None) -> Predicate:
     return test
 
 
-def _nth(a: int, b: int, pos: Callable[[Column], Column]) -> Predicate:
+_POSITION: dict[str, Predicate] = {
+    "sib": lambda x: x["sib_pos"],
+    "last": lambda x: x["n_sib"] - x["sib_pos"] + 1,
+    "type": lambda x: x["tag_pos"],
+    "last_type": lambda x: x["n_tag"] - x["tag_pos"] + 1,
+}
+
+
+def _nth(pos: Predicate, a: int, b: int) -> Predicate:
     def test(x: Column) -> Column:
         if a == 0:
             return pos(x) == b
@@ -84,15 +96,54 @@ def _both(tests: list[Predicate]) -> Predicate:
     return test
 
 
+def _either(groups: tuple[tuple[Test, ...], ...]) -> Predicate:
+    built = [_both([_predicate(t) for t in group]) for group in groups]
+
+    def test(x: Column) -> Column:
+        out = built[0](x)
+        for other in built[1:]:
+            out = out | other(x)
+        return out
+
+    return test
+
+
+def _predicate(test: Test) -> Predicate:
+    kind, *args = test
+    if kind == "any":
+        return lambda x: F.lit(True)
+    if kind == "tag":
+        return lambda x: x["tag"] == args[0]
+    if kind == "class":
+        return lambda x: F.array_contains(x["classes"], F.lit(args[0]))
+    if kind == "attr":
+        return _attr_test(*args)
+    if kind == "nth":
+        return _nth(_POSITION[args[0]], args[1], args[2])
+    if kind == "child":
+        return lambda x: x["parent_id"] >= 0
+    if kind == "root":
+        return lambda x: x["parent_id"] < 0
+    if kind == "empty":
+        return lambda x: (x["end_id"] == x["node_id"]) & (x["t0"] == x["t1"])
+    if kind == "is":
+        return _either(args[0])
+    if kind == "not":
+        found = _either(args[0])
+        return lambda x: ~found(x)
+    raise SelectorError(f"{kind!r} tests need the text of the element; use a stored spec")
+
+
 # ----------------------------------------------------------------------- css
 _IDENT = r"-?(?:[A-Za-z_\u0080-￿]|\\.)(?:[\w\-\u0080-￿]|\\.)*"
 _CSS_TOKEN = re.compile(
     rf"""(?P<ws>\s*(?P<comb>[>+~,])\s*|\s+)
+       |::(?P<read>text|attr\(\s*(?P<read_attr>[\w\-:]+)\s*\))\s*\Z
        |(?P<star>\*)|(?P<tag>{_IDENT})|\.(?P<cls>{_IDENT})|\#(?P<id>(?:[\w\-\u0080-￿]|\\.)+)
        |\[\s*(?P<attr>[\w\-:]+)\s*(?:(?P<op>[~|^$*]?=)\s*
             (?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
-       |:not\(\s*(?P<not>(?:\[[^\]]*\]|[^()])+)\)
-       |:(?P<pseudo>first-child|last-child|only-child|root|nth-child|nth-last-child)(?:\(\s*(?P<arg>[^)]*?)\s*\))?""",
+       |:(?P<list>not|is|where)\(\s*(?P<inner>(?:\[[^\]]*\]|[^()\[\]]|\([^()]*\))+)\)
+       |:(?P<pseudo>(?:first|last|only)-(?:child|of-type)|root|empty|nth-(?:last-)?(?:child|of-type))(?:\(\s*(?P<arg>[^)]*?)\s*\))?""",
     re.X,
 )
 
@@ -113,26 +164,24 @@ def _nth_args(text: str | None, selector: str) -> tuple[int, int]:
     raise SelectorError(f"unsupported :nth-child argument in {selector!r}")
 
 
-def _pseudo(name: str, arg: str | None, selector: str) -> Predicate:
-    if name in ("nth-child", "nth-last-child"):
-        a, b = _nth_args(arg, selector)
-        if name == "nth-child":
-            return _nth(a, b, lambda x: x["sib_pos"])
-        return _nth(a, b, lambda x: x["n_sib"] - x["sib_pos"] + 1)
+def _pseudo(name: str, arg: str | None, selector: str) -> list[Test]:
+    if name.startswith("nth-"):
+        kind = ("last_type" if name.endswith("type") else "last") if name.startswith("nth-last") else "type" if name.endswith("type") else "sib"
+        return [("nth", kind, *_nth_args(arg, selector))]
     if arg is not None:
         raise SelectorError(f"unexpected argument in {selector!r}")
-    return {
-        "first-child": lambda x: (x["sib_pos"] == 1) & (x["parent_id"] >= 0),
-        "last-child": lambda x: (x["sib_pos"] == x["n_sib"]) & (x["parent_id"] >= 0),
-        "only-child": lambda x: (x["n_sib"] == 1) & (x["parent_id"] >= 0),
-        "root": lambda x: x["parent_id"] < 0,
-    }[name]
+    if name in ("root", "empty"):
+        return [(name,)]
+    first, last = ("type", "last_type") if name.endswith("type") else ("sib", "last")
+    wanted = {"first": [first], "last": [last], "only": [first, last]}[name.split("-")[0]]
+    return [*(("nth", kind, 0, 1) for kind in wanted), ("child",)]
 
 
 def parse_css(selector: str, simple_only: bool = False) -> Selector:
     chains: list[tuple[Step, ...]] = []
     steps: list[Step] = []
-    tests: list[Predicate] = []
+    tests: list[Test] = []
+    reads: str | None = None
     link, text, at = " ", selector.strip(), 0
     if not text:
         raise SelectorError("empty selector")
@@ -141,7 +190,7 @@ def parse_css(selector: str, simple_only: bool = False) -> Selector:
         nonlocal tests
         if not tests:
             raise SelectorError(f"dangling combinator in {selector!r}")
-        steps.append(Step(link, _both(tests)))
+        steps.append(Step(link, tuple(tests)))
         tests = []
 
     while at < len(text):
@@ -152,76 +201,111 @@ def parse_css(selector: str, simple_only: bool = False) -> Selector:
         if m["ws"] is not None:
             close_step()
             comb = m["comb"] or " "
-            if simple_only:
-                raise SelectorError(f":not() takes one simple selector, got {selector!r}")
+            if simple_only and comb != ",":
+                raise SelectorError(f":not() and :is() take simple selectors, got {selector!r}")
             if comb == ",":
                 chains.append(tuple(steps))
                 steps, link = [], " "
             else:
                 link = comb
+        elif m["read"]:
+            if simple_only or chains:
+                raise SelectorError(f"unsupported css at {m[0]!r} in {selector!r}")
+            reads = "@" + m["read_attr"].lower() if m["read_attr"] else "text()"
+            tests = tests or [("any",)]
         elif m["star"]:
-            tests.append(lambda x: F.lit(True))
+            tests.append(("any",))
         elif m["tag"]:
-            tests.append(_tag_is(_plain(m["tag"])))
+            tests.append(("tag", _plain(m["tag"]).lower()))
         elif m["cls"]:
-            tests.append(lambda x, v=_plain(m["cls"]): F.array_contains(x["classes"], F.lit(v)))
+            tests.append(("class", _plain(m["cls"])))
         elif m["id"]:
-            tests.append(_attr_test("id", "=", _plain(m["id"])))
+            tests.append(("attr", "id", "=", _plain(m["id"])))
         elif m["attr"]:
             value = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), None)
-            tests.append(_attr_test(m["attr"], m["op"], value))
-        elif m["not"]:
-            inner = parse_css(m["not"], simple_only=True).chains[0][0].test
-            tests.append(lambda x, t=inner: ~t(x))
+            tests.append(("attr", m["attr"].lower(), m["op"], value))
+        elif m["list"]:
+            inner = parse_css(m["inner"], simple_only=True).chains
+            tests.append(("not" if m["list"] == "not" else "is", tuple(chain[0].tests for chain in inner)))
         else:
-            tests.append(_pseudo(m["pseudo"], m["arg"], selector))
+            tests += _pseudo(m["pseudo"], m["arg"], selector)
     close_step()
     chains.append(tuple(steps))
-    return Selector(tuple(chains), "self")
+    return Selector(tuple(chains), "self", reads)
 
 
 # --------------------------------------------------------------------- xpath
-_XP_STEP = re.compile(r"(?P<axis>//|/)?(?P<test>\*|@[\w\-:]+|text\(\)|[A-Za-z][\w\-]*)(?P<preds>(?:\[[^\]]*\])*)")
-_XP_PRED = re.compile(
-    r"""\[\s*(?:(?P<n>\d+)|(?P<last>last\(\))|
-        contains\(\s*(?:@(?P<ca>[\w\-:]+)|(?P<cdot>\.|text\(\)))\s*,\s*(?:"(?P<cdq>[^"]*)"|'(?P<csq>[^']*)')\s*\)|
-        starts-with\(\s*@(?P<sa>[\w\-:]+)\s*,\s*(?:"(?P<sdq>[^"]*)"|'(?P<ssq>[^']*)')\s*\)|
-        @(?P<a>[\w\-:]+)\s*(?:(?P<ne>!?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'))?)\s*\]""",
+_QUOTED = r"""(?:"[^"]*"|'[^']*')"""
+_XP_STEP = re.compile(rf"(?P<axis>//|/)?(?P<test>\*|@[\w\-:]+|text\(\)|[A-Za-z][\w\-]*)(?P<preds>(?:\[(?:{_QUOTED}|[^\]\"'])*\])*)")
+_XP_VALUE = r"(?:@(?P<{0}a>[\w\-:]+)|(?P<{0}dot>\.|text\(\)))"
+_XP_TEST = re.compile(
+    rf"""(?P<n>\d+)|position\(\)\s*=\s*(?P<p>\d+)|(?P<last>last\(\))|
+        contains\(\s*{_XP_VALUE.format("c")}\s*,\s*(?P<cv>{_QUOTED})\s*\)|
+        starts-with\(\s*{_XP_VALUE.format("s")}\s*,\s*(?P<sv>{_QUOTED})\s*\)|
+        normalize-space\(\s*(?:{_XP_VALUE.format("z")})?\s*\)\s*=\s*(?P<zv>{_QUOTED})|
+        (?P<dot>\.|text\(\))\s*=\s*(?P<dv>{_QUOTED})|
+        @(?P<a>[\w\-:]+)\s*(?:(?P<ne>!?=)\s*(?P<v>{_QUOTED}))?""",
     re.X,
 )
+_XP_WORD = re.compile(rf"{_QUOTED}|\bnot\s*\(|[()]|\s+(?:and|or)\s+|[^\"'()\s]+|\s+")
 
 
-def _xp_predicate(text: str, node_test: str, axis: str, selector: str) -> Predicate:
-    m = _XP_PRED.fullmatch(text)
-    if m is None or m["cdot"]:
+def _split_words(text: str, word: str) -> list[str]:
+    """``text`` cut at `` and `` or `` or `` outside of quotes and parentheses."""
+    parts, depth, at = [""], 0, 0
+    while at < len(text):
+        m = _XP_WORD.match(text, at)
+        if m is None:
+            return [text]
+        piece, at = m[0], m.end()
+        depth += piece.count("(") - piece.count(")") if piece[0] not in "\"'" else 0
+        if depth == 0 and piece.strip() == word and piece != piece.strip():
+            parts.append("")
+        else:
+            parts[-1] += piece
+    return parts
+
+
+def _xp_condition(text: str, by_tag: bool, selector: str) -> list[Test]:
+    """Tests of the inside of a predicate."""
+    text = text.strip()
+    if len(parts := _split_words(text, "or")) > 1:
+        return [("is", tuple(tuple(_xp_condition(p, by_tag, selector)) for p in parts))]
+    if len(parts := _split_words(text, "and")) > 1:
+        return [t for p in parts for t in _xp_condition(p, by_tag, selector)]
+    if (m := re.fullmatch(r"not\s*\((.*)\)", text, re.S)) is not None:
+        return [("not", (tuple(_xp_condition(m[1], by_tag, selector)),))]
+    m = _XP_TEST.fullmatch(text)
+    if m is None:
         raise SelectorError(f"unsupported xpath predicate {text!r} in {selector!r}")
-    by_tag = node_test != "*"
-    if m["n"]:
-        return lambda x: (x["tag_pos"] if by_tag else x["sib_pos"]) == int(m["n"])
+    if m["n"] or m["p"]:
+        return [("nth", "type" if by_tag else "sib", 0, int(m["n"] or m["p"]))]
     if m["last"]:
-        if by_tag:
-            raise SelectorError(f"last() is supported on '*' only: {selector!r}")
-        return lambda x: x["sib_pos"] == x["n_sib"]
-    if m["ca"]:
-        value = m["cdq"] if m["cdq"] is not None else m["csq"]
-        return _attr_test(m["ca"], "*=", value)
-    if m["sa"]:
-        value = m["sdq"] if m["sdq"] is not None else m["ssq"]
-        return _attr_test(m["sa"], "^=", value)
-    if m["ne"] is None:
-        return _attr_test(m["a"], None, None)
-    value = m["dq"] if m["dq"] is not None else m["sq"]
-    if m["ne"] == "=":
-        return _attr_test(m["a"], "=", value)
-    return lambda x: F.coalesce(_attr(x, m["a"].lower()) != value, F.lit(False))
+        return [("nth", "last_type" if by_tag else "last", 0, 1)]
+    for kind, value, attr, dot in (("*=", "cv", "ca", "cdot"), ("^=", "sv", "sa", "sdot")):
+        if m[value]:
+            v = m[value][1:-1]
+            return [("attr", m[attr].lower(), kind, v)] if m[attr] else [("text", "all" if m[dot] == "." else "own", kind, v)]
+    if m["zv"]:
+        return [("space", m["za"].lower() if m["za"] else None, "own" if m["zdot"] == "text()" else "all", m["zv"][1:-1])]
+    if m["dv"]:
+        return [("text", "all" if m["dot"] == "." else "own", "=", m["dv"][1:-1])]
+    return [("attr", m["a"].lower(), m["ne"], m["v"][1:-1] if m["v"] else None)]
 
 
 def parse_xpath(selector: str) -> Selector:
-    text = selector.strip()
+    parts = [p.strip() for p in re.split(rf"\|(?=(?:[^\"']|{_QUOTED})*\Z)", selector)]
+    found = [_parse_path(p, selector) for p in parts]
+    if len({(f.scope, f.reads) for f in found}) > 1:
+        raise SelectorError(f"the parts of {selector!r} start or end in different ways")
+    return Selector(tuple(c for f in found for c in f.chains), found[0].scope, found[0].reads)
+
+
+def _parse_path(text: str, selector: str) -> Selector:
     relative = text.startswith(".")
     body = text[1:] if relative else text
     if text == ".":
-        return Selector(((Step("self", lambda x: F.lit(True)),),), "self")
+        return Selector(((Step("self", (("any",),)),),), "self")
     if not body or (relative and not body.startswith("/")):
         raise SelectorError(f"unsupported xpath {selector!r}")
     scope = "below" if relative or not body.startswith("/") else "page"
@@ -238,11 +322,12 @@ def parse_xpath(selector: str) -> Selector:
                 raise SelectorError(f"unsupported xpath tail in {selector!r}")
             reads = test
             continue
-        tests: list[Predicate] = [(lambda x: F.lit(True)) if test == "*" else _tag_is(test)]
-        tests += [_xp_predicate(p, test, axis, selector) for p in re.findall(r"\[[^\]]*\]", m["preds"])]
-        steps.append(Step(axis, _both(tests)))
+        tests: list[Test] = [("any",) if test == "*" else ("tag", test.lower())]
+        for pred in re.findall(rf"\[((?:{_QUOTED}|[^\]\"'])*)\]", m["preds"]):
+            tests += _xp_condition(pred, test != "*", selector)
+        steps.append(Step(axis, tuple(tests)))
     if not steps:
-        steps.append(Step("self", lambda x: F.lit(True)))
+        steps.append(Step("self", (("any",),)))
     return Selector((tuple(steps),), scope, reads)
 
 
@@ -306,9 +391,17 @@ def subtree(nodes: Column, root: Column) -> Column:
 
 
 def first_match(sel: Selector, nodes: Column, root: Column) -> Column:
-    """First match in document order, relative to the element ``root``; NULL if none."""
+    """First match in document order, relative to the element ``root``; NULL if none.
+
+    A selector that reads text or an attribute matches only where there is some.
+    """
     within = nodes if sel.scope == "page" else subtree(nodes, root)
-    return F.get(F.filter(within, lambda x: matches(sel, x, nodes, root["node_id"])), F.lit(0))
+    found = F.filter(within, lambda x: matches(sel, x, nodes, root["node_id"]))
+    if sel.reads == "text()":
+        found = F.filter(found, lambda x: x["first_text"].isNotNull())
+    elif sel.reads:
+        found = F.filter(found, lambda x: _attr(x, sel.reads[1:].lower()).isNotNull())
+    return F.get(found, F.lit(0))
 
 
 def text_slice(source: Column, start: Column, end: Column) -> Column:

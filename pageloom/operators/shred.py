@@ -69,11 +69,13 @@ _NODE = {
     "sib_pos": (T.IntegerType(), pa.int32()),      # 1-based among element siblings
     "n_sib": (T.IntegerType(), pa.int32()),
     "tag_pos": (T.IntegerType(), pa.int32()),      # 1-based among siblings of the same tag
+    "n_tag": (T.IntegerType(), pa.int32()),
     "anc": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),  # ancestors, root first
     "tag": (T.StringType(), pa.string()),
     "classes": (T.ArrayType(T.StringType()), pa.list_(pa.string())),
     "attrs": (T.MapType(T.StringType(), T.StringType()), pa.map_(pa.string(), pa.string())),
     "own_text": (T.StringType(), pa.string()),     # text directly inside the element
+    "first_text": (T.StringType(), pa.string()),   # its first piece, NULL without any
     "noise": (T.BooleanType(), pa.bool_()),        # inside script, style, svg, ...
     "t0": (T.IntegerType(), pa.int32()),           # text span in `text`
     "t1": (T.IntegerType(), pa.int32()),
@@ -91,7 +93,7 @@ _PAGE = {
 
 #: What selectors and field rules look at, and what a page summary looks at.
 EXTRACT_FIELDS = (
-    "node_id", "end_id", "parent_id", "prev_id", "sib_pos", "n_sib", "tag_pos", "anc",
+    "node_id", "end_id", "parent_id", "prev_id", "sib_pos", "n_sib", "tag_pos", "n_tag", "anc",
     "tag", "classes", "attrs", "t0", "t1", "h0", "h1",
 )
 SUMMARY_FIELDS = (
@@ -177,6 +179,10 @@ class _Tree:
         made.update(end_id=self.end_id, t1=self.t1, v1=self.v1, h1=self.h1)
         if "n_sib" in names:
             made["n_sib"] = [self.kids[p] if p >= 0 else 1 for p in made["parent_id"]]
+        if "n_tag" in names:
+            made["n_tag"] = [self.tag_count[p][t] if p >= 0 else 1 for p, t in zip(made["parent_id"], self.tags)]
+        if "first_text" in names:
+            made["first_text"] = [parts[0] if parts else None for parts in self.own]
         if "own_text" in names:
             made["own_text"] = ["".join(parts) for parts in self.own]
         if self.html_attrs:

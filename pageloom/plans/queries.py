@@ -16,7 +16,7 @@ from ..operators import crawl as cr
 from ..operators import jsonld, policy
 from ..operators import registry as reg
 from ..operators import summary as sm
-from ..operators.extract import extract, extract_by_spec, next_links
+from ..operators.extract import extract, extract_assigned, extract_by_spec, next_links
 from ..operators.fingerprint import fingerprints, template_census
 from ..operators.rendering import needs_render
 from ..operators.shred import dom_nodes
@@ -411,9 +411,7 @@ def repair_requests(spark, sf):
     pages = bd.board_pages(spark, sf)
     evaluated = cand.evaluate_candidates(pages, _two_proposals(pages), JOB_POSTINGS)
     assigned = evaluated.select("page_id", "attempt", "spec_id", "spec_json")
-    specs = reg.load_specs(assigned)
-    work = reg.assign(pages, assigned, ("attempt",))
-    rows = extract_by_spec(work, specs, [f.name for f in JOB_POSTINGS.fields], keep=("attempt",))
+    rows = extract_assigned(pages, assigned, [f.name for f in JOB_POSTINGS.fields], keep=("attempt",))
     messages = row_errors(check_rows(rows, JOB_POSTINGS, ("page_id", "attempt", "row_no")), ("page_id", "attempt"))
     texts = cand.repair_requests(sm.page_summary(pages), evaluated, messages, JOB_POSTINGS)
     feedback = F.substring_index("request", "Validation errors:\n", -1)

@@ -1,11 +1,17 @@
 """Selectors, field rules, structured data and specs on small pages."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom import ExtractionSpec, FieldRule as R
 from pageloom.operators import jsonld
-from pageloom.operators.extract import extract, extract_by_spec, next_links
+from pageloom.functions.transforms import TRANSFORMS
+from pageloom.model import SELECTOR_TYPES
+from pageloom.operators.extract import extract, extract_assigned, extract_by_spec, next_links
+from pageloom.operators.programs import compiled
 from pageloom.operators.selectors import SelectorError, parse_css, parse_selector, parse_xpath
 from pageloom.operators.shred import dom_nodes, parse_page
 
@@ -93,7 +99,7 @@ def test_bad_specs_are_refused_when_built():
     for bad in ("a >", "a::before", ":hover", "a[", "li:nth-child(x)", ""):
         with pytest.raises(SelectorError):
             parse_css(bad)
-    for bad in ("//li[position()<3]", "h3 | h4", "//a[text()='x']", "count(//a)"):
+    for bad in ("//li[position()<3]", "//h3 | .//h4", "//a[text()=x]", "count(//a)"):
         with pytest.raises(SelectorError):
             parse_xpath(bad)
     with pytest.raises(SelectorError):
@@ -190,3 +196,71 @@ def test_source_and_text_spans_hold_for_every_given_page(spark):
         ~F.startswith("raw", F.concat(F.lit("<"), F.col("tag"))) | (F.endswith("raw", F.lit(">")) & ~F.endswith("raw", F.concat(F.lit("</"), F.col("tag"), F.lit(">"))))
     )
     assert bad.count() == 0 and nodes.count() > 500
+
+
+SMALL = """<html><body><div id="a" class="x"><p>one<b>two</b>three</p><p lang="en">  four  five </p><i></i><p>last</p></div>
+<div class="y"><a href="/u" title="t">link</a><a>bare</a><!-- c --></div></body></html>"""
+
+
+def _evaluated(pages_of, rules, container=None, kind="css", cardinality="one", html=SMALL):
+    """Values of a stored spec run by the evaluator."""
+    spec = ExtractionSpec(tuple(rules), container, kind)
+    pages = pages_of(html)
+    assigned = pages.selectExpr("page_id", "'s' as spec_id").withColumn("spec_json", F.lit(spec.to_json()))
+    out = extract_assigned(pages, assigned, [r.field for r in rules], cardinality).orderBy("row_no").collect()
+    return [[r[x.field].v for x in rules] for r in out]
+
+
+@pytest.mark.parametrize("selector,kind,want", [
+    ("./text()", "xpath", None), ("//p/text()", "xpath", "one"), ("//p[2]/@lang", "xpath", "en"), ("//a/@title", "xpath", "t"), ("p::text", "css", "one"), ("i::text", "css", None),
+    ("a::attr(href)", "css", "/u"), ("p:last-of-type", "css", "last"), ("p:nth-of-type(2)", "css", "  four  five "), ("p:only-of-type", "css", None),
+    ("i:empty ~ p", "css", "last"), ("div:not(.x, .z) a", "css", "link"), (":is(i, b)", "css", "two"), ("i + p", "css", "last"), ("#a > p ~ p", "css", "  four  five "),
+    ("//p[normalize-space()='four five']/@lang", "xpath", "en"), ("//p[contains(., 'two') and not(@lang)]", "xpath", "onetwothree"),
+    ("//a[@title='t' or text()='bare']/@href", "xpath", "/u"), ("//a[text()='bare']", "xpath", "bare"), ("//p[last()]", "xpath", "last"), ("//b | //i", "xpath", "two"),
+    ("//div[@class='y']//a[position()=2]", "xpath", "bare"), ("//a[starts-with(., 'ba')]", "xpath", "bare"),
+])
+def test_selectors_by_the_evaluator_and_by_columns(pages_of, selector, kind, want):
+    rule = R("v", selector, kind)
+    assert _evaluated(pages_of, [rule]) == [[want]]
+    assert [r.v for r in extract(pages_of(SMALL), ExtractionSpec((rule,)), "one").collect()] == [want]
+
+
+def test_a_group_that_stays_out_of_a_match_is_null(pages_of):
+    rules = [R("a", r"one(x)?<b>", "regex"), R("b", r"(one)|(two)", "regex"), R("c", r"two()", "regex"), R("d", "no such (x)", "regex")]
+    assert _evaluated(pages_of, rules) == [[None, "one", "", None]]
+    got = extract(pages_of(SMALL), ExtractionSpec(tuple(rules)), "one").collect()
+    assert [(r.a, r.b, r.c, r.d) for r in got] == [(None, "one", "", None)]
+
+
+def test_bad_specs_fail_alone(pages_of):
+    pages = pages_of(*[SMALL] * 9)
+    good = ExtractionSpec((R("v", "p", "css"),), "div")
+    rule = {"field": "v", "selector": "p", "selector_type": "css"}
+    bad = ["{oops", "[]", "{}", json.dumps({"field_rules": [rule | {"selector": "b:hover"}]}), json.dumps({"field_rules": [rule | {"selector": "(", "selector_type": "regex"}]}),
+           json.dumps({"field_rules": [rule | {"transform": "eval"}]}), json.dumps({"field_rules": [rule], "container_selector_type": "regex"}), "[" * 100_000]
+    texts = [good.to_json(), *bad]
+    assigned = pages.select("page_id", F.concat(F.lit("s"), "page_id").alias("spec_id"), F.get(F.array(*map(F.lit, texts)), F.col("page_id").cast("int")).alias("spec_json"))
+    rows = extract_assigned(pages, assigned, ["v"]).collect()
+    assert [(r.page_id, r.row_no, r.v.v) for r in sorted(rows, key=lambda r: r.row_no)] == [(0, 0, "onetwothree"), (0, 1, None)]
+    errors = compiled(assigned, "many", SELECTOR_TYPES, tuple(TRANSFORMS)).where("spec_error is not null")
+    assert sorted(r.spec_id for r in errors.collect()) == [f"s{i}" for i in range(1, 9)]
+
+
+def test_the_plan_does_not_grow_with_the_specs(spark, pages_of):
+    def plan(n):
+        pages = pages_of(*[SMALL] * 3)
+        assigned = spark.range(n).selectExpr("id % 3 as page_id", "concat('s', id) as spec_id", "concat('{\"field_rules\": [], \"notes\": \"', id, '\"}') as spec_json", "id as attempt")
+        out = extract_assigned(pages, assigned, ["v"], keep=("attempt",))
+        return re.sub(r"#\d+|plan_id=\d+|\d+", "", out._jdf.queryExecution().executedPlan().toString())
+
+    few, many = plan(10), plan(10_000)
+    assert few.count("MapInArrow") == many.count("MapInArrow") == 2 and "Union" not in many and abs(len(few.splitlines()) - len(many.splitlines())) <= 4
+
+
+def test_json_ld_by_the_evaluator(pages_of):
+    html = """<script type="application/ld+json">[{"@type": ["A", "B"], "n": [{"v": 1.5}], "t": true}, {"@graph": [{"@type": "A", "n": {"v": "x"}}], "@type": "G"}]</script>
+    <script type="application/ld+json">{broken</script>"""
+    rules = [R("n", "n.v", "json_ld"), R("t", "t", "json_ld"), R("c", "p", "css")]
+    assert _evaluated(pages_of, rules, "A", "json_ld", "many", html) == [["1.5", "True", None], ["x", None, None]]
+    assert _evaluated(pages_of, rules, None, "json_ld", "many", html)[-1] == [None, None, None]
+    assert _evaluated(pages_of, rules, html=html) == [["1.5", "True", None]]
