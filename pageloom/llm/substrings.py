@@ -93,11 +93,11 @@ def passes(bloom: np.ndarray, x: np.ndarray) -> np.ndarray:
     return bloom[at] & mask == mask
 
 
-def filled(values: DataFrame, blocks: int = BLOCKS) -> np.ndarray:
-    """Blocked Bloom filter of the one bigint column of ``values``; never more than ``blocks`` blocks."""
+def filled(values: DataFrame, blocks: int = BLOCKS, named=None) -> np.ndarray:
+    """Blocked Bloom filter of ``named(batch)`` (or of the first bigint column) of ``values``; never more than ``blocks`` blocks."""
 
     def fill(batch):
-        at, mask = _probe(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), blocks)
+        at, mask = _probe(named(batch) if named else batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), blocks)
         order = np.argsort(at, kind="stable")
         at, mask = at[order], mask[order]
         cut = np.flatnonzero(np.diff(at, prepend=-1))
@@ -164,9 +164,9 @@ def matches(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     def owners(batch):
         m, span, doc = (batch.column(i).to_numpy() for i in range(3))
         hit = passes(several.value, m.view(np.uint64))
-        yield {"x": _owner(span[hit].view(np.uint64), doc[hit]).view(np.int64)}
+        return _owner(span[hit].view(np.uint64), doc[hit])
 
-    cut = sc.broadcast(filled(arrow_map(first, owners, "x bigint"), blocks))
+    cut = sc.broadcast(filled(first, blocks, owners))
 
     def windows(batch):
         p, ids = Passages(batch.column(1).to_pylist()), batch.column(0).to_numpy()
@@ -222,15 +222,13 @@ def spans(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> tuple[DataFr
     parsed_rows = stored(arrow_map(listed, parse, "doc_id bigint, h int, start int, length int, ref_doc bigint, ref_pos int"))
 
     def mixed_ids(batch):
-        x = batch.column(0).to_numpy().view(np.uint64)
-        yield {"x": mixed(x).view(np.int64)}
+        return mixed(batch.column(0).to_numpy().view(np.uint64))
 
     def mixed_rows(batch):
-        x = batch.column(0).to_numpy().view(np.uint64) * np.uint64(MIX) + batch.column(1).to_numpy().astype(np.int64).view(np.uint64)
-        yield {"x": mixed(x).view(np.int64)}
+        return mixed(batch.column(0).to_numpy().view(np.uint64) * np.uint64(MIX) + batch.column(1).to_numpy().astype(np.int64).view(np.uint64))
 
-    references = sc.broadcast(filled(arrow_map(parsed_rows.select("ref_doc").distinct(), mixed_ids, "x bigint"), blocks))
-    named = filled(arrow_map(parsed_rows.select("doc_id", "h").distinct(), mixed_rows, "x bigint"), blocks)
+    references = sc.broadcast(filled(parsed_rows.select("ref_doc").distinct(), blocks, mixed_ids))
+    named = filled(parsed_rows.select("doc_id", "h").distinct(), blocks, mixed_rows)
 
     def referred(batch):
         kept = batch.filter(pa.array(_named(batch, references.value, 0)))
