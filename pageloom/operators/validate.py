@@ -77,23 +77,16 @@ def row_errors(checked: DataFrame, keys: tuple[str, ...], row_no: str = "row_no"
     )
     return lines.select(
         *keys, row_no, "err_no", F.col("e.field").alias("field"),
-        F.format_string("row %d: field '%s' %s", F.col(row_no), F.col("e.field"), F.col("e.message")).alias("message"),
+        F.format_string("%s[%d]: %s", F.col("e.field"), F.col(row_no), F.col("e.message")).alias("message"),
     )
 
 
 def _floor_message(target: ExtractionTarget) -> Column:
-    return F.format_string(
-        f"row-count floor not met: %d valid rows < required {target.floor} (cardinality={target.cardinality})",
-        F.col("valid_count"),
-    )
+    return F.format_string(f"min_rows: %d of {target.floor}", F.col("valid_count"))
 
 
 def _null_message(field: str, limit: float) -> Column:
-    text = percent(F.lit(limit))
-    return F.concat(
-        F.lit(f"field '{field}' is null/empty in "), percent(F.col("null_rates")[field]),
-        F.lit(" of rows (> "), text, F.lit(" threshold) — likely a bad selector"),
-    )
+    return F.concat(F.lit(f"null_rate {field}: "), percent(F.col("null_rates")[field]), F.lit(" over "), percent(F.lit(limit)))
 
 
 def run_quality(

@@ -63,17 +63,17 @@ def card_html(card_class: Column | None = None, company: Column | None = None, t
               link: Column | None = None) -> Column:
     """Markup of one card; the arguments replace parts of it for damaged or changed pages."""
     salary = F.concat(
-        F.lit("$"), F.format_number("salary_min", 0), F.lit(" – $"), F.format_number("salary_max", 0)
+        F.lit("from $"), F.format_number("salary_min", 0), F.lit(" to $"), F.format_number("salary_max", 0)
     )
-    default_link = F.concat(F.lit('<a class="job-link" href="'), F.col("path"), F.lit('">View</a>'))
+    default_link = F.concat(F.lit('<a class="more" href="'), F.col("path"), F.lit('">Details</a>'))
     return F.concat(
-        F.lit('<li class="'), card_class if card_class is not None else F.lit("job-card"),
-        F.lit('" data-req="'), F.col("key").cast("string"), F.lit('">'),
-        _tag("h3", "job-title", F.concat(F.lit("\n  "), title if title is not None else html_escape(F.col("title")), F.lit(" "))),
-        _tag("span", "company", company if company is not None else html_escape(F.col("company"))),
-        F.coalesce(_tag("span", "location", html_escape(F.col("location"))), F.lit("")),
-        _tag("span", "salary", salary),
-        _tag("p", "meta", F.concat(F.lit("Req #"), F.col("key").cast("string"), F.lit(" · Posted "), F.col("posted"))),
+        F.lit('<li class="'), card_class if card_class is not None else F.lit("opening"),
+        F.lit('" data-no="'), F.col("key").cast("string"), F.lit('">'),
+        _tag("h2", "role", F.concat(F.lit("\n  "), title if title is not None else html_escape(F.col("title")), F.lit(" "))),
+        _tag("b", "employer", company if company is not None else html_escape(F.col("company"))),
+        F.coalesce(_tag("em", "place", html_escape(F.col("location"))), F.lit("")),
+        _tag("small", "pay", salary),
+        _tag("div", "note", F.concat(F.lit("No. "), F.col("key").cast("string"), F.lit(", listed "), F.col("posted"))),
         link if link is not None else default_link,
     )
 
@@ -117,10 +117,10 @@ def render(job_cards: DataFrame, markup: Column | None = None, with_jsonld: bool
     ).otherwise(F.lit(""))
     html = F.concat(
         F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Jobs  – '), F.col("board"),
-        F.lit("</title><style>.x{margin:0}</style><script>var t='<li class=\"job-card\">';</script>"), script,
-        F.lit('</head><body><nav><ul class="menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav><!-- <li class="job-card">old</li> --><ul class="jobs" id="list">'),
+        F.lit("</title><style>.x{margin:0}</style><script>var t='<li class=\"opening\">';</script>"), script,
+        F.lit('</head><body><nav><ul class="menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav><!-- <li class="opening">old</li> --><ol class="openings" id="board">'),
         F.array_join(F.transform("cards", lambda c: c["html"]), ""),
-        F.lit("</ul>"), following, F.lit("<footer>&copy; jobs.example.com</footer></body></html>"),
+        F.lit("</ol>"), following, F.lit("<footer>&copy; jobs.example.com</footer></body></html>"),
     )
     return pages.select(
         (F.col("block") * 10 + F.col("board_no")).alias("page_id"),
@@ -137,8 +137,8 @@ def detail_pages(job_cards: DataFrame) -> DataFrame:
     text = F.concat(
         F.lit('<html><head><title>'), html_escape(F.col("title")),
         F.lit('</title></head><body><h1>'), html_escape(F.col("title")),
-        F.lit('</h1><div class="description">Work for <b>'), F.col("company"), F.lit("</b> on request "),
-        F.col("key").cast("string"), F.lit('.</div><span class="location">Remote</span></body></html>'),
+        F.lit('</h1><div class="about">Work for <b>'), F.col("company"), F.lit("</b> on request "),
+        F.col("key").cast("string"), F.lit('.</div><em class="place">Remote</em></body></html>'),
     )
     return job_cards.select(
         F.col("key").alias("page_id"), F.concat(F.lit(SITE), F.col("path")).alias("url"), text.alias("html")
@@ -148,28 +148,28 @@ def detail_pages(job_cards: DataFrame) -> DataFrame:
 R = FieldRule
 CSS_SPEC = ExtractionSpec(
     field_rules=(
-        R("title", "h3.job-title", "css", transform="collapse_ws"),
-        R("company", "span.company", "css", "text", "trim"),
-        R("location", "span.location", "css", transform="trim", optional=True),
-        R("salary_min", "span.salary", "css", transform="int"),
-        R("salary_max", r"– \$([\d,]+)", "regex", transform="int"),
-        R("url", "a.job-link", "css", "href", "abs_url"),
-        R("posted_at", r"Posted ([^<]+)<", "regex", transform="iso_date"),
+        R("title", "h2.role", "css", transform="collapse_ws"),
+        R("company", "b.employer", "css", "text", "trim"),
+        R("location", "em.place", "css", transform="trim", optional=True),
+        R("salary_min", "small.pay", "css", transform="int"),
+        R("salary_max", r"to \$([\d,]+)", "regex", transform="int"),
+        R("url", "a.more", "css", "href", "abs_url"),
+        R("posted_at", r"listed ([^<]+)<", "regex", transform="iso_date"),
     ),
-    container_selector="ul.jobs > li.job-card",
+    container_selector="ol.openings > li.opening",
     next_page_selector="a.next",
 )
 XPATH_SPEC = ExtractionSpec(
     field_rules=(
-        R("title", ".//h3[@class='job-title']", "xpath", transform="collapse_ws"),
-        R("company", "./span[1]", "xpath", transform="trim"),
-        R("location", ".//span[@class='location']", "xpath"),
-        R("salary_min", ".//span[contains(@class,'salary')]", "xpath", transform="int"),
-        R("salary_max", r"– \$([\d,]+)", "regex", transform="int"),
-        R("url", ".//a[@class='job-link']/@href", "xpath", transform="abs_url"),
-        R("posted_at", r"Posted (?P<day>[^<]+)<", "regex", transform="iso_date"),
+        R("title", ".//h2[@class='role']", "xpath", transform="collapse_ws"),
+        R("company", "./b[1]", "xpath", transform="trim"),
+        R("location", ".//em[@class='place']", "xpath"),
+        R("salary_min", ".//small[contains(@class,'pay')]", "xpath", transform="int"),
+        R("salary_max", r"to \$([\d,]+)", "regex", transform="int"),
+        R("url", ".//a[@class='more']/@href", "xpath", transform="abs_url"),
+        R("posted_at", r"listed (?P<day>[^<]+)<", "regex", transform="iso_date"),
     ),
-    container_selector="//ul[@id='list']/li",
+    container_selector="//ol[@id='board']/li",
     container_selector_type="xpath",
     next_page_selector="//a[@class='next']",
     next_page_selector_type="xpath",
@@ -188,6 +188,9 @@ JSONLD_SPEC = ExtractionSpec(
     container_selector_type="json_ld",
 )
 DETAIL_RULES = (
-    R("description", "div.description", "css", transform="collapse_ws"),
-    R("location", "span.location", "css"),
+    R("description", "div.about", "css", transform="collapse_ws"),
+    R("location", "em.place", "css"),
 )
+#: Specs that fail on the boards: one finds nothing, one lacks the company.
+BROKEN_SPEC = ExtractionSpec(CSS_SPEC.field_rules, "div.nothing")
+WEAK_SPEC = ExtractionSpec(tuple(R("company", "b.nobody", "css") if r.field == "company" else r for r in CSS_SPEC.field_rules), "ol.openings > li")

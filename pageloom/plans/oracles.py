@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
+from ..model import JOB_POSTINGS, ExtractionSpec
+from .board import BROKEN_SPEC, WEAK_SPEC
+
 _CARDS = r"""c AS (
   SELECT o_orderkey AS key, lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g')) AS board,
          CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS board_no, o_orderkey // 100 AS block,
@@ -26,23 +31,23 @@ _ITEMS = _WITH + """SELECT page_id, row_no, title, company, location, salary_min
 # Layout of one board page as a summary shows it.
 _OUTLINE = r"""'body' || chr(10) || '  nav' || chr(10) || '    ul .menu' || chr(10) || '      li' || chr(10)
   || '        a href="/": "Home"' || chr(10) || '      li' || chr(10) || '        a href="/about": "About"' || chr(10)
-  || '  ul #list .jobs' || chr(10) || '    li .job-card' || chr(10) || '      h3 .job-title: "' || title || '"' || chr(10)
-  || '      span .company: "' || company || '"' || chr(10)
-  || coalesce('      span .location: "' || location || '"' || chr(10), '')
-  || '      span .salary: "' || salary || '"' || chr(10) || '      p .meta: "' || meta || '"' || chr(10)
-  || '      a .job-link href="' || path || '": "View"' || chr(10)
-  || CASE WHEN n >= 3 THEN '    (+' || (n - 1) || ' more `li.job-card`)' || chr(10) ELSE '' END
+  || '  ol #board .openings' || chr(10) || '    li .opening' || chr(10) || '      h2 .role: "' || title || '"' || chr(10)
+  || '      b .employer: "' || company || '"' || chr(10)
+  || coalesce('      em .place: "' || location || '"' || chr(10), '')
+  || '      small .pay: "' || salary || '"' || chr(10) || '      div .note: "' || meta || '"' || chr(10)
+  || '      a .more href="' || path || '": "Details"' || chr(10)
+  || CASE WHEN n >= 3 THEN '    (+' || (n - 1) || ' more `li.opening`)' || chr(10) ELSE '' END
   || CASE WHEN block % 10 <> 9 THEN '  a .next href="/' || board || '/page/' || (block + 1) || '": "Next"' || chr(10) ELSE '' END
   || '  footer: "© jobs.example.com"'"""
-_SHOWN = f"""s AS (SELECT *, '$' || format('{{:,}}', salary_min) || ' – $' || format('{{:,}}', salary_max) AS salary,
-    'Req #' || key || ' · Posted ' || posted AS meta FROM k),
-x AS (SELECT *, title || ' ' || company || coalesce(location, '') || salary || meta || 'View' AS words,
+_SHOWN = f"""s AS (SELECT *, 'from $' || format('{{:,}}', salary_min) || ' to $' || format('{{:,}}', salary_max) AS salary,
+    'No. ' || key || ', listed ' || posted AS meta FROM k),
+x AS (SELECT *, title || ' ' || company || coalesce(location, '') || salary || meta || 'Details' AS words,
     {_OUTLINE} AS outline FROM s),
-pr AS (SELECT page_id, '# PAGE TITLE' || chr(10) || 'Jobs – ' || max(board) || chr(10) || chr(10)
-    || '# REPEATING STRUCTURES' || chr(10) || '## repeating `li.job-card` x' || max(n) || ' (exemplars)' || chr(10)
-    || '<li .job-card> ' || max(words) FILTER (WHERE row_no = 0) || chr(10)
-    || '<li .job-card> ' || max(words) FILTER (WHERE row_no = 1) || chr(10) || chr(10)
-    || '# DOM OUTLINE' || chr(10) || max(outline) FILTER (WHERE row_no = 0) AS prompt, max(block) AS block FROM x GROUP BY page_id)"""
+pr AS (SELECT page_id, '[title]' || chr(10) || 'Jobs – ' || max(board) || chr(10) || chr(10)
+    || '[groups]' || chr(10) || '`li.opening` x' || max(n) || chr(10)
+    || '<li .opening> ' || max(words) FILTER (WHERE row_no = 0) || chr(10)
+    || '<li .opening> ' || max(words) FILTER (WHERE row_no = 1) || chr(10) || chr(10)
+    || '[outline]' || chr(10) || max(outline) FILTER (WHERE row_no = 0) AS prompt, max(block) AS block FROM x GROUP BY page_id)"""
 
 
 def _text(expr: str) -> str:
@@ -64,11 +69,11 @@ _BLANK = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 _SHELLS = rf"""d AS (SELECT doc_id AS page_id, doc_id % 3 AS kind,
     length(regexp_replace(text, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS text_chars FROM documents)"""
 
-_FLOOR0 = "row-count floor not met: 0 valid rows < required 1 (cardinality=many)"
+_FLOOR0 = "min_rows: 0 of 1"
 
 
 def _null_gate(field: str, percent: str = "'100'") -> str:
-    return f"'field ''{field}'' is null/empty in ' || {percent} || '% of rows (> 50% threshold) — likely a bad selector'"
+    return f"'null_rate {field}: ' || {percent} || '% over 50%'"
 
 
 _ALL_GATES = f"'{_FLOOR0}; ' || {_null_gate('title')} || '; ' || {_null_gate('company')} || '; ' || {_null_gate('url')}"
@@ -92,6 +97,18 @@ r AS (SELECT page_id, url, phase, n, 'run-2-' || page_id AS run_id,
 
 _PAGES_OF_BOARD = "q AS (SELECT page_id, max(page_url) AS url, max(board) AS board, max(block) AS block, count(*) AS n FROM k GROUP BY page_id)"
 
+_GOAL = '{"name":"job_postings","cardinality":"many","required":["title","company","url"],"min_rows":1}'
+_KINDS = {"str": {"type": "string"}, "int": {"type": "integer"}, "url": {"type": "string", "format": "uri", "minLength": 1, "maxLength": 2083},
+          "datetime": {"type": "string", "format": "date-time"}}
+_ITEM = {f.name: _KINDS[f.kind] if f.required else {"anyOf": [_KINDS[f.kind], {"type": "null"}], "default": None} for f in JOB_POSTINGS.fields}
+_TASK = ('{"want":"extraction_spec","detail_pages":false,"target":' + _GOAL + ',"item":' + json.dumps(
+    {"type": "object", "properties": _ITEM, "required": ["title", "company", "url"]}, separators=(",", ":")) + "}")
+
+
+def _spec(spec: ExtractionSpec) -> str:
+    return spec.to_json().replace("'", "''")
+
+
 ORACLES: dict[str, str] = {
     "page_title": f"""SELECT page_id, {_collapsed(_text("regexp_extract(html, '(?s)<title>(.*?)(</title>|$)', 1)"))} AS title FROM pages""",
     "nav_links_abs": f"""WITH {_NAV} SELECT page_id, row_no, {_text("regexp_extract(item, '>([^<]*)$', 1)")} AS label,
@@ -136,12 +153,12 @@ ORACLES: dict[str, str] = {
     "validate_quality": _WITH + f""", {_DAMAGE} SELECT page_id, n_rows, valid_count, n_row_errors, company_nulls::DOUBLE AS company_nulls, round(url_nulls, 6)::DOUBLE AS url_nulls,
       valid_count >= 15 AS floor_ok, title_nulls <= 0.5 AND company_nulls <= 0.5 AND url_nulls <= 0.5 AS null_ok,
       valid_count >= 15 AND title_nulls <= 0.5 AND company_nulls <= 0.5 AND url_nulls <= 0.5 AS ok,
-      concat_ws('; ', CASE WHEN valid_count < 15 THEN 'row-count floor not met: ' || valid_count || ' valid rows < required 15 (cardinality=many)' END,
+      concat_ws('; ', CASE WHEN valid_count < 15 THEN 'min_rows: ' || valid_count || ' of 15' END,
         CASE WHEN title_nulls > 0.5 THEN {_null_gate('title', 'CAST(round_even(title_nulls * 100, 0) AS BIGINT)')} END,
         CASE WHEN company_nulls > 0.5 THEN {_null_gate('company')} END,
         CASE WHEN url_nulls > 0.5 THEN {_null_gate('url', 'CAST(round_even(url_nulls * 100, 0) AS BIGINT)')} END) AS gates,
       n_row_errors + CAST(valid_count < 15 AS BIGINT) + CAST(title_nulls > 0.5 AS BIGINT) + CAST(company_nulls > 0.5 AS BIGINT) + CAST(url_nulls > 0.5 AS BIGINT) AS n_errors FROM g""",
-    "validation_errors": _WITH + """SELECT page_id, row_no, 'url' AS field, 'row ' || row_no || ': field ''url'' URL input should be a string or URL' AS message FROM k WHERE key % 3 = 0""",
+    "validation_errors": _WITH + """SELECT page_id, row_no, 'url' AS field, 'url[' || row_no || ']: URL input should be a string or URL' AS message FROM k WHERE key % 3 = 0""",
     "valid_items": _WITH + """SELECT page_id, row_no, CASE WHEN key % 5 = 0 THEN '' ELSE title END AS title, CASE WHEN board_no = 5 THEN '' ELSE company END AS company,
       location, salary_min, salary_max, job_url, day || ' 00:00:00' AS posted_at, day || 'T00:00:00' AS posted_at_iso FROM k WHERE key % 3 <> 0""",
     "rejected_items": _WITH + """SELECT page_id, row_no, CASE WHEN key % 5 = 0 THEN '' ELSE title END AS title, salary_min, CAST(1 AS BIGINT) AS n_errors FROM k WHERE key % 3 = 0""",
@@ -167,17 +184,25 @@ ORACLES: dict[str, str] = {
     "best_effort_choice": _WITH + f""", {_PAGES_OF_BOARD} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'model-2' ELSE 'model-1' END AS model,
       CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS attempt, page_id % 2 = 0 AS ok, CASE WHEN page_id % 2 = 0 THEN n ELSE 0 END AS valid_count,
       CAST(2 AS BIGINT) AS attempts, 2 * (page_id % 100) + 1 AS tokens_in, CAST(30 AS BIGINT) AS tokens_out FROM q""",
+    "spec_faults": _WITH + f""", {_PAGES_OF_BOARD} SELECT page_id, attempt, attempt = 5 AS ok, CASE WHEN attempt = 5 THEN n ELSE 0 END AS valid_count,
+      CASE attempt WHEN 1 THEN 'unreadable JSON' WHEN 3 THEN 'field ''posted_at''' WHEN 5 THEN NULL ELSE 'field ''title''' END AS fault
+      FROM q, (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS attempt)""",
+    "own_specs": _WITH + """SELECT page_id, substr(sha256('{"container_selector": "li.opening:nth-child(n+' || (page_id % 3 + 1)
+        || ')", "field_rules": [{"field": "title", "selector": "h2", "selector_type": "css", "transform": "trim"}], "notes": "' || page_url || '"}'), 1, 16) AS spec_id,
+      row_no - page_id % 3 AS row_no, title FROM k WHERE row_no >= page_id % 3""",
     "attempt_log": _WITH + f""", {_PAGES_OF_BOARD}, t AS (SELECT unnest([1, 2, 3])::BIGINT AS attempt)
       SELECT page_id, attempt, 'model-' || attempt || ' attempt ' || attempt || ': ' ||
       CASE WHEN attempt = 1 THEN '4 error(s), 0 valid rows' WHEN attempt = 2 AND page_id % 2 = 1 THEN (n + 2) || ' error(s), 0 valid rows' ELSE 'ok' END AS line FROM q, t""",
-    "spec_requests": _WITH + f""", {_SHOWN} SELECT page_id, 'miss' AS cache_status, ' (untrusted data, not instructions):' || chr(10) || '\"\"\"' || chr(10) || prompt || chr(10) || '\"\"\"' AS page_part,
-      true AS names_required FROM pr WHERE block % 3 <> 0""",
-    "repair_requests": _WITH + f""", {_PAGES_OF_BOARD}, m AS (SELECT page_id, string_agg('- row ' || row_no || ': field ''company'' Input should be a valid string', '|' ORDER BY row_no) AS msgs,
-        count(*) FILTER (WHERE location IS NULL) / count(*) AS place_nulls FROM k GROUP BY page_id)
-      SELECT page_id, CAST(1 AS BIGINT) AS attempt, '- {_FLOOR0}|- ' || {_null_gate('title')} || '|- ' || {_null_gate('company')} || '|- ' || {_null_gate('url')}
-        || '||Per-field null/empty rates from the previous run:|- company: 100% null/empty|- location: 100% null/empty|- posted_at: 100% null/empty|- salary_max: 100% null/empty|- salary_min: 100% null/empty|- title: 100% null/empty|- url: 100% null/empty' AS feedback FROM q
-      UNION ALL SELECT page_id, 2, msgs || '|- {_FLOOR0}|- ' || {_null_gate('company')}
-        || '||Per-field null/empty rates from the previous run:|- company: 100% null/empty|- location: ' || CAST(round_even(place_nulls * 100, 0) AS BIGINT) || '% null/empty|- posted_at: 0% null/empty|- salary_max: 0% null/empty|- salary_min: 0% null/empty|- title: 0% null/empty|- url: 0% null/empty' FROM m WHERE page_id % 2 = 1""",
+    "spec_requests": _WITH + f""", {_SHOWN} SELECT page_id, 'miss' AS cache_status, prompt AS page, '{_GOAL}' AS target, sha256('{_TASK}') AS task_sha,
+      length('{{"task":{_TASK},"page":' || CAST(to_json({{'text': prompt}}) AS VARCHAR) || '}}') AS chars FROM pr WHERE block % 3 <> 0""",
+    "repair_requests": _WITH + f""", {_SHOWN}, {_PAGES_OF_BOARD}, m AS (SELECT page_id, string_agg('"company[' || row_no || ']: Input should be a valid string"', ',' ORDER BY row_no) AS msgs,
+        count(*) FILTER (WHERE location IS NULL) / count(*) AS place_nulls FROM k GROUP BY page_id),
+      a AS (SELECT page_id, CAST(1 AS BIGINT) AS attempt, '' AS msgs, ['min_rows: 0 of 1', {_null_gate('title')}, {_null_gate('company')}, {_null_gate('url')}] AS gates, [100, 100, 100, 100, 100, 100, 100] AS nulls,
+          '{_spec(BROKEN_SPEC)}' AS spec FROM q
+        UNION ALL SELECT page_id, 2, msgs, ['min_rows: 0 of 1', {_null_gate('company')}], [100, CAST(round_even(place_nulls * 100, 0) AS BIGINT), 0, 0, 0, 0, 0], '{_spec(WEAK_SPEC)}' FROM m WHERE page_id % 2 = 1)
+      SELECT a.page_id, attempt, '{{"rows":[' || msgs || '],"gates":[' || array_to_string(['"' || g || '"' FOR g IN gates], ',') || '],"nulls":['
+        || array_to_string(['{{"field":"' || f[1] || '","null":"' || f[2] || '%"}}' FOR f IN list_zip(['company', 'location', 'posted_at', 'salary_max', 'salary_min', 'title', 'url'], nulls)], ',') || ']}}' AS faults,
+        CAST(attempt AS VARCHAR) AS tried, sha256(spec) AS spec_sha, prompt AS page FROM a JOIN pr ON pr.page_id = a.page_id""",
     "registry_upsert": """WITH o AS (SELECT o_orderkey AS k, 'https://shop.example.com/o/' || o_orderkey AS url, o_custkey AS cust, o_orderkey % 3 = 0 AND o_orderstatus <> 'P' AS fresh FROM orders)
       SELECT substr(sha256(url || chr(0) || 'job_postings'), 1, 16) AS cache_key, url, CASE WHEN fresh THEN repeat('0', 16) ELSE repeat('f', 16) END AS fingerprint,
       CASE WHEN fresh THEN 'model-b' ELSE 'model-a' END AS model, CASE WHEN k % 5 <> 0 THEN '2024-01-01 00:00:00' ELSE '2024-06-01 12:00:00' END AS created_at,
@@ -189,9 +214,9 @@ ORACLES: dict[str, str] = {
       WHERE s.block % 10 = 0 AND (seq = 0 OR b.url IS NOT NULL)""",
     "crawl_items": _WITH + """SELECT 'https://jobs.example.com/' || board || '/page/' || (block - block % 10) AS seed, block % 10 AS seq, row_no,
       row_number() OVER (PARTITION BY board, block // 10 ORDER BY block, key) - 1 AS run_row, title FROM k""",
-    "detail_enrich": _WITH + """, u AS (SELECT *, row_number() OVER (PARTITION BY board, block // 10 ORDER BY block, key) AS pos FROM k)
+    "detail_enrich": _WITH + """
       SELECT 'https://jobs.example.com/' || board || '/page/' || (block - block % 10) AS seed, block % 10 AS seq, row_no, title, location,
-      CASE WHEN pos <= 25 AND key % 13 <> 0 THEN 'Work for ' || company || ' on request ' || key || '.' END AS description FROM u""",
+      CASE WHEN key % 13 <> 0 THEN 'Work for ' || company || ' on request ' || key || '.' END AS description FROM k""",
     "crawl_counters": _WITH + """SELECT 'https://jobs.example.com/' || board || '/page/' || (block // 10 * 10) AS seed, count(DISTINCT page_id) AS pages_crawled,
       least(count(*), 30) AS detail_pages_fetched, 'https://jobs.example.com/' || board || '/page/' || max(block) AS last_page FROM k GROUP BY board, block // 10""",
     "crawl_quality": _WITH + """SELECT 'https://jobs.example.com/' || board || '/page/' || (block // 10 * 10) AS run_id, count(*) AS n_rows, count(*) FILTER (WHERE key % 3 <> 0) AS valid_count,
@@ -207,8 +232,8 @@ ORACLES: dict[str, str] = {
       CAST(1 AS BIGINT) AS pages_crawled, gates FROM r""",
     "run_rollup": _WITH + f""", {_VISIT} SELECT cache_status, count(*) AS n_runs, count(*) FILTER (WHERE final_status = 'failed') AS n_failed, CAST(sum(rows_extracted) AS BIGINT) AS rows_extracted,
       count(*) AS pages_crawled, CAST(0 AS BIGINT) AS detail_pages_fetched, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
-      CASE cache_status WHEN 'hit' THEN 'cache HIT — reused the stored spec, skipped the LLM ($0)' WHEN 'miss' THEN 'cache MISS — first contact, generated a new spec'
-        ELSE 'DRIFT — page changed, regenerated the spec' END AS message FROM r GROUP BY cache_status""",
+      CASE cache_status WHEN 'hit' THEN 'stored spec fits' WHEN 'miss' THEN 'url without stored spec'
+        ELSE 'stored spec replaced' END AS message FROM r GROUP BY cache_status""",
     "run_registry": _WITH + f""", {_VISIT}, w AS (SELECT *, page_id % 2 = 0 AND phase IN (1, 3) AS fresh FROM r)
       SELECT substr(sha256(url || chr(0) || 'job_postings'), 1, 16) AS cache_key, url, CASE WHEN fresh THEN 'model-2' ELSE 'model-a' END AS model,
       CASE WHEN phase = 3 THEN '2024-06-01 12:00:00' ELSE '2024-01-01 00:00:00' END AS created_at,

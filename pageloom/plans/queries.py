@@ -183,9 +183,9 @@ def cards_by_spec(spark, sf):
 
 def jsonld_in_dom_row(spark, sf):
     spec = ExtractionSpec(
-        (R("req", "li", "css", "data-req", "int"), R("first_title", "title", "json_ld"),
+        (R("req", "li", "css", "data-no", "int"), R("first_title", "title", "json_ld"),
          R("first_place", "jobLocation.address.addressLocality", "json_ld", transform="lower")),
-        "li.job-card",
+        "li.opening",
     )
     return extract(bd.board_pages(spark, sf), spec).select("page_id", "req", "first_title", "first_place")
 
@@ -233,7 +233,7 @@ def _damaged(spark, sf):
         title=F.when(F.col("key") % 5 == 0, F.lit(" ")).otherwise(tx.html_escape(F.col("title"))),
         company=F.when(F.col("board_no") == 5, F.lit("")).otherwise(F.col("company")),
         link=F.when(F.col("key") % 3 == 0, F.lit("")).otherwise(
-            F.concat(F.lit('<a class="job-link" href="'), F.col("path"), F.lit('">View</a>'))),
+            F.concat(F.lit('<a class="more" href="'), F.col("path"), F.lit('">Details</a>'))),
     )
     return bd.render(bd.cards(spark, sf), markup)
 
@@ -299,8 +299,8 @@ def coerce_values(spark, sf):
 # ------------------------------------------------------- templates and drift
 def template_fingerprint(spark, sf):
     """Board templates: hashed class noise, a second card class, optional parts."""
-    noise = F.concat(F.lit("job-card css-"), F.lpad(F.lower(F.hex("block")), 5, "0"), F.lit("9"))
-    card_class = F.when(F.col("board_no") == 5, F.lit("posting")).when(F.col("board_no") == 4, noise).otherwise(F.lit("job-card"))
+    noise = F.concat(F.lit("opening css-"), F.lpad(F.lower(F.hex("block")), 5, "0"), F.lit("9"))
+    card_class = F.when(F.col("board_no") == 5, F.lit("posting")).when(F.col("board_no") == 4, noise).otherwise(F.lit("opening"))
     prints = fingerprints(bd.render(bd.cards(spark, sf), bd.card_html(card_class=card_class)))
     return template_census(prints).select("n_pages", F.col("n_hosts").cast("bigint").alias("n_hosts"), "sample_url")
 
@@ -339,7 +339,7 @@ def _second_visit(spark, sf):
     """The boards later on: new titles everywhere; block 1 mod 4 renamed its card class, 2 mod 4 lost its companies."""
     phase = F.col("block") % 4
     markup = bd.card_html(
-        card_class=F.when(phase == 1, F.lit("job-tile")).otherwise(F.lit("job-card")),
+        card_class=F.when(phase == 1, F.lit("tile")).otherwise(F.lit("opening")),
         company=F.when(phase == 2, F.lit("")).otherwise(F.col("company")),
         title=F.concat(F.lit("Updated "), tx.html_escape(F.col("title"))),
     )
@@ -352,17 +352,13 @@ def drift_status(spark, sf):
     return reg.decide(pages, found, JOB_POSTINGS).select("page_id", "url", "cache_status")
 
 
-TILE_SPEC = ExtractionSpec(bd.CSS_SPEC.field_rules, "ul.jobs > li")
-BROKEN_SPEC = ExtractionSpec(bd.CSS_SPEC.field_rules, "div.nothing")
-WEAK_SPEC = ExtractionSpec(
-    tuple(R("company", "span.employer", "css") if r.field == "company" else r for r in bd.CSS_SPEC.field_rules), "ul.jobs > li"
-)
+TILE_SPEC = ExtractionSpec(bd.CSS_SPEC.field_rules, "ol.openings > li")
 
 
 def _proposals(pages):
     """Three proposed specs per page: one that finds nothing, one that lacks a field on odd pages, one from structured data."""
     odd = F.col("page_id") % 2 == 1
-    specs = [_spec_json(BROKEN_SPEC), F.when(odd, _spec_json(WEAK_SPEC)).otherwise(_spec_json(TILE_SPEC)), _spec_json(bd.JSONLD_SPEC)]
+    specs = [_spec_json(bd.BROKEN_SPEC), F.when(odd, _spec_json(bd.WEAK_SPEC)).otherwise(_spec_json(TILE_SPEC)), _spec_json(bd.JSONLD_SPEC)]
     tries = F.array(*[
         F.struct(F.lit(i + 1).alias("attempt"), s.alias("spec_json"), F.lit(f"model-{i + 1}").alias("model"),
                  (F.col("page_id") % 100 + i).alias("tokens_in"), F.lit(10 * (i + 1)).cast("bigint").alias("tokens_out"))
@@ -388,6 +384,29 @@ def best_effort_choice(spark, sf):
     return chosen.select("page_id", "model", _long("attempt"), "ok", "valid_count", _long("attempts"), "tokens_in", "tokens_out")
 
 
+def spec_faults(spark, sf):
+    """Four specs that cannot be run and a good one per page: each fails alone, with its reason."""
+    pages, good = bd.board_pages(spark, sf), bd.CSS_SPEC.to_json()
+    title = bd.CSS_SPEC.field_rules[0].selector
+    texts = [good[:-9], good.replace(title, title + ":hover"), good.replace("listed (", "listed (("), good.replace('"collapse_ws"', '"eval"'), good]
+    tries = F.array(*[F.struct(F.lit(i + 1).alias("attempt"), F.lit(t).alias("spec_json")) for i, t in enumerate(texts)])
+    one = F.lit(1).cast("bigint")
+    proposals = pages.select("url", F.explode(tries).alias("t")).select("url", "t.*", F.lit("m").alias("model"), one.alias("tokens_in"), one.alias("tokens_out"))
+    scored = cand.evaluate_candidates(pages, proposals, JOB_POSTINGS)
+    return scored.select("page_id", _long("attempt"), "ok", "valid_count", F.substring_index("spec_error", ":", 1).alias("fault"))
+
+
+def own_specs(spark, sf):
+    """Every page with a spec of its own: titles from one of its first three cards on, as many specs as pages."""
+    pages = bd.board_pages(spark, sf)
+    first = (F.col("page_id") % 3 + 1).cast("string")
+    rules = ')", "field_rules": [{"field": "title", "selector": "h2", "selector_type": "css", "transform": "trim"}], "notes": "'
+    text = F.concat(F.lit('{"container_selector": "li.opening:nth-child(n+'), first, F.lit(rules), F.col("url"), F.lit('"}'))
+    assigned = reg.with_spec_id(pages.select("page_id", text.alias("spec_json")))
+    rows = extract_assigned(pages, assigned, ["title"])
+    return rows.select("page_id", "spec_id", _long("row_no"), F.col("title.v").alias("title"))
+
+
 def attempt_log(spark, sf):
     pages = bd.board_pages(spark, sf)
     return cand.attempt_log(cand.evaluate_candidates(pages, _proposals(pages), JOB_POSTINGS)).select("page_id", _long("attempt"), "line")
@@ -402,8 +421,8 @@ def spec_requests(spark, sf):
     ).distinct()
     request = cand.spec_requests(summaries, decided, JOB_POSTINGS)
     return request.select(
-        "page_id", "cache_status", F.substring_index("request", "PAGE CONTENT", -1).alias("page_part"),
-        F.contains("request", F.lit("required_fields: title, company, url")).alias("names_required"),
+        "page_id", "cache_status", F.get_json_object("request", "$.page.text").alias("page"), F.get_json_object("request", "$.task.target").alias("target"),
+        F.sha2(F.get_json_object("request", "$.task").cast("binary"), 256).alias("task_sha"), F.length("request").cast("bigint").alias("chars"),
     )
 
 
@@ -413,9 +432,11 @@ def repair_requests(spark, sf):
     assigned = evaluated.select("page_id", "attempt", "spec_id", "spec_json")
     rows = extract_assigned(pages, assigned, [f.name for f in JOB_POSTINGS.fields], keep=("attempt",))
     messages = row_errors(check_rows(rows, JOB_POSTINGS, ("page_id", "attempt", "row_no")), ("page_id", "attempt"))
-    texts = cand.repair_requests(sm.page_summary(pages), evaluated, messages, JOB_POSTINGS)
-    feedback = F.substring_index("request", "Validation errors:\n", -1)
-    return texts.select("page_id", _long("attempt"), F.replace(feedback, F.lit("\n"), F.lit("|")).alias("feedback"))
+    texts = cand.repair_requests(_plain_summaries(spark, sf), evaluated, messages, JOB_POSTINGS)
+    return texts.select(
+        "page_id", _long("attempt"), F.get_json_object("request", "$.faults").alias("faults"), F.get_json_object("request", "$.tried.attempt").alias("tried"),
+        F.sha2(F.get_json_object("request", "$.tried.spec").cast("binary"), 256).alias("spec_sha"), F.get_json_object("request", "$.page.text").alias("page"),
+    )
 
 
 def registry_upsert(spark, sf):
@@ -463,11 +484,10 @@ def detail_enrich(spark, sf):
     job_cards = bd.cards(spark, sf)
     pages, details = bd.render(job_cards), bd.detail_pages(job_cards.where(F.col("key") % 13 != 0))
     spec = ExtractionSpec(
-        (R("title", "h3", "css", transform="trim"), R("location", "span.location", "css"), R("link", "a.job-link", "css", "href", "abs_url")),
-        "li.job-card", next_page_selector="a.next", detail_url_field="link", detail_field_rules=bd.DETAIL_RULES,
+        (R("title", "h2", "css", transform="trim"), R("location", "em.place", "css"), R("link", "a.more", "css", "href", "abs_url")),
+        "li.opening", next_page_selector="a.next", detail_url_field="link", detail_field_rules=bd.DETAIL_RULES,
     )
-    # The query's SQL fixes 25 details per walk; the operators have no limit of their own.
-    rows = cr.crawl(pages, _seeds(pages), spec, JOB_POSTINGS, bd.CHAIN, details, 25)["rows"]
+    rows = cr.crawl(pages, _seeds(pages), spec, JOB_POSTINGS, None, details)["rows"]
     return rows.select("seed", _long("seq"), _long("row_no"), "title", "location", "description")
 
 
@@ -475,7 +495,7 @@ def crawl_counters(spark, sf):
     job_cards = bd.cards(spark, sf)
     pages, details = bd.render(job_cards), bd.detail_pages(job_cards)
     spec = ExtractionSpec(
-        (R("link", "a.job-link", "css", "href", "abs_url"),), "li.job-card", next_page_selector="a.next",
+        (R("link", "a.more", "css", "href", "abs_url"),), "li.opening", next_page_selector="a.next",
         detail_url_field="link", detail_field_rules=bd.DETAIL_RULES,
     )
     counters = cr.crawl(pages, _seeds(pages), spec, JOB_POSTINGS, bd.CHAIN, details, 30)["counters"]
@@ -561,7 +581,7 @@ _QUERIES = [
     page_title, nav_links_abs, regex_track_id, ad_text, node_census, repeating_groups, render_check, transform_values,
     normalized_urls, hashed_tokens, cards_css, cards_xpath, cards_jsonld, cards_by_spec, jsonld_in_dom_row, jsonld_objects,
     jsonld_types, board_outline, board_prompt, validate_quality, validation_errors, valid_items, rejected_items, coerce_values,
-    template_fingerprint, page_templates, drift_status, candidate_choice, best_effort_choice, attempt_log, spec_requests,
+    template_fingerprint, page_templates, drift_status, candidate_choice, best_effort_choice, spec_faults, own_specs, attempt_log, spec_requests,
     repair_requests, registry_upsert, pagination_walk, crawl_items, detail_enrich, crawl_counters, crawl_quality,
     crawl_manifest, url_policy, run_records, run_rollup, run_registry, refetch_queue,
 ]

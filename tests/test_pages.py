@@ -54,7 +54,7 @@ def test_summary_and_prompt(pages_of):
         "body", "  ul #u .a .b", "    li", '      b: "n0"', "    (+3 more `li`)", "  div", "  (+2 more `div`)", "  section",
         f'    p: "{"w" * 80}…"', "    (+2 more `p`)",
     ]
-    assert row.prompt.startswith("# PAGE TITLE\nOpen roles\n\n# REPEATING STRUCTURES\n## repeating `li` x4 (exemplars)\n<li> n0\n<li> n1\n\n## repeating")
+    assert row.prompt.startswith("[title]\nOpen roles\n\n[groups]\n`li` x4\n<li> n0\n<li> n1\n\n`p")
     assert len(row.short) == 20 and row.prompt.startswith(row.short)
 
 
