@@ -117,11 +117,11 @@ def test_quality_gates(spark):
     q = {r.run_id: r for r in run_quality(checked, runs, TARGET, ("run_id",)).collect()}
     assert (q[1].valid_count, q[1].n_row_errors, q[1].ok, q[1].gate_errors) == (1, 2, True, [])
     assert (q[2].valid_count, q[2].ok) == (3, False)
-    assert q[2].gate_errors == ["field 'title' is null/empty in 67% of rows (> 50% threshold) — likely a bad selector"]
-    assert q[3].gate_errors[0] == "row-count floor not met: 0 valid rows < required 1 (cardinality=many)"
+    assert q[2].gate_errors == ["null_rate title: 67% over 50%"]
+    assert q[3].gate_errors[0] == "min_rows: 0 of 1"
     assert (q[3].n_errors, q[3].null_rates["pay"], q[3].ok) == (3, 1.0, False)
     lines = [r.message for r in row_errors(checked, ("run_id",)).orderBy("run_id", "row_no").collect()]
-    assert lines == ["row 1: field 'title' Input should be a valid string", "row 2: field 'url' URL input should be a string or URL"]
+    assert lines == ["title[1]: Input should be a valid string", "url[2]: URL input should be a string or URL"]
     assert "ignored" not in checked.columns
 
 
