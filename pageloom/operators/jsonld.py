@@ -146,28 +146,45 @@ def surfaced_blocks(html: Column) -> Column:
     )
 
 
-# A key "@type" and its value: a string, or a flat list.
-_TYPE_KEY = r'(?<!\\)"@type":("(?:[^"\\]++|\\.)*+"|\[[^\[\]{}]*\])'
-_STRING = r'"((?:[^"\\]++|\\.)*+)"'
+def _own_types(v: Column) -> Column:
+    """Names in the '@type' of an object: the string, or the strings of a list; none for other values."""
+    own = F.try_variant_get(v, "$['@type']", "variant")
+    listed = let(own, lambda t: F.coalesce(F.try_variant_get(t, "$", "array<variant>"), F.array(t)))
+    return F.transform(F.filter(listed, lambda t: _kind(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string"))
+
+
+def _below(v: Column) -> Column:
+    """Containers right below a value."""
+    none = F.array().cast("array<variant>")
+    children = F.coalesce(
+        F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), none)
+    return F.filter(children, lambda c: is_object(c) | is_array(c))
+
+
+def _types_at_any_depth(blocks: Column, html: Column) -> Column:
+    """Type names of parsed blocks: a worklist that goes one level down a step, until no container is left."""
+    start = F.struct(F.array().cast("array<string>").alias("names"), blocks.alias("todo")).cast(_WORK)
+    text = F.array_join(jsonld_blocks(html), "")
+    deepest = F.length(text) - F.length(F.regexp_replace(text, r"[\[{]", ""))
+    step = lambda acc, _: F.when(F.size(acc["todo"]) == 0, acc).otherwise(
+        F.struct(
+            F.array_distinct(F.concat(acc["names"], F.flatten(F.transform(acc["todo"], _own_types)))).alias("names"),
+            F.flatten(F.transform(acc["todo"], _below)).alias("todo"),
+        ).cast(_WORK)
+    )
+    return F.aggregate(F.sequence(F.lit(0), deepest), start, step, lambda acc: acc["names"])
+
+
+_WORK = "struct<names:array<string>,todo:array<variant>>"
 
 
 def ld_types(html: Column) -> Column:
     """Sorted distinct '@type' names at any depth, with a marker for unreadable blocks."""
-    found = F.transform(
-        jsonld_blocks(html),
-        lambda b: let(
-            parse_block(b),
-            lambda v: F.when(v.isNull(), F.array(F.lit("<unparsed-ld>"))).otherwise(
-                F.flatten(
-                    F.transform(
-                        F.regexp_extract_all(F.to_json(v), F.lit(_TYPE_KEY), F.lit(1)),
-                        lambda t: F.regexp_extract_all(t, F.lit(_STRING), F.lit(1)),
-                    )
-                )
-            ),
-        ),
-    )
-    return F.array_sort(F.array_distinct(F.flatten(found)))
+    marked = lambda parsed: F.array_sort(F.array_distinct(F.concat(
+        _types_at_any_depth(F.filter(parsed, lambda v: v.isNotNull()), html),
+        F.when(F.exists(parsed, lambda v: v.isNull()), F.array(F.lit("<unparsed-ld>"))).otherwise(F.array().cast("array<string>")),
+    )))
+    return let(F.transform(jsonld_blocks(html), parse_block), marked)
 
 
 def explode_objects(pages: DataFrame, depth: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lets import let
 from ..functions.urls import host_of, split_url
-from .skew import spread_join
+from .skew import as_of_join, latest, spread_join
 
 _STATE = "struct<state:int,agents:array<string>,rules:array<struct<allow:boolean,path:string>>,groups:array<struct<agents:array<string>,rules:array<struct<allow:boolean,path:string>>>>>"
 
@@ -110,11 +110,27 @@ def url_policy(urls: DataFrame, robots: DataFrame, user_agent: str, by: tuple[st
     ``robots``: host, status, body. A missing file or a status of 400 and above allows
     everything. The rules of a host travel as one array per host, so a url meets them
     once, and a host with a large share of the urls is salted.
+
+    With ``fetched_at`` in ``robots`` a host may have many copies, and the newest one counts whatever its status. Where
+    ``urls`` has ``fetched_at`` too, the newest is the newest at that time: before the first copy everything is allowed,
+    and a url without time sees the last one. Copies of one time: the higher status, then the greater rules.
     """
-    known = robots.where(F.coalesce(F.col("status"), F.lit(200)) < 400).groupBy("host").agg(F.max("body").alias("body"))
-    rules = known.select("host", rules_for_agent(F.col("body"), user_agent).alias("rules"))
+    found = F.when(F.coalesce(F.col("status"), F.lit(200)) < 400, rules_for_agent(F.col("body"), user_agent))
     hosted = urls.withColumn("host", host_of(F.col("url")))
-    joined = spread_join(hosted, rules, ["host"], by=by)
+    if "fetched_at" not in robots.columns:
+        # Copies without a time: any readable one, the same in every run.
+        known = robots.where(F.coalesce(F.col("status"), F.lit(200)) < 400).groupBy("host").agg(F.max("body").alias("body"))
+        rules = known.select("host", rules_for_agent(F.col("body"), user_agent).alias("rules"))
+        joined = spread_join(hosted, rules, ["host"], by=by)
+    else:
+        copies = robots.select("host", "fetched_at", F.coalesce("status", F.lit(200)).alias("status"), found.alias("rules"))
+        if "fetched_at" in urls.columns:
+            timed = hosted.withColumn("_time", F.coalesce("fetched_at", F.lit("9999-12-31").cast("timestamp")))
+            swept = as_of_join(timed, copies.withColumnRenamed("fetched_at", "_time"), ["host"], "_time", by, "_copy")
+            joined = swept.withColumn("rules", F.col("_copy.rules")).drop("_copy", "_time")
+        else:
+            newest = latest(copies, ["host"], [F.col("fetched_at"), F.col("status"), F.col("rules")])
+            joined = spread_join(hosted, newest.select("host", "rules"), ["host"], by=by)
     path = _request_path(F.col("url"))
     verdict = let(
         path,

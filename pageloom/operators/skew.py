@@ -65,6 +65,31 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
+def as_of_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], time: str, by: Sequence[str], into: str, salts: int = 32, rows: int = HOT_ROWS
+) -> DataFrame:
+    """``left`` with ``into``: the newest row of ``right`` that has the same key and is not younger than the left row.
+
+    Both sides are sorted once by key and time and swept in one pass, so versions are never paired with rows. Hot keys of
+    ``left`` are swept in salted parts, each of which sees all versions. Versions of one time: the greatest row decides.
+    A left row without time or version gets NULL.
+    """
+    on = list(on)
+    rest = [c for c in right.columns if c not in (*on, time)]
+    hot = F.broadcast(hot_keys(left, on, rows))
+    missing = F.lit(False)
+    for key in on:
+        missing = missing | F.col(key).isNull()
+    salt = F.when(F.col("_hot") | missing, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    rows_ = left.join(hot, on, "left").select(*on, salt.alias("_salt"), F.col(time).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    versions = right.where(F.col(time).isNotNull()).join(hot, on, "left").select(
+        *on, F.explode(every).alias("_salt"), F.col(time).alias("_at"), F.lit(0).alias("_side"), F.struct(*rest).alias("_version"))
+    sweep = Window.partitionBy(*on, "_salt").orderBy("_at", "_side", "_version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows_.unionByName(versions, allowMissingColumns=True).withColumn("_seen", F.last("_version", ignorenulls=True).over(sweep))
+    return swept.where("_side = 1").select("_row.*", F.col("_seen").alias(into))
+
+
 def running_offsets(
     counts: DataFrame, group: str, seq: str, n: str, chunk: int = 4096
 ) -> DataFrame:

@@ -230,6 +230,21 @@ ORACLES: dict[str, str] = {
         WHEN 2 THEN starts_with(path, '/en/1') OR NOT starts_with(path, '/en') ELSE true END AS allowed FROM h""",
     "run_records": _WITH + f""", {_VISIT} SELECT page_id, run_id, cache_status, model, rows_extracted, final_status, attempts::BIGINT AS attempts, tokens_in, tokens_out::BIGINT AS tokens_out,
       CAST(1 AS BIGINT) AS pages_crawled, gates FROM r""",
+    "robots_as_of": """WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) AS path FROM pages)
+      SELECT page_id, url, CASE WHEN page_id % 31 BETWEEN 2 AND 9 THEN NOT starts_with(path, '/en/') WHEN page_id % 31 >= 20 THEN NOT starts_with(path, '/es/')
+        ELSE true END AS allowed FROM h""",
+    "crawl_runs": _WITH + f""", {_VISIT}, g AS (SELECT p.page_id, p.url, p.phase, p.n, max(board) AS board, max(block) AS block FROM p JOIN k ON k.page_id = p.page_id GROUP BY ALL),
+      w AS (SELECT s.page_id AS run, s.phase AS start, h.*, h.block - s.block = row_number() OVER (PARTITION BY s.page_id ORDER BY h.block) - 1 AS linked
+        FROM g s JOIN g h ON h.board = s.board AND h.block // 10 = s.block // 10 AND h.block >= s.block WHERE s.block % 10 IN (0, 3, 5)),
+      m AS (SELECT run, start, count(*) AS pages_crawled, max_by(url, block) AS last_page, CAST(coalesce(sum(n) FILTER (WHERE start <> 0 OR phase <> 1), 0) AS BIGINT) AS n_rows,
+        coalesce(sum(n) FILTER (WHERE phase = 2), 0) AS lost, max(n) FILTER (WHERE page_id = run) AS own FROM w WHERE linked GROUP BY run, start),
+      v AS (SELECT *, lost / n_rows > 0.5 AS failed FROM m)
+      SELECT run AS page_id, 'run-2-' || run AS run_id, CASE start WHEN 0 THEN 'hit' WHEN 3 THEN 'miss' ELSE 'drift_regenerated' END AS cache_status,
+      CASE start WHEN 0 THEN 'model-a' ELSE 'model-2' END AS model, n_rows AS rows_extracted, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS final_status,
+      CASE start WHEN 0 THEN 1 ELSE 2 END::BIGINT AS attempts, CASE start WHEN 0 THEN 0 ELSE 30 END::BIGINT AS tokens_in, CASE start WHEN 0 THEN 0 ELSE 3 END::BIGINT AS tokens_out,
+      CASE WHEN failed THEN 1 ELSE 0 END::BIGINT AS n_errors, pages_crawled, last_page,
+      CASE WHEN failed THEN 'null_rate company: ' || CAST(round_even(lost / n_rows * 100, 0) AS BIGINT) || '% over 50%' ELSE '' END AS gates,
+      CASE start WHEN 0 THEN '' ELSE 'model-1 attempt 1: 4 error(s), 0 valid rows; model-2 attempt 2: ' || CASE start WHEN 2 THEN '1 error(s), ' || own || ' valid rows' ELSE 'ok' END END AS tried FROM v""",
     "run_rollup": _WITH + f""", {_VISIT} SELECT cache_status, count(*) AS n_runs, count(*) FILTER (WHERE final_status = 'failed') AS n_failed, CAST(sum(rows_extracted) AS BIGINT) AS rows_extracted,
       count(*) AS pages_crawled, CAST(0 AS BIGINT) AS detail_pages_fetched, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
       CASE cache_status WHEN 'hit' THEN 'stored spec fits' WHEN 'miss' THEN 'url without stored spec'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,7 +22,7 @@ from ..operators.fingerprint import fingerprints, template_census
 from ..operators.rendering import needs_render
 from ..operators.shred import dom_nodes
 from ..operators.validate import check_rows, rejected_rows, row_errors, run_quality, valid_rows
-from ..session import tune
+from ..session import cut_lineage, tune
 from ..sources.snapshots import manifest_entries, replay_limits
 from . import board as bd
 from . import runs as rn
@@ -543,6 +544,17 @@ def url_policy(spark, sf):
     return policy.url_policy(urls, robots, "loom/1.0", ("page_id",)).select("page_id", "url", "allowed")
 
 
+def robots_as_of(spark, sf):
+    """Page urls, each fetched on some day of a month, against three made copies of every host's robots file."""
+    urls = _pages(spark, sf).select("page_id", "url", F.timestamp_seconds(F.lit(86400) * F.pmod("page_id", F.lit(31))).alias("fetched_at"))
+    copies = F.array(*[
+        F.struct(F.timestamp_seconds(F.lit(86400 * day)).alias("fetched_at"), F.lit(status).alias("status"), F.lit(body).alias("body"))
+        for day, status, body in ((2, 200, "User-agent: *\nDisallow: /en/\n"), (10, 404, "User-agent: *\nDisallow: /\n"), (20, 200, "User-agent: *\nDisallow: /es/\n"))
+    ])
+    robots = urls.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct().select("host", F.explode(copies).alias("c")).select("host", "c.*")
+    return policy.url_policy(urls, robots, "loom/1.0", ("page_id",)).select("page_id", "url", "allowed")
+
+
 # ------------------------------------------------------------------------ runs
 def _run_second_visit(spark, sf):
     pages = _second_visit(spark, sf).withColumn("run_id", F.concat(F.lit("run-2-"), F.col("page_id").cast("string"))).withColumn("rendered", F.lit(False))
@@ -557,6 +569,26 @@ def run_records(spark, sf):
     )
 
 
+def crawl_runs(spark, sf):
+    """Runs that walk the second visit's boards from three places of every chain, each by the spec it settled on."""
+    # Every round of the walks reads the pages: they are rendered once.
+    pages = cut_lineage(_second_visit(spark, sf))
+    begin = pages.where((F.col("block") % bd.CHAIN).isin(0, 3, 5))
+    seeds = begin.select("page_id", F.concat(F.lit("run-2-"), F.col("page_id").cast("string")).alias("run_id"), F.lit(False).alias("rendered"))
+    follow = F.array(*[
+        F.struct(F.lit(i).alias("attempt"), _spec_json(replace(s, next_page_selector="a.next")).alias("spec_json"), F.lit(f"model-{i}").alias("model"),
+                 F.lit(10 * i).cast("bigint").alias("tokens_in"), F.lit(i).cast("bigint").alias("tokens_out"))
+        for i, s in ((1, bd.BROKEN_SPEC), (2, TILE_SPEC))
+    ])
+    proposals = begin.select("url", F.explode(follow).alias("t")).select("url", "t.*")
+    runs = rn.run_crawls(pages, seeds, JOB_POSTINGS, _first_registry(spark, sf), proposals, NOW)["runs"]
+    return runs.select(
+        "page_id", "run_id", "cache_status", "model", "rows_extracted", "final_status", _long("attempts"), "tokens_in", "tokens_out", _long("n_errors"),
+        _long("pages_crawled"), F.element_at("crawl_page_urls", -1).alias("last_page"), F.array_join("validation_errors", "; ").alias("gates"),
+        F.array_join("repair_log", "; ").alias("tried"),
+    )
+
+
 def run_rollup(spark, sf):
     return rn.status_rollup(_run_second_visit(spark, sf)["runs"])
 
@@ -583,7 +615,7 @@ _QUERIES = [
     jsonld_types, board_outline, board_prompt, validate_quality, validation_errors, valid_items, rejected_items, coerce_values,
     template_fingerprint, page_templates, drift_status, candidate_choice, best_effort_choice, spec_faults, own_specs, attempt_log, spec_requests,
     repair_requests, registry_upsert, pagination_walk, crawl_items, detail_enrich, crawl_counters, crawl_quality,
-    crawl_manifest, url_policy, run_records, run_rollup, run_registry, refetch_queue,
+    crawl_manifest, url_policy, robots_as_of, run_records, crawl_runs, run_rollup, run_registry, refetch_queue,
 ]
 
 

@@ -12,10 +12,11 @@ from pageloom.operators import candidates as cand
 from pageloom.operators import crawl as cr
 from pageloom.operators import registry as reg
 from pageloom.operators import summary as sm
+from pageloom.operators.jsonld import ld_types
 from pageloom.operators.fingerprint import fingerprints
 from pageloom.operators.policy import url_policy
 from pageloom.operators.rendering import needs_render
-from pageloom.operators.skew import hot_keys, latest, running_offsets, spread_join
+from pageloom.operators.skew import as_of_join, hot_keys, latest, running_offsets, spread_join
 from pageloom.operators.validate import check_rows, row_errors, run_quality
 from pageloom.plans import runs as rn
 from pageloom.sources import snapshots as sn
@@ -354,3 +355,72 @@ def test_landed_pages_are_decided_per_batch(spark, pages_of, tmp_path):
     start()
     got = sorted((r.batch, r.page_id, r.cache_status) for r in spark.read.parquet(out).collect())
     assert got == [(0, 0, "hit"), (0, 1, "miss"), (1, 0, "drift_regenerated")]
+
+
+def test_types_at_any_depth(pages_of):
+    deep = '{"@type":"Leaf"}'
+    for _ in range(60):
+        deep = '{"x":[' + deep + "]}"
+    blocks = {
+        '{"@type":["A[1]","B"]}': ["A[1]", "B"],
+        '{"@type":["C",["D"]]}': ["C"],
+        '{"@type":["E",{"@type":"F"},3,null]}': ["E", "F"],
+        '[{"@type":7},{"a":{"@type":"G"}},"@type"]': ["G"],
+        deep: ["Leaf"],
+        '{"note":"{\\"@type\\":\\"H\\"}"}': [],
+        "{broken": ["<unparsed-ld>"],
+        '"text"': [],
+    }
+    pages = pages_of(*[f'<script type="application/ld+json">{b}</script>' for b in blocks], "<p>none</p>")
+    got = [r.t for r in pages.select("page_id", ld_types(F.col("html")).alias("t")).orderBy("page_id").collect()]
+    assert got == [*blocks.values(), []]
+
+
+def test_newest_robots_copy_decides_before_its_status(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    closed, news = "User-agent: *\nDisallow: /\n", "User-agent: *\nDisallow: /news\n"
+    robots = spark.createDataFrame(
+        [("a.example", day(2), 200, closed), ("a.example", day(4), 404, closed), ("a.example", day(6), None, news),
+         ("b.example", day(1), 404, closed), ("b.example", day(3), 200, closed), ("a.example", None, 200, closed)],
+        "host string, fetched_at timestamp, status int, body string")
+    urls = spark.createDataFrame(
+        [(i, u, t) for i, (u, t) in enumerate([
+            ("http://a.example/news", day(1)), ("http://a.example/news", day(2)), ("http://a.example/x", day(3)), ("http://a.example/news", day(5)),
+            ("http://a.example/news", day(7)), ("http://a.example/x", day(7)), ("http://a.example/news", None), ("http://b.example/", day(9)),
+            ("http://c.example/", day(9)), (None, day(9))])],
+        "n int, url string, fetched_at timestamp")
+    timed = {r.n: r.allowed for r in url_policy(urls, robots, "loom/1.0", ("n",)).collect()}
+    assert [timed[i] for i in range(10)] == [True, False, False, True, False, True, False, False, True, True]
+    last = {r.n: r.allowed for r in url_policy(urls.drop("fetched_at"), robots, "loom/1.0", ("n",)).collect()}
+    assert [last[i] for i in range(10)] == [False, False, True, False, False, True, False, False, True, True]
+
+
+def test_hot_hosts_are_swept_in_parts(spark):
+    left = spark.range(300).select("id", F.lit("h").alias("k"), F.col("id").alias("t"))
+    right = spark.createDataFrame([("h", 100, "x"), ("h", 200, "y"), ("g", 0, "z")], "k string, t long, v string")
+    got = as_of_join(left, right, ["k"], "t", ["id"], "seen", salts=4, rows=10).select("id", "seen.v").collect()
+    assert {r.id: r.v for r in got} == {i: None if i < 100 else "x" if i < 200 else "y" for i in range(300)}
+
+
+def test_walks_follow_the_spec_of_their_run(pages_of):
+    page = lambda title, **links: f"<h1>{title}</h1>" + "".join(f'<a class="{c}" href="{u}">x</a>' for c, u in links.items())
+    pages = pages_of(
+        ("http://w.example/0", page("zero", on="/1", up="/2")), ("http://w.example/1", page("one", on="/2")), ("http://w.example/2", page("two", on="/0", up="/gone")))
+    spec = lambda cls: ExtractionSpec((R("title", "h1", "css"),), "body", next_page_selector=f"a.{cls}").to_json()
+    starts = pages.sparkSession.createDataFrame(
+        [("a", "http://w.example/0", 0, "on", spec("on")), ("b", "http://w.example/0", 0, "up", spec("up")), ("c", "http://w.example/1", 1, "on", spec("on")),
+         ("d", "http://w.example/1", 1, "bad", "{")],
+        "seed string, url string, page_id long, spec_id string, spec_json string")
+    for limit in (None, 2):
+        walked, rows = cr.walk_by_spec(pages, starts, ["title"], max_pages=limit)
+        seen = {}
+        for r in sorted(walked.collect(), key=lambda r: r.seq):
+            seen.setdefault(r.seed, []).append((r.url[-1], r.missing_page))
+        whole = {"a": [("0", False), ("1", False), ("2", False)], "b": [("0", False), ("2", False), ("e", True)],
+                 "c": [("1", False), ("2", False), ("0", False)], "d": [("1", False)]}
+        assert seen == {k: v[:limit] for k, v in whole.items()}
+        merged = {}
+        for r in sorted(cr.merged_rows(walked, rows).collect(), key=lambda r: r.run_row):
+            merged.setdefault(r.seed, []).append((r.run_row, r.title.v))
+        names = {"0": "zero", "1": "one", "2": "two"}
+        assert merged == {k: [(i, names[u]) for i, (u, gone) in enumerate(v[:limit]) if not gone] for k, v in whole.items() if k != "d"}
