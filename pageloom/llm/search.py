@@ -1,13 +1,15 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation into dense score arrays.
 
-Components become floor(1024 * x) (beyond 2**30 in size: held at it). Candidates stream through tasks in blocks; a
-block's postings of each term are scattered, times the query's weight, into a dense array of scores, from which a
-partition selection takes the k best, ties to the smaller id. Tasks merge what they select, and one ranking over the
-tasks' few rows ends it. Queries are broadcast in groups of at most ``group`` rows, one pass over the candidates each.
+Components become floor(1024 * x). Queries and candidates are dealt into blocks of about ``rows`` rows by a hash, and every pair
+of a query block and a candidate block is one group: it scatters the block's postings of each term, times the queries' weights,
+into dense score arrays, from which a partition selection takes the k best, ties to the smaller id. The few rows each pair selects
+are merged by a ranking per query. Nothing passes through the driver but two counts; a group holds two blocks.
 
 Vectors that are null or hold null or non-finite components, and null ids, take no part. Vectors of other lengths count as
-padded with zeros. Repeated rows are candidates as often as they occur; a query repeated k times
-answers once. Fewer than k candidates: all. Empty tables give an empty result.
+padded with zeros; empty ones score 0. Equal candidate rows are sent once with their number and answer as often as they occur. Of the rows of a
+repeated query id the least vector asks, and no row of that id answers. Products that may leave 64 bits are summed as Python
+integers; components and scores beyond a long are held at its limits. Fewer than k candidates: all. Other columns are not read.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.llm.common import table
 
-TOP, GROUP, BLOCK = 10, 8_192, 2_048
+TOP, ROWS, BLOCK, LIMIT = 10, 8_192, 2_048, 2**63 - 1
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    scaled = F.transform(embedding, lambda x: F.floor(F.greatest(F.least(x.cast("double") * 1024, F.lit(2.0**30)), F.lit(-(2.0**30)))).cast("bigint"))
+    scaled = F.transform(embedding, lambda x: F.floor(x.cast("double") * 1024))
     return vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite).select(
         F.col(vec_id).cast("bigint").alias("vec_id"), scaled.alias("v"))
 
@@ -44,18 +46,23 @@ def accumulate(queries: list[list[tuple[int, int]]], block: np.ndarray) -> np.nd
     for i, row in enumerate(queries):
         for term, weight in row:
             terms.setdefault(term, []).append((i, weight))
-    scores = np.zeros((len(queries), len(block)), dtype=np.int64)
+    highest = np.abs(block.astype(np.float64)).max(axis=0, initial=0.0)
+    most = max((sum(abs(w) * highest[t] for t, w in row) for row in queries), default=0.0)
+    kind = np.int64 if most < 2.0**62 else object
+    if kind is object:
+        block = block.astype(object)
+    scores = np.zeros((len(queries), len(block)), dtype=kind)
     for term, users in terms.items():
         posting = np.flatnonzero(block[:, term])
         if not len(posting):
             continue
-        who, weights = np.array([u for u, _ in users]), np.array([w for _, w in users], dtype=np.int64)
+        who, weights = np.array([u for u, _ in users]), np.array([w for _, w in users], dtype=kind)
         part = weights[:, None] * block[posting, term][None, :]
         if len(posting) == len(block) and len(who) == len(queries):
             scores += part
         else:
             scores[np.ix_(who, posting)] += part
-    return scores
+    return scores if kind is np.int64 else np.clip(scores, -LIMIT, LIMIT).astype(np.int64)
 
 
 def select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -68,46 +75,49 @@ def select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def top(queries: DataFrame, candidates: DataFrame, k: int = TOP, group: int = GROUP) -> DataFrame:
+def _pair(asked: pa.Table, offered: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of one candidate block for each query of one query block, copies included."""
+    qids = asked["vec_id"].to_numpy()
+    ids, copies = offered["vec_id"].to_numpy(), np.minimum(offered["n"].to_numpy(), k)
+    vectors = asked["v"].to_pylist()
+    sparse = [[(t, w) for t, w in enumerate(v) if w] for v in vectors]
+    width = max(map(len, vectors))
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids)
+    for at in range(0, len(ids), BLOCK):
+        part = slice(at, at + BLOCK)
+        block = _dense(offered["v"].slice(at, BLOCK), width)
+        for q in range(0, len(qids), 512):
+            for i, line in enumerate(accumulate(sparse[q : q + 512], block), q):
+                other = np.flatnonzero(ids[part] != qids[i])
+                best = other[select(ids[part][other], line[other], k)]
+                times = copies[part][best]
+                both = np.concatenate([held[i][0], np.repeat(ids[part][best], times)]), np.concatenate([held[i][1], np.repeat(line[best], times)])
+                keep = select(*both, k)
+                held[i] = both[0][keep], both[1][keep]
+    sizes = [len(a) for a, _ in held]
+    return np.repeat(qids, sizes), np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
+def top(queries: DataFrame, candidates: DataFrame, k: int = TOP, rows: int = ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` from frames of ``vec_id, v`` (array<bigint>)."""
-    spark = queries.sparkSession
-    asked = queries.dropDuplicates(["vec_id"])
-    groups = max(1, -(-asked.count() * 5 // (group * 4)))
-    merged = None
-    for g in range(groups):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").collect()
-        sparse = [[(t, w) for t, w in enumerate(r.v) if w] for r in rows]
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows], dtype=np.int64), sparse, max([len(r.v) for r in rows], default=0)))
-
-        def run(batches, shared=shared):
-            qids, sparse, width = shared.value
-            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids)
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
-                    ids, block = part.column(0).to_numpy(), _dense(part.column(1), width)
-                    for q in range(0, len(qids), 512):
-                        scores = accumulate(sparse[q : q + 512], block)
-                        for i, line in enumerate(scores, q):
-                            other = ids != qids[i]
-                            if not other.all():
-                                pool, line = ids[other], line[other]
-                            else:
-                                pool = ids
-                            best = select(pool, line, k)
-                            both = np.concatenate([held[i][0], pool[best]]), np.concatenate([held[i][1], line[best]])
-                            keep = select(*both, k)
-                            held[i] = both[0][keep], both[1][keep]
-            sizes = [len(a) for a, _ in held]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([a for a, _ in held])), pa.array(np.concatenate([b for _, b in held]))],
-                    names=["query_id", "vec_id", "score"])
-
-        found = candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        merged = found if merged is None else merged.unionByName(found)
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    offered = candidates.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda df: max(1, -(-df.count() // rows))
+    n_asked, n_offered = blocks(queries.select("vec_id").distinct()), blocks(candidates)
+
+    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        mine = df.withColumn(names[0], F.pmod(F.xxhash64("vec_id", "v"), F.lit(own)))
+        return mine.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<bigint>")))
+
+    def search(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        if not asked.num_rows or not offered.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(x, pa.int64()) for x in _pair(asked, offered, k)], names=["query_id", "vec_id", "score"])
+
+    left, right = dealt(asked, n_asked, n_offered, ("q", "c")), dealt(offered, n_offered, n_asked, ("c", "q"))
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_search(spark, sf_dir: str) -> DataFrame:

@@ -298,3 +298,29 @@ def test_importance_keeps_good_documents(spark, docs):
 def test_pipeline_packs_kept_documents(spark):
     out = queries.QUERIES["pipeline"](spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
+
+
+def test_search_by_block_pairs_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 5) / 8]) for i in rng.integers(0, 260, 300)] + [(7, [0.5] * 5)] * 40 + [(9, [0.25]), (11, [])]
+    v = search.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    asked = v.where("vec_id % 20 = 0")
+    got: dict = {}
+    for r in search.top(asked, v, k=6, rows=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    scaled = [(i, [int(np.floor(1024 * x)) for x in e]) for i, e in rows]
+    want = {}
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        weights = min(e for i, e in scaled if i == q)
+        scores = [(i, sum(a * b for a, b in zip(weights, e))) for i, e in scaled if i != q]
+        want[q] = sorted(scores, key=lambda x: (-x[1], x[0]))[:6]
+    assert got == want
+
+
+def test_search_beyond_64_bits_and_without_rows(spark):
+    big = spark.createDataFrame([(0, [2.0**21, 2.0**30]), (1, [2.0**21, 1.0]), (2, [2.0**40, 2.0**40]), (3, [-(2.0**40)] * 2), (4, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    v = search.usable(big, "vec_id", "embedding")
+    got = [(r.vec_id, r.score) for r in search.top(v.where("vec_id = 0"), v).orderBy("rank").collect()]
+    assert got == [(2, 2**63 - 1), (4, 2**63 - 1), (1, 2**62 + 2**50), (3, 1 - 2**63)]
+    none = v.where("false")
+    assert search.top(none, v).count() == search.top(v, none).count() == 0
