@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .hosts import ascii_host
 from .lets import let, shared
 
 # Generic URL parts (RFC 3986, appendix B), one pattern per part.
@@ -148,7 +149,7 @@ def _http_value(p: Column, a: Column) -> Column:
     path = F.when(p["path"] == "", F.lit("/")).otherwise(_tidy(p["path"]))
     return build_url(
         p["scheme"],
-        F.concat(a["user"], a["host"], port),
+        F.concat(a["user"], ascii_host(a["host"]), port),
         let(path, lambda c: _percent_encode(c, r'[^\x21-\x7e]|["<>`{}]')),
         _percent_encode(p["query"], r"[^\x21-\x7e]|[\"<>']"),
         _percent_encode(p["fragment"], r'[^\x21-\x7e]|["<>`]'),
@@ -176,7 +177,7 @@ def http_url(c: Column) -> Column:
 
     Scheme and host are lower-cased, a default port is dropped, an empty path
     becomes '/', dot segments are folded and unsafe characters percent-encoded.
-    International host names are kept as they are. ``error`` is NULL for a good url.
+    International host names get their ASCII form. ``error`` is NULL for a good url.
     """
     text = F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
 

@@ -133,6 +133,8 @@ ORACLES: dict[str, str] = {
       CASE key % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true WHEN 4 THEN false END AS bool FROM c""",
     "normalized_urls": """SELECT page_id, url || '%20x' AS value, 'Input should be a valid URL, relative URL without a base' AS relative_error,
       regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages""",
+    "international_hosts": """SELECT page_id, regexp_extract(url, '^(https?://)', 1) || CASE page_id % 5 WHEN 0 THEN 'xn--bcher-kva.example' WHEN 1 THEN 'xn--mnchen-3ya.xn--bcher-kva.example'
+        WHEN 2 THEN 'xn--wgv71a119e.example' WHEN 3 THEN 'xn--e1afmkfd.example' ELSE 'plain.example' END || regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) AS value FROM pages""",
     "hashed_tokens": """SELECT source, count(*) AS n_tokens, count(*) FILTER (WHERE regexp_matches(token, '[0-9]') AND regexp_matches(lower(token), '[0-9a-f]{4,}')) AS n_hashed
       FROM (SELECT source, unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS token FROM documents) WHERE token <> '' GROUP BY source""",
     "cards_css": _ITEMS,

@@ -141,6 +141,16 @@ def normalized_urls(spark, sf):
     return p.select("page_id", checked["value"].alias("value"), bad["error"].alias("relative_error"), host_of(F.col("url")).alias("host"))
 
 
+HOSTS = ("Bücher.example", "müNCHEN.Bücher.example", "日本語.example", "пример.example", "plain.example")
+
+
+def international_hosts(spark, sf):
+    """Output form of page urls moved to hosts of several scripts."""
+    host = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    moved = F.concat(F.regexp_extract("url", r"\A(https?://)", 1), host, F.regexp_extract("url", r"(?s)\Ahttps?://[^/?#]+(.*)\z", 1))
+    return _pages(spark, sf).select("page_id", http_url(moved)["value"].alias("value"))
+
+
 def hashed_tokens(spark, sf):
     words = bd.table(spark, sf, "documents").select("source", F.explode(F.split("text", r"[^A-Za-z0-9]+")).alias("token"))
     return words.where(F.col("token") != "").groupBy("source").agg(
@@ -611,7 +621,7 @@ def refetch_queue(spark, sf):
 
 _QUERIES = [
     page_title, nav_links_abs, regex_track_id, ad_text, node_census, repeating_groups, render_check, transform_values,
-    normalized_urls, hashed_tokens, cards_css, cards_xpath, cards_jsonld, cards_by_spec, jsonld_in_dom_row, jsonld_objects,
+    normalized_urls, international_hosts, hashed_tokens, cards_css, cards_xpath, cards_jsonld, cards_by_spec, jsonld_in_dom_row, jsonld_objects,
     jsonld_types, board_outline, board_prompt, validate_quality, validation_errors, valid_items, rejected_items, coerce_values,
     template_fingerprint, page_templates, drift_status, candidate_choice, best_effort_choice, spec_faults, own_specs, attempt_log, spec_requests,
     repair_requests, registry_upsert, pagination_walk, crawl_items, detail_enrich, crawl_counters, crawl_quality,

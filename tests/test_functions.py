@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as tx
 from pageloom.functions.dates import iso_date
 from pageloom.functions.transforms import TRANSFORMS, apply_transform
+from pageloom.functions.hosts import ascii_host
 from pageloom.functions.urls import http_url, resolve_url
 from pageloom.model import ItemField
 from pageloom.functions.coerce import check_value
@@ -124,3 +125,10 @@ def test_missing_values(spark):
     assert one(ItemField("f", "str"), "absent") == "Field required"
     assert one(ItemField("f", "str"), "str") == "Input should be a valid string"
     assert one(ItemField("f", "int", required=False), "absent") is None
+
+
+def test_ascii_host_agrees_with_the_codec(spark):
+    names = ["bücher.example", "MÜNCHEN.Example", "日本語。jp", "пример.испытание", "a-ü-b.x", "ü", "例え.テスト", "straße.de", "☃.net", "😀x😀.org", "plain.example", "", "aáàâäãåb.c",
+             "ما.قطر", "x" * 40 + "é" + "y" * 15 + ".z"]
+    want = {n: ".".join(p if p.isascii() else "xn--" + p.encode("punycode").decode() for p in n.lower().replace("。", ".").split(".")) for n in names}
+    assert dict(zip(names, column(spark, names, ascii_host))) == want
