@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom.session import cut_lineage
 
+#: Bytes of a part of a batch, and fineness of a sample's share.
+BYTES, SHARES = 4 << 20, 1 << 50
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,10 +46,13 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator], schema:
 
 
 def sliced(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of ``rows`` rows: what a task holds of long texts at once is bounded by them."""
-    size = rows or max(1, batch.num_rows)
-    for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
+    """``batch`` in parts of at most ``rows`` rows and ``BYTES`` bytes (or one row), which bound what a task holds of long texts at once."""
+    if not batch.num_rows or rows is None or (batch.num_rows <= rows and batch.nbytes <= BYTES) or batch.num_rows == 1:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from sliced(batch.slice(0, half), rows)
+    yield from sliced(batch.slice(half), rows)
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -62,11 +68,11 @@ def fold(doc_id: str, mod: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """About ``rows`` rows at most, chosen by a hash of ``by``: the same ones in every run."""
+    """About ``rows`` rows, chosen by a hash of ``by``: the same ones in every run. Rows that agree in ``by`` count once in a sample."""
     total = df.count()
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(*by), F.lit(1_000_003)) < int(1_000_003 * rows / total))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(SHARES)) < SHARES * rows // total).dropDuplicates(list(by))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ progressively shorter character n-grams.
 
 Fitted on at most about ``sample`` labelled training documents (whole texts), chosen by a hash. A word is known
 if it was seen at least twice; the most frequent ``words`` are kept, and as many n-grams of each length. An unseen word is cut into the longest
-known n-grams, from ``LONGEST`` characters down to one.
+known n-grams, from ``LONGEST`` characters down to one; it counts against a language by 12 at most, however long it is.
 
 Null texts and texts without letters give ``und`` and score 0. Ties go to the first language by name. Repeated rows give
 one result row each; with no labelled row every text is ``und``. Empty tables give an empty result.
@@ -36,7 +36,7 @@ def _grams(batch):
     """Counts of the n-grams of words, whose edges are marked by blanks."""
     total: Counter = Counter()
     for lang, w, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-        edged = f" {w[:64]} "
+        edged = f" {w} "
         for size in range(1, LONGEST + 1):
             for i in range(len(edged) - size + 1):
                 total[lang, size, edged[i : i + size]] += n
@@ -73,7 +73,7 @@ class Model:
             else:
                 size = 1
             i += max(1, size - 1) if i + size < len(edged) else size
-        return np.maximum(out, -12.0)
+        return np.maximum(out - out.max(initial=-np.inf), -12.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall((text or "").lower()))
@@ -93,7 +93,7 @@ class Model:
 
 def fitted(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Model:
     """Model of labelled rows of ``docs`` (doc_id, text, lang): a bounded sample, a bounded table."""
-    rows = bounded_sample(docs.where("lang is not null and text is not null"), sample, "doc_id").select("text", "lang")
+    rows = bounded_sample(docs.where("lang is not null and text is not null"), sample, "doc_id", "text", "lang").select("text", "lang")
     found = arrow_map(rows, _words, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = cut_lineage(found)
     grams = arrow_map(found, _grams, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))

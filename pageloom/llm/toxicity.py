@@ -7,11 +7,13 @@ of those sentences. Forward-backward marginals of every sentence give a document
 marginal, and the offsets of the words above one half.
 
 Null and empty texts score 0, as do all when no labelled row is toxic. Repeated rows are scored alike; of repeated or contradicting
-labels the larger counts. Very long sentences are handled whole. Empty tables give an empty result.
+labels the larger counts, and of the taggings of a repeated sentence the toxic one. Very long sentences are handled whole, in training too, unless
+they alone pass the sample's bound of ``WORDS`` words. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -19,13 +21,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.llm.common import arrow_map, bounded_sample, fold, stored, table, without
 from pageloom.llm.hashing import mixed
 from pageloom.session import cut_lineage
 
 DOCS, SENTENCES, FEATURES, CONTEXTS, STEPS = 20_000, 20_000, 20_000, 3, 80
+#: Words of all sampled sentences of a kind, and positions of a block in training.
+WORDS, CELLS = 1_000_000, 200_000
 WORD, LINE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,22 +84,33 @@ class Field:
         return p.T, moves
 
     def train(self, lines: list[list[int]], labels: list[list[int]], steps: int = STEPS) -> None:
-        """Gradient ascent of the penalised log likelihood with per-weight step sizes."""
-        ids, sizes = self.padded(lines)
-        gold, _ = self.padded(labels)
-        gold, live = gold[:, 1:-1], np.arange(ids.shape[1] - 2)[None, :] < sizes[:, None]
-        both, count = live[:, 1:], np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                count[a, b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum()
+        """Gradient ascent of the penalised log likelihood with per-weight step sizes; sentences of like length form one block."""
+        order, blocks, count, at = sorted(range(len(lines)), key=lambda i: len(lines[i])), [], np.zeros((2, 2)), 0
+        while at < len(order):
+            size = 1
+            while at + size < len(order) and (size + 1) * len(lines[order[at + size]]) <= CELLS:
+                size += 1
+            part = order[at : at + size]
+            ids, sizes = self.padded([lines[i] for i in part])
+            gold, live = self.padded([labels[i] for i in part])[0][:, 1:-1], np.arange(ids.shape[1] - 2)[None, :] < sizes[:, None]
+            for a in (0, 1):
+                for b in (0, 1):
+                    count[a, b] += ((gold[:, :-1] == a) & (gold[:, 1:] == b) & live[:, 1:]).sum()
+            blocks.append((ids, sizes, gold, live))
+            at += size
         weights = [self.at, self.before, self.after, self.bias, self.move]
         sums = [np.full_like(w, 1e-6) for w in weights]
         for _ in range(steps):
-            p, pairs = self.marginals(ids, sizes, pairs=True)
-            gap = np.where(live, gold - p, 0.0)
-            grads = [np.bincount(k.ravel(), gap.ravel(), len(self.at)) for k in (ids[:, 1:-1], ids[:, :-2], ids[:, 2:])]
+            grads = [np.zeros_like(w) for w in weights]
+            grads[4] += count
+            for ids, sizes, gold, live in blocks:
+                p, pairs = self.marginals(ids, sizes, pairs=True)
+                gap = np.where(live, gold - p, 0.0)
+                for g, k in zip(grads, (ids[:, 1:-1], ids[:, :-2], ids[:, 2:])):
+                    g += np.bincount(k.ravel(), gap.ravel(), len(self.at))
+                grads[3] += gap.sum()
+                grads[4] -= pairs
             grads[0][0] = grads[1][0] = grads[2][0] = 0
-            grads += [np.array([gap.sum()]), count - pairs]
             for w, g, s in zip(weights, grads, sums):
                 g = g - 0.05 * w
                 s += g * g
@@ -152,19 +167,27 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = DOCS) -> tuple[Fiel
         index, lines = field.index, {}
         for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for _, _, words in sentences(text):
-                for at in range(0, len(words), 40):
-                    part = words[at : at + 40]
-                    tags = [int(bool(mark) and w in toxic) for w in part]
-                    lines[" ".join(part)] = ([index.get(w, 0) for w in part], tags, int(any(tags)))
+                tags = [int(bool(mark) and w in toxic) for w in words]
+                key = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in lines or lines[key][2] < any(tags):
+                    lines[key] = ([index.get(w, 0) for w in words], tags, int(any(tags)))
         yield {"line": list(lines), "ids": [x[0] for x in lines.values()], "tags": [x[1] for x in lines.values()], "any": [x[2] for x in lines.values()]}
 
-    picked = stored(arrow_map(rows, chosen, "line string, ids array<int>, tags array<int>, any int").dropDuplicates(["line"]))
-    some = [picked.where(F.col("any") == k).orderBy(F.xxhash64("line"), "line").limit(SENTENCES // 2).select("ids", "tags").collect() for k in (1, 0)]
-    lines = [*some[0], *some[1]]
+    found = arrow_map(rows, chosen, "line binary, ids array<int>, tags array<int>, any int").groupBy("line")
+    picked = stored(found.agg(F.max(F.struct("any", "ids", "tags")).alias("s")).select("line", "s.*"))
+    lines = [r for k in (1, 0) for r in whole_sentences(picked.where(F.col("any") == k)).collect()]
     field.train([r.ids for r in lines], [r.tags for r in lines])
     return field, toxic
 
 
+def whole_sentences(picked: DataFrame, rows: int = SENTENCES // 2, words: int = WORDS) -> DataFrame:
+    """``ids, tags`` of the first ``rows`` sentences by their digest; of them the shorter ones, up to ``words`` words together: never a part of one."""
+    first = picked.select("line", F.size("ids").alias("n")).orderBy("line").limit(rows)
+    running = F.sum("n").over(Window.orderBy("n", "line").rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("sum", running).where(F.col("sum") <= words).select("line")
+    return picked.join(F.broadcast(kept), "line", "left_semi").select("ids", "tags")
+
+
 def scored(docs: DataFrame, field: Field, some: bool) -> DataFrame:
     """``doc_id, score, spans`` (starts of toxic words, in characters) of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast((field, some))

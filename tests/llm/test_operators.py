@@ -324,3 +324,46 @@ def test_search_beyond_64_bits_and_without_rows(spark):
     assert got == [(2, 2**63 - 1), (4, 2**63 - 1), (1, 2**62 + 2**50), (3, 1 - 2**63)]
     none = v.where("false")
     assert search.top(none, v).count() == search.top(v, none).count() == 0
+
+
+def test_parts_of_a_batch_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from pageloom.llm import common
+
+    monkeypatch.setattr(common, "BYTES", 1_000)
+    batch = pa.RecordBatch.from_pydict({"n": list(range(200)), "text": ["x" * (i % 7 * 90) for i in range(199)] + ["y" * 5_000]})
+    parts = list(common.sliced(batch, 50))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(200))
+    assert all(p.num_rows == 1 or (p.num_rows <= 50 and p.nbytes <= 1_000) for p in parts) and list(common.sliced(batch, None)) == [batch]
+
+
+def test_samples_stay_small_where_keys_repeat(spark):
+    from pageloom.llm.common import bounded_sample
+
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    taken = bounded_sample(rows, 300, "k")
+    assert 100 < taken.count() < 400 and taken.where("k = -1").count() <= 1
+    assert bounded_sample(rows, 3_000, "k").count() == 3_000
+
+
+def test_language_of_long_unseen_words(spark):
+    docs = spark.createDataFrame([(i, w * 3, lang) for i in range(4) for lang, w in (("aa", "abcab" * 20 + " "), ("bb", "xyzxy" * 20 + " "))], "doc_id long, text string, lang string")
+    model = langid.fitted(docs)
+    assert [model.predict(t)[0] for t in ("abcab" * 500, "xyzxy" * 500, "q" * 9 + "xyz" * 80)] == ["aa", "bb", "bb"]
+    assert model.word("abcab" * 500).max() == 0.0
+
+
+def test_training_sentences_stay_whole_and_agree(spark):
+    rows = spark.createDataFrame([(bytes([i]), [1] * (i + 1), [0] * (i + 1)) for i in range(20)], "line binary, ids array<int>, tags array<int>")
+    kept = sorted(len(r.ids) for r in toxicity.whole_sentences(rows, 10, 30).collect())
+    assert kept == [1, 2, 3, 4, 5, 6, 7]
+    one, other = toxicity.Field(["a", "b"]), toxicity.Field(["a", "b"])
+    rng = np.random.default_rng(6)
+    lines = [rng.integers(0, 3, int(n)).tolist() for n in rng.integers(1, 60, 40)]
+    tags = [[int(x == 2) for x in line] for line in lines]
+    one.train(lines, tags, 20)
+    toxicity.CELLS, before = 90, toxicity.CELLS
+    other.train(lines, tags, 20)
+    toxicity.CELLS = before
+    assert np.allclose(one.at, other.at) and np.allclose(one.move, other.move)
