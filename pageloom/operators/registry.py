@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import sha_prefix
 from ..functions.transforms import TRANSFORMS
 from ..model import SELECTOR_TYPES, SPEC_SCHEMA, ExtractionTarget
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .extract import extract_assigned
 from .programs import compiled
 from .skew import latest, spread_join
@@ -178,3 +180,85 @@ def write_registry(registry: DataFrame, path: str, version: int) -> None:
 
 def read_registry(spark, path: str, version: int) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{path}/version={version:08d}")
+
+
+#: One row per committed version: the parts of every bucket, oldest first.
+COMMIT_SCHEMA = "version bigint, buckets int, parts array<struct<bucket: int, part: string>>"
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def head(spark, path: str, version: int | None = None):
+    """The newest commit (not above ``version``), or None: ``version, buckets, parts``; as many parts as ``buckets`` times ``depth`` at most."""
+    try:
+        commits = spark.read.schema(COMMIT_SCHEMA).json(f"{path}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if version is not None:
+        commits = commits.where(F.col("version") <= version)
+    return commits.orderBy(F.desc("version"), "parts").first()
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """One row per key out of several parts; part names begin with their version."""
+    return latest(rows, ["cache_key"], [F.col("last_seen_at"), F.col("part"), F.col("run_id")])
+
+
+def _parts(spark, path: str, parts: list) -> DataFrame:
+    schema = T.StructType([*REGISTRY_SCHEMA.fields, T.StructField("part", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    if not parts:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/data/part={p.part}/bucket={p.bucket}" for p in parts]
+    return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders)
+
+
+def _split(parts: list) -> tuple[list, list]:
+    """The parts of buckets that have one, and of those that have several."""
+    count: dict[int, int] = {}
+    for p in parts:
+        count[p.bucket] = count.get(p.bucket, 0) + 1
+    return [p for p in parts if count[p.bucket] == 1], [p for p in parts if count[p.bucket] > 1]
+
+
+def read_store(spark, path: str, version: int | None = None) -> DataFrame:
+    """The registry as of a committed version (the newest if none is given).
+
+    Buckets of one part are read as they are; only those with several are merged by key.
+    """
+    commit = head(spark, path, version)
+    single, several = _split(commit.parts if commit else [])
+    rows = _parts(spark, path, single)
+    return rows.unionByName(_newest(_parts(spark, path, several))).select(*REGISTRY_SCHEMA.names) if several else rows.select(*REGISTRY_SCHEMA.names)
+
+
+def commit_store(spark, path: str, *changes: DataFrame, buckets: int = 64, depth: int = 8) -> int:
+    """Add changes to a stored registry and return the new version; the precedence is that of ``upsert``.
+
+    Only changed rows are written, as a new part of each bucket they fall into. A bucket that has ``depth`` parts is merged
+    into one instead, so a row is rewritten once in ``depth`` commits that touch its bucket. Files come first and the commit, one row
+    in one file, last: what a lost writer leaves is named by no commit, and a repeated call starts a new part. The number of
+    ``buckets`` is that of the first commit for good. Writers take turns; readers need not wait, since a part never changes.
+    """
+    last = head(spark, path)
+    version, parts, buckets = (last.version + 1, list(last.parts), last.buckets) if last else (1, [], buckets)
+    name = f"{version:012d}-{uuid.uuid4().hex}"
+    keyed = upsert(spark.createDataFrame([], REGISTRY_SCHEMA), *changes).withColumn("bucket", bucket_of(F.col("cache_key"), buckets))
+    fresh = written(keyed)
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+    held: dict[int, int] = {}
+    for p in parts:
+        held[p.bucket] = held.get(p.bucket, 0) + 1
+    full = sorted(b for b in touched if held.get(b, 0) >= depth)
+    rows = fresh
+    if full:
+        whole = F.col("bucket").isin(full)
+        merged = _newest(_parts(spark, path, [p for p in parts if p.bucket in full]).unionByName(fresh.where(whole).withColumn("part", F.lit(name))))
+        rows = fresh.where(~whole).unionByName(merged.select(*fresh.columns))
+    rows.repartition("bucket", F.pmod(F.xxhash64(F.lit(1), "cache_key"), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/data/part={name}")
+    kept = [(p.bucket, p.part) for p in parts if p.bucket not in full] + [(b, name) for b in sorted(touched)]
+    spark.createDataFrame([(version, buckets, kept)], COMMIT_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/commits")
+    return version

@@ -210,6 +210,11 @@ ORACLES: dict[str, str] = {
       CASE WHEN fresh THEN 'model-b' ELSE 'model-a' END AS model, CASE WHEN k % 5 <> 0 THEN '2024-01-01 00:00:00' ELSE '2024-06-01 12:00:00' END AS created_at,
       CASE WHEN fresh THEN '2024-06-01 12:00:00' ELSE '2024-01-01 00:00:00' END AS last_seen_at, CASE WHEN fresh THEN 'run-2' ELSE 'run-1' END AS run_id,
       cust AS tokens_in, CASE WHEN fresh THEN 2 ELSE 1 END::BIGINT AS tokens_out FROM o WHERE fresh OR k % 5 <> 0""",
+    "registry_commits": """WITH o AS (SELECT o_orderkey AS k, 'https://shop.example.com/o/' || o_orderkey AS url, o_custkey AS cust, o_orderkey % 3 = 0 AND o_orderstatus <> 'P' AS fresh, o_orderkey % 5 <> 0 AS old FROM orders)
+      SELECT substr(sha256(url || chr(0) || 'job_postings'), 1, 16) AS cache_key, url, CASE WHEN fresh THEN repeat('0', 16) ELSE repeat('f', 16) END AS fingerprint,
+      CASE WHEN fresh THEN 'model-b' WHEN old THEN 'model-a' ELSE 'model-c' END AS model, CASE WHEN old OR NOT fresh THEN '2024-01-01 00:00:00' ELSE '2024-06-01 12:00:00' END AS created_at,
+      CASE WHEN fresh THEN '2024-06-01 12:00:00' WHEN old THEN '2024-01-01 00:00:00' ELSE '2023-12-31 00:00:00' END AS last_seen_at, CASE WHEN fresh THEN 'run-2' WHEN old THEN 'run-1' ELSE 'run-0' END AS run_id,
+      cust AS tokens_in, CASE WHEN fresh THEN 2 ELSE 1 END::BIGINT AS tokens_out FROM o WHERE fresh OR old OR k % 7 = 0""",
     "pagination_walk": _WITH + f""", {_PAGES_OF_BOARD}, z AS (SELECT unnest(range(7)) AS seq)
       SELECT s.url AS seed, seq, 'https://jobs.example.com/' || s.board || '/page/' || (s.block + seq) AS url, h.url IS NULL AS missing_page
       FROM q s CROSS JOIN z LEFT JOIN q h ON h.board = s.board AND h.block = s.block + seq LEFT JOIN q b ON b.board = s.board AND b.block = s.block + seq - 1

@@ -22,7 +22,7 @@ from ..operators.fingerprint import fingerprints, template_census
 from ..operators.rendering import needs_render
 from ..operators.shred import dom_nodes
 from ..operators.validate import check_rows, rejected_rows, row_errors, run_quality, valid_rows
-from ..session import cut_lineage, tune
+from ..session import cut_lineage, scratch, tune
 from ..sources.snapshots import manifest_entries, replay_limits
 from . import board as bd
 from . import runs as rn
@@ -450,8 +450,8 @@ def repair_requests(spark, sf):
     )
 
 
-def registry_upsert(spark, sf):
-    """Two generations over orders: every third key seen again, some new, later change wins."""
+def _generations(spark, sf):
+    """Two generations of entries over orders: every third key seen again, some new."""
     o = bd.table(spark, sf, "orders")
     url = F.concat(F.lit("https://shop.example.com/o/"), F.col("o_orderkey").cast("string"))
 
@@ -469,8 +469,28 @@ def registry_upsert(spark, sf):
         F.lit("{}").alias("spec_json"), F.lit("run-2").alias("run_id"), F.col("o_custkey").alias("tokens_in"),
         F.lit(2).cast("bigint").alias("tokens_out"), (F.col("o_orderstatus") != "P").alias("ok"),
     )
-    merged = reg.upsert(old, reg.stored(working, old, "job_postings", NOW))
-    return merged.select("cache_key", "url", "fingerprint", "model", _time("created_at"), _time("last_seen_at"), "run_id", "tokens_in", "tokens_out")
+    late = entries(o.where(F.col("o_orderkey") % 7 == 0), "model-c", EARLIER, EARLIER - dt.timedelta(days=1), "run-0")
+    return old, working, late
+
+
+def _registry_rows(rows):
+    return rows.select("cache_key", "url", "fingerprint", "model", _time("created_at"), _time("last_seen_at"), "run_id", "tokens_in", "tokens_out")
+
+
+def registry_upsert(spark, sf):
+    """Two generations: the later change wins."""
+    old, working, _ = _generations(spark, sf)
+    return _registry_rows(reg.upsert(old, reg.stored(working, old, "job_postings", NOW)))
+
+
+def registry_commits(spark, sf):
+    """Three commits to a stored registry, the last one with entries seen before the others: they only fill gaps."""
+    old, working, late = _generations(spark, sf)
+    path = scratch(spark, "registry")
+    reg.commit_store(spark, path, old)
+    reg.commit_store(spark, path, reg.stored(working, reg.read_store(spark, path), "job_postings", NOW), depth=1)
+    reg.commit_store(spark, path, late)
+    return _registry_rows(reg.read_store(spark, path))
 
 
 # ----------------------------------------------------------------------- crawl
@@ -624,7 +644,7 @@ _QUERIES = [
     normalized_urls, international_hosts, hashed_tokens, cards_css, cards_xpath, cards_jsonld, cards_by_spec, jsonld_in_dom_row, jsonld_objects,
     jsonld_types, board_outline, board_prompt, validate_quality, validation_errors, valid_items, rejected_items, coerce_values,
     template_fingerprint, page_templates, drift_status, candidate_choice, best_effort_choice, spec_faults, own_specs, attempt_log, spec_requests,
-    repair_requests, registry_upsert, pagination_walk, crawl_items, detail_enrich, crawl_counters, crawl_quality,
+    repair_requests, registry_upsert, registry_commits, pagination_walk, crawl_items, detail_enrich, crawl_counters, crawl_quality,
     crawl_manifest, url_policy, robots_as_of, run_records, crawl_runs, run_rollup, run_registry, refetch_queue,
 ]
 

@@ -38,6 +38,11 @@ def _checkpoint_folder(spark) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, for what a job itself writes and reads."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the folder named by ``spark.checkpoint.dir``."""
     _checkpoint_folder(df.sparkSession)

@@ -202,6 +202,54 @@ def test_registry_generations(spark, pages_of, tmp_path):
     assert [(r.model, r.last_seen_at) for r in rows] == [("m9", NOW)]
 
 
+def registry_rows(spark, first, last, model, seen=EARLIER):
+    k = F.col("id").cast("string")
+    values = {"cache_key": F.substring(F.sha2(k, 256), 1, 16), "url": k, "target_name": F.lit("roles"), "model": F.lit(model), "spec_json": F.sha2(k, 512),
+              "last_seen_at": F.lit(seen), "run_id": F.lit("r")}
+    return spark.range(first, last).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in reg.REGISTRY_SCHEMA.fields])
+
+
+def stored_bytes(path):
+    return {p: p.stat().st_size for p in path.glob("data/**/*.parquet")}
+
+
+def test_a_commit_writes_what_changed(spark, tmp_path):
+    path = str(tmp_path)
+    assert reg.read_store(spark, path).count() == 0
+    assert reg.commit_store(spark, path, registry_rows(spark, 0, 20_000, "a"), buckets=4) == 1
+    before = stored_bytes(tmp_path)
+    assert reg.commit_store(spark, path, registry_rows(spark, 100, 300, "b", NOW), registry_rows(spark, 100, 200, "old"), buckets=99) == 2
+    after = stored_bytes(tmp_path)
+    assert all(after[p] == n for p, n in before.items()) and sum(after.values()) - sum(before.values()) < 0.05 * sum(before.values())
+    models = {r.model: r["count"] for r in reg.read_store(spark, path).groupBy("model").count().collect()}
+    assert models == {"a": 19_800, "b": 200}
+    assert reg.read_store(spark, path, 1).where("model = 'a'").count() == 20_000
+    assert reg.commit_store(spark, path, registry_rows(spark, 0, 0, "none")) == 3 and reg.read_store(spark, path).count() == 20_000
+
+
+def test_what_a_lost_writer_leaves_is_not_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    reg.commit_store(spark, path, registry_rows(spark, 0, 50, "a"), buckets=2)
+    with monkeypatch.context() as m:
+        m.setattr(reg, "head", lambda *_, known=reg.head(spark, path): known)
+        m.setattr(reg, "COMMIT_SCHEMA", "no such schema")
+        with pytest.raises(Exception):
+            reg.commit_store(spark, path, registry_rows(spark, 0, 50, "lost", NOW))
+    assert len(list(tmp_path.glob("data/part=*"))) == 2
+    assert {r.model for r in reg.read_store(spark, path).select("model").collect()} == {"a"}
+    assert reg.commit_store(spark, path, registry_rows(spark, 0, 10, "again", NOW)) == 2
+    assert reg.read_store(spark, path).where("model = 'again'").count() == 10 and reg.read_store(spark, path).count() == 50
+
+
+def test_buckets_of_many_parts_are_merged(spark, tmp_path):
+    path = str(tmp_path)
+    for i in range(5):
+        reg.commit_store(spark, path, registry_rows(spark, 0, 10 + i, f"m{i}", dt.datetime(2024, 1, 1 + i)), buckets=1, depth=2)
+    parts = reg.head(spark, path).parts
+    assert len(parts) <= 2 and {r.model for r in reg.read_store(spark, path).collect()} == {"m4"}
+    assert [reg.read_store(spark, path, v).count() for v in range(1, 6)] == [10, 11, 12, 13, 14]
+
+
 # --------------------------------------------------------------------- crawl
 def crawl_pages(pages_of):
     site = {f"https://h.example/l/{i}": listing([f"{i}{c}" for c in "ab"], next_url=f"/l/{i + 1}") for i in range(5)}
