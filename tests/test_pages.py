@@ -405,6 +405,31 @@ def test_landed_pages_are_decided_per_batch(spark, pages_of, tmp_path):
     assert got == [(0, 0, "hit"), (0, 1, "miss"), (1, 0, "drift_regenerated")]
 
 
+def test_landed_pages_are_learnt_once(spark, pages_of, tmp_path):
+    from pageloom.streaming.landing import learn_landed
+
+    land, out, store = (str(tmp_path / n) for n in ("land", "out", "store"))
+
+    def propose(pages, open_pages):
+        return open_pages.select("page_id", "url", "fingerprint", F.lit("m").alias("model"), F.lit(SPEC.to_json()).alias("spec_json"), F.lit("r").alias("run_id"),
+                                 F.lit(1).alias("tokens_in"), F.lit(1).alias("tokens_out"), F.lit(True).alias("ok"))
+
+    def start():
+        learn_landed(spark, land, str(tmp_path / "cp"), out, TARGET, store, propose, lambda: NOW).awaitTermination()
+        return sorted((r.batch, r.page_id, r.cache_status) for r in spark.read.parquet(out).collect())
+
+    base = pages_of(listing("abc"))
+    base.write.parquet(land)
+    assert start() == [(0, 0, "miss")]
+    pages_of(listing("xyz"), listing("new")).write.mode("append").parquet(land)
+    want = [(0, 0, "miss"), (1, 0, "hit"), (1, 1, "miss")]
+    assert start() == want and reg.head(spark, store).version == 2
+    for name in ("1", ".1.crc"):                                   # the stream ends before it notes its second batch
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    assert start() == want and reg.head(spark, store).version == 2
+    assert reg.read_store(spark, store).count() == 2
+
+
 def test_types_at_any_depth(pages_of):
     deep = '{"@type":"Leaf"}'
     for _ in range(60):
