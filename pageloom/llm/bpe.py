@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding over a minimal acyclic transducer of frequent words.
 
-Frequent words (counted over a bounded, documented sample of documents; this choice affects speed only)
+The frequent words of all documents, counted whole (which words they are affects speed only),
 are compiled with their ids into an automaton whose equal suffixes are shared. Arcs carry outputs
 that sum to the word's number, which finds its ids. Tasks memory-map the compiled bytes. Words outside it are merged exactly by rank.
 
@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import arrow_map, bounded_sample, table
+from pageloom.llm.common import arrow_map, table
 
 VOCABULARY = "byte_bpe_50k.json"
-LEXICON_WORDS, SAMPLE_DOCS, MEMO_WORDS = 50_000, 20_000, 500_000
+LEXICON_WORDS, MEMO_WORDS = 50_000, 500_000
 #: Letters, numbers and white space up to U+024F; other texts are split by the tokenizer's own splitter.
 LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 SPLIT = re.compile(
@@ -257,15 +257,20 @@ class Encoder:
         return b"".join([words[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, size: int = LEXICON_WORDS) -> list[str]:
+def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> list[str]:
+    """The ``size`` most frequent words of all of ``docs``, by exact counts; of equal counts the smaller words."""
+
     def work(batch):
         counts: Counter = Counter()
         v = vocabulary(path)
         for t in batch.column(0).to_pylist():
             counts.update(v.pieces(t or ""))
+            if len(counts) > MEMO_WORDS:
+                yield {"word": list(counts), "n": list(counts.values())}
+                counts.clear()
         yield {"word": list(counts), "n": list(counts.values())}
 
-    counted = arrow_map(bounded_sample(docs.select("doc_id", "text"), sample, "doc_id", "text").select("text"), work, "word string, n bigint")
+    counted = arrow_map(docs.select("text"), work, "word string, n bigint")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     return [r.word for r in top.select("word").collect()]
 

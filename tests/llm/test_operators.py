@@ -367,3 +367,10 @@ def test_training_sentences_stay_whole_and_agree(spark):
     other.train(lines, tags, 20)
     toxicity.CELLS = before
     assert np.allclose(one.at, other.at) and np.allclose(one.move, other.move)
+
+
+def test_words_of_the_lexicon_are_counted_over_all_documents(spark):
+    from pageloom.llm.bpe import default_path, frequent_words
+
+    docs = spark.range(25_000).selectExpr("id as doc_id", "concat('word', id) as text")
+    assert len(frequent_words(docs, default_path(), size=100_000)) > 25_000
