@@ -264,3 +264,36 @@ def test_json_ld_by_the_evaluator(pages_of):
     assert _evaluated(pages_of, rules, "A", "json_ld", "many", html) == [["1.5", "True", None], ["x", None, None]]
     assert _evaluated(pages_of, rules, None, "json_ld", "many", html)[-1] == [None, None, None]
     assert _evaluated(pages_of, rules, html=html) == [["1.5", "True", None]]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_spec_leaves_the_parser_as_rows(pages_of):
+    """Not as the elements of the whole page; Columns and evaluator read alike."""
+    html = '<ul><li class="x" id="a"><b>1</b> to 5</li><li class="x"><b> 2 </b> to 6</li><li>no</li></ul><a href="/n">n</a>'
+    rules = (R("n", "b", "css", transform="int"), R("id", ".", "xpath", "id"), R("top", r"to (\d)", "regex", transform="int"))
+    rows = extract(pages_of(html, ""), ExtractionSpec(rules, "ul > li.x"))
+    assert [tuple(r) for r in rows.select("page_id", "row_no", "n", "id", "top").orderBy("page_id", "row_no").collect()] == [(0, 0, 1, "a", 5), (0, 1, 2, None, 6)]
+    assert "nodes" not in _plan(rows)
+    beside = ExtractionSpec((R("after", "b + i, li + li", "css"),), "li")
+    out = extract(pages_of("<ul><li>1</li><li>2</li></ul>"), beside).orderBy("row_no").collect()
+    assert [r.after for r in out] == [None, "2"]
+
+
+def test_checks_run_once_a_row(pages_of):
+    from pageloom.model import JOB_POSTINGS
+    from pageloom.operators.validate import check_rows, valid_rows
+
+    spec = ExtractionSpec((R("title", "b", "css"), R("url", "a", "css", "href", "abs_url"), R("posted_at", "i", "css")), "li")
+    checked = check_rows(extract(pages_of("<li><b>t</b><a href='/x'>y</a><i>2024-05-01</i></li>"), spec), JOB_POSTINGS, ("page_id", "row_no"))
+    assert _plan(valid_rows(checked, JOB_POSTINGS, ("page_id", "row_no"))).count("Input should be a valid datetime or date") == 1
+
+
+def test_a_memo_of_tags_keeps_quotes_apart():
+    """A tag that ends at its first '>' in one page may go on in another."""
+    first = parse_page(b"<p title='a>b>c</p>")
+    second = parse_page(b"<p title='a>b'>c</p><P CLASS=x>d<p class=x>e")
+    assert first.columns(("attrs",))[0][-1] != [("title", "a>b")]
+    assert [dict(a) for a in second.columns(("attrs",))[0][2:]] == [{"title": "a>b"}, {"class": "x"}, {"class": "x"}]

@@ -497,3 +497,22 @@ def test_walks_follow_the_spec_of_their_run(pages_of):
             merged.setdefault(r.seed, []).append((r.run_row, r.title.v))
         names = {"0": "zero", "1": "one", "2": "two"}
         assert merged == {k: [(i, names[u]) for i, (u, gone) in enumerate(v[:limit]) if not gone] for k, v in whole.items() if k != "d"}
+
+
+def test_a_summary_gets_only_what_it_shows(pages_of):
+    from pageloom.operators.summary import outline, repeating_groups, summary_source
+
+    pages = pages_of("<title> a  b </title><div>" + "<p class=k>x <b>y</b></p>" * 500 + "</div>", "<i>z</i>")
+    nodes = F.col("nodes")
+    out = summary_source(pages).select("page_id", F.size(nodes["shown"]).alias("n"), outline(nodes).alias("o"), repeating_groups(nodes).alias("g")).orderBy("page_id").collect()
+    assert [r.n for r in out] == [4, 2]
+    assert out[0].o == 'body\n  div\n    p .k: "x"\n      b: "y"\n    (+499 more `p.k`)'
+    assert [(g.signature, g["count"], g.exemplars) for g in out[0].g] == [("p.k", 500, ["<p .k> x y"] * 2)]
+
+
+def test_types_in_lists_and_escapes_are_found_at_any_depth(pages_of):
+    from pageloom.operators.jsonld import ld_types
+
+    block = '<script type="application/ld+json">%s</script>'
+    pages = pages_of(block % r'{"@type":"A","x":[{"@type":["B",5,{"@type":"C"}]},{"y":{"@type":"D\"q"}}]}', block % r'{"@type":"A","n":"{\"@type\":\"No\"}","m":{"@type":"E"}}')
+    assert [r.t for r in pages.select("page_id", ld_types(F.col("html")).alias("t")).orderBy("page_id").collect()] == [["A", "B", "C", 'D"q'], ["A", "E"]]
