@@ -297,3 +297,41 @@ def test_a_memo_of_tags_keeps_quotes_apart():
     second = parse_page(b"<p title='a>b'>c</p><P CLASS=x>d<p class=x>e")
     assert first.columns(("attrs",))[0][-1] != [("title", "a>b")]
     assert [dict(a) for a in second.columns(("attrs",))[0][2:]] == [{"title": "a>b"}, {"class": "x"}, {"class": "x"}]
+
+
+def test_plain_elements_are_read_without_calls():
+    """Elements that close nothing but themselves cost no Python call each, and reading a rule stops at the first match."""
+    import sys
+
+    from pageloom.operators import programs
+
+    source = b"<ul>" + b"".join(b'<li class="c" id="n%d"><b>t%d</b><i>u</i></li>' % (i, i) for i in range(200)) + b"</ul>"
+    calls = []
+
+    def count(act):
+        calls.clear()
+        sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+        try:
+            got = act()
+        finally:
+            sys.setprofile(None)
+        return got, len(calls)
+
+    parse_page(source)
+    tree, n = count(lambda: parse_page(source))
+    assert n < 100 and len(tree.tags) == 603 and tree.columns(("t1",))[0][-1] == 890
+    page = programs.Page(source)
+    finder = programs.Finder(programs._selector("b", "css"))
+    page.by_tag, page.t0, page.classes
+    got, n = count(lambda: finder.read(page, 0, None))
+    assert got == "t0" and n < 10
+
+
+def test_tags_read_by_their_form_equal_a_closer_reading():
+    from pageloom.operators import shred
+
+    for token in (b'a href="x&amp;y" CLASS="b  c"', b'img src="a" alt=""/', b'p id="1"\n data-x="\xc3\xa9"', b'p a="1"b="2"', b'p a="1" A="2"', b"p a='\"' b=\"c\"", b'p a="'):
+        made = shred._read_form(token)
+        if made is not None:
+            assert made == shred._read_tag(shred._TOKEN.match(b"<" + token + b">"))
+    assert shred._read_form(b'a href="x"') is not None and shred._read_form(b'p a="1"b="2"') is None
