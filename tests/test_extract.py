@@ -335,3 +335,24 @@ def test_tags_read_by_their_form_equal_a_closer_reading():
         if made is not None:
             assert made == shred._read_tag(shred._TOKEN.match(b"<" + token + b">"))
     assert shred._read_form(b'a href="x"') is not None and shred._read_form(b'p a="1"b="2"') is None
+
+
+def test_columns_of_the_fields_own_type_are_checked_plainly(spark):
+    """Text and whole numbers can only be missing: no lambda runs for them, and the verdict is that of the tagged form."""
+    from pageloom.model import ExtractionTarget, ItemField
+    from pageloom.operators.validate import check_rows
+
+    target = ExtractionTarget("t", (ItemField("a", "str"), ItemField("n", "int"), ItemField("b", "str", False)))
+    rows = spark.createDataFrame([(1, "x", 5, " "), (2, None, None, None), (3, "", -(2**63), "y")], "k long, a string, n long, b string")
+    plain = check_rows(rows, target, ("k",))
+    tag = lambda c, kind: F.struct(F.col(c).cast("string").alias("v"), F.lit(kind).alias("k")).alias(c)
+    tagged = check_rows(rows.select("k", tag("a", "str"), tag("n", "int"), tag("b", "str")), target, ("k",))
+    assert "transform(" not in _plan(plain) and "transform(" in _plan(tagged) and sorted(plain.collect(), key=lambda r: r.k) == sorted(tagged.collect(), key=lambda r: r.k)
+
+
+def test_iso_days_take_the_short_way_to_the_same_text(spark):
+    from pageloom.functions.dates import _free_form, iso_date
+
+    days = ["2024-05-01", "1000-01-01", "9999-12-31", "2024-02-30", "2024-13-01", "0999-01-01", "2024-5-1", "2024-02-29", " 2024-05-01", None, "", "1899-12-31"]
+    rows = spark.createDataFrame([(d,) for d in days], "d string").select("d", iso_date(F.col("d")).alias("short"), _free_form(F.col("d"), None).alias("long")).collect()
+    assert [r.short for r in rows] == [r.long for r in rows] and rows[0].short == "2024-05-01T00:00:00"
