@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pageloom.operators.extract import extract
+from pageloom.operators import jsonld
 from pageloom.operators.fingerprint import fingerprints
 from pageloom.operators.rendering import needs_render
 from pageloom.operators.summary import page_summary
@@ -29,6 +30,12 @@ def test_structured_data_needs_no_python(spark):
     assert "MapInArrow" not in plan(extract(spark.read.parquet(PAGES), JSONLD_SPEC))
 
 
+def test_blocks_of_a_page_are_looked_for_once(spark):
+    pages = spark.read.parquet(PAGES)
+    for df in (jsonld.explode_objects(pages), extract(pages, JSONLD_SPEC)):
+        assert plan(df).count("regexp_extract_all") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     pages = spark.read.parquet(PAGES).withColumn("extra", F.lit(1))
     text = plan(fingerprints(pages.where("page_id > 7")))
