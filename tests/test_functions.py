@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
-from pageloom.functions.dates import iso_date
+from pageloom.functions.dates import _free_form, _full_day, iso_date
 from pageloom.functions.transforms import TRANSFORMS, apply_transform
 from pageloom.functions.hosts import ascii_host
 from pageloom.functions.urls import http_url, resolve_url
@@ -46,6 +46,18 @@ def test_iso_date(spark):
     assert dict(zip(DATES, column(spark, list(DATES), iso_date))) == DATES
 
 
+def test_full_days_are_read_without_the_free_form(spark):
+    names = ["Jan", "March", "may", "June", "Sept", "September", "Dec", "Foo"]
+    texts = [f"{d} {m} {y}" for m in names for d in ("0", "7", "29", "31", "32") for y in ("2023", "0999")]
+    texts += [f"{m} {d}, {y}" for m in names for d in ("0", "7", "29", "31", "1st") for y in ("2024", "0999")]
+    texts += [f"{a:02d}/{b:02d}/{y}" for a in (0, 2, 12, 13) for b in (0, 12, 13, 29, 31) for y in ("2023", "2024")]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", "2024-02-30", "07/03/2024\n"]], "t string")
+    seen = df.select("t", iso_date(F.col("t")).alias("a"), _free_form(F.col("t"), None).alias("b")).collect()
+    assert [r for r in seen if r["a"] != r["b"]] == []
+    short = spark.createDataFrame([("03/07/2024",), ("March 7, 2024",), ("7 Mar 2024",)], "t string").select(_full_day(F.col("t")).alias("d"))
+    assert {r["d"] for r in short.collect()} == {"2024-03-07"}
+
+
 def test_iso_date_fills_partial_dates_from_as_of(spark):
     as_of = dt.date(2024, 3, 31)
     got = column(spark, ["Feb 2024", "2022", "10:30"], lambda c: iso_date(c, as_of))
