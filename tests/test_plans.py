@@ -9,7 +9,7 @@ from pageloom.operators.rendering import needs_render
 from pageloom.operators.summary import page_summary
 from pageloom.operators.validate import check_rows
 from pageloom.model import JOB_POSTINGS
-from pageloom.plans.board import CSS_SPEC, JSONLD_SPEC
+from pageloom.plans.board import CSS_SPEC, JSONLD_SPEC, cards, render
 
 PAGES = "/root/testdata/sf0.001/pages.parquet"
 
@@ -36,6 +36,10 @@ def test_blocks_of_a_page_are_looked_for_once(spark):
         assert plan(df).count("regexp_extract_all") == 1
 
 
+def test_pages_without_structured_data_do_not_move_it(spark):
+    assert "JobPosting" not in plan(render(cards(spark, "/root/testdata/sf0.001"), with_jsonld=False))
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     pages = spark.read.parquet(PAGES).withColumn("extra", F.lit(1))
     text = plan(fingerprints(pages.where("page_id > 7")))
