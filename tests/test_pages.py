@@ -499,6 +499,17 @@ def test_walks_follow_the_spec_of_their_run(pages_of):
         assert merged == {k: [(i, names[u]) for i, (u, gone) in enumerate(v[:limit]) if not gone] for k, v in whole.items() if k != "d"}
 
 
+def test_a_round_of_walks_reads_only_its_pages(pages_of, monkeypatch):
+    sizes, whole = [], cr.extract_assigned
+    monkeypatch.setattr(cr, "extract_assigned", lambda pages, *args, **more: sizes.append(pages.count()) or whole(pages, *args, **more))
+    pages = pages_of(*[(f"http://r.example/{i}", f'<h1>{i}</h1><a href="/{i + 1}">x</a>') for i in range(3)], *[(f"http://s.example/{i}", "<h1>s</h1>") for i in range(5)])
+    spec = ExtractionSpec((R("title", "h1", "css"),), "body", next_page_selector="a").to_json()
+    starts = pages.sparkSession.createDataFrame([("a", "http://r.example/0", 0, "s", spec)], "seed string, url string, page_id long, spec_id string, spec_json string")
+    walked, rows = cr.walk_by_spec(pages, starts, ["title"])
+    assert sorted(r.title.v for r in rows.collect()) == ["0", "1", "2"] and walked.count() == 4
+    assert sizes[:3] == [1, 1, 1] and max(sizes) == 1
+
+
 def test_a_summary_gets_only_what_it_shows(pages_of):
     from pageloom.operators.summary import outline, repeating_groups, summary_source
 
