@@ -510,6 +510,15 @@ def test_a_round_of_walks_reads_only_its_pages(pages_of, monkeypatch):
     assert sizes[:3] == [1, 1, 1] and max(sizes) == 1
 
 
+def test_messages_are_made_for_failed_attempts_only(spark, monkeypatch):
+    from pageloom.plans import queries as q
+
+    asked, whole = [], q.extract_assigned
+    monkeypatch.setattr(q, "extract_assigned", lambda pages, assigned, *args, **more: asked.append(assigned) or whole(pages, assigned, *args, **more))
+    q.repair_requests(spark, "/root/testdata/sf0.001")
+    assert asked[0].where("page_id % 2 = 0 and attempt = 2").isEmpty() and not asked[0].where("page_id % 2 = 1 and attempt = 2").isEmpty()
+
+
 def test_a_summary_gets_only_what_it_shows(pages_of):
     from pageloom.operators.summary import outline, repeating_groups, summary_source
 
