@@ -197,6 +197,14 @@ def factors(places: list[tuple[int, int, int, int]], width: int = WIDTH) -> list
     return [tuple(x) for x in out]
 
 
+def repeats(found: list[tuple[int, int, int, int]]) -> dict[tuple[int, int, int], list[int]]:
+    """Starts of the factors that cite the same passage, by its length, reference id and reference position."""
+    out: dict[tuple[int, int, int], list[int]] = {}
+    for start, *cited in found:
+        out.setdefault(tuple(cited), []).append(start)
+    return out
+
+
 def _named(batch: pa.RecordBatch, bloom: np.ndarray, doc: int, h: int | None = None) -> np.ndarray:
     """Which rows of a batch have their id (and hash) in the filter; not those without id."""
     ids = batch.column(doc)
@@ -207,19 +215,20 @@ def _named(batch: pa.RecordBatch, bloom: np.ndarray, doc: int, h: int | None = N
 
 
 def spans(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, h, claims`` (start, length and the digest of the reference's words of each factor) and a filter of the rows named."""
+    """``doc_id, h, claims`` (starts, length and the digest of the reference's words of each cited passage) and a filter of the rows named."""
     sc = docs.sparkSession.sparkContext
     flat = F.flatten(F.sort_array(F.collect_list(F.array(F.col("pos").cast("bigint"), F.col("n").cast("bigint"), "ref_doc", F.col("ref_pos").cast("bigint")))))
     listed = matches(docs, blocks, hot).groupBy("doc_id", "h").agg(flat.alias("places"))
 
     def parse(batch):
-        found = [factors(list(zip(x[::4], x[1::4], x[2::4], x[3::4]))) for x in batch.column(2).to_pylist()]
+        # A passage that a document repeats is one row with its places: what is looked up is looked up once a document.
+        found = [repeats(factors(list(zip(x[::4], x[1::4], x[2::4], x[3::4])))) for x in batch.column(2).to_pylist()]
         sizes = [len(x) for x in found]
-        start, length, ref, at = (np.array([f[i] for x in found for f in x], dtype=np.int64) for i in range(4))
+        length, ref, at = (np.array([f[i] for x in found for f in x], dtype=np.int64) for i in range(3))
         yield {"doc_id": np.repeat(batch.column(0).to_numpy(), sizes), "h": np.repeat(batch.column(1).to_numpy(), sizes),
-               "start": start.astype(np.int32), "length": length.astype(np.int32), "ref_doc": ref, "ref_pos": at.astype(np.int32)}
+               "starts": [starts for x in found for starts in x.values()], "length": length.astype(np.int32), "ref_doc": ref, "ref_pos": at.astype(np.int32)}
 
-    parsed_rows = stored(arrow_map(listed, parse, "doc_id bigint, h int, start int, length int, ref_doc bigint, ref_pos int"))
+    parsed_rows = stored(arrow_map(listed, parse, "doc_id bigint, h int, starts array<int>, length int, ref_doc bigint, ref_pos int"))
 
     def mixed_ids(batch):
         return mixed(batch.column(0).to_numpy().view(np.uint64))
@@ -250,8 +259,8 @@ def spans(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> tuple[DataFr
         yield dict(zip(("ref_doc", "ref_pos", "length", "digest"), out))
 
     quotes = arrow_map(asked.join(texts, "ref_doc").select("ref_doc", "ref_text", "cuts"), quoted, "ref_doc bigint, ref_pos int, length int, digest binary", 64)
-    told = spread_join(parsed_rows, quotes, ["ref_doc", "ref_pos", "length"], ["doc_id", "start"], "inner", rows=5_000)
-    return told.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "length", "digest")).alias("claims")), named
+    told = spread_join(parsed_rows, quotes, ["ref_doc", "ref_pos", "length"], ["doc_id", "h"], "inner", rows=5_000)
+    return told.groupBy("doc_id", "h").agg(F.collect_list(F.struct("starts", "length", "digest")).alias("claims")), named
 
 
 def quote(words: list[bytes], at: int, length: int) -> bytes:
@@ -276,9 +285,8 @@ def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
         for t, claimed in zip(batch.column(text_at).to_pylist(), listed):
             words, good = split(t), []
             gone = np.zeros(len(words), dtype=bool)
-            for claim in sorted(claimed or (), key=lambda c: (c["start"], c["length"])):
-                start, length = claim["start"], claim["length"]
-                if claim["digest"] == quote(words, start, length):
+            for start, length, digest in sorted((start, c["length"], c["digest"]) for c in claimed or () for start in c["starts"]):
+                if digest == quote(words, start, length):
                     gone[start : start + length] = True
                     good += [start, length]
             kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if good else words).decode("utf-8", "replace"))

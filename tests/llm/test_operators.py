@@ -233,6 +233,15 @@ def test_a_reference_with_other_words_removes_nothing(spark, monkeypatch):
     assert [r[3] for r in substring_rows(spark, rows)] == [0, 14, 0]
 
 
+def test_a_passage_that_a_document_repeats_is_looked_up_once(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(1, "a " + passage), (2, " ".join(f"{passage} own{i}" for i in range(30)))]
+    sizes, whole = [], substrings.spread_join
+    monkeypatch.setattr(substrings, "spread_join", lambda left, *args, **more: sizes.append(left.count()) or whole(left, *args, **more))
+    assert substring_rows(spark, rows) == plain_substrings(rows)
+    assert sizes == [1]
+
+
 def test_substrings_of_a_table_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert substring_rows(spark, rows) == plain_substrings(rows)
