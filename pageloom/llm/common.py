@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom.session import cut_lineage
 
-#: Bytes of a part of a batch, and fineness of a sample's share.
-BYTES, SHARES = 4 << 20, 1 << 50
+#: Bytes of a batch and of a part of one, fineness of a sample's share, edges to a part of a round of ``components``.
+BYTES, SHARES, EDGES = 4 << 20, 1 << 50, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,15 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator], schema:
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for f, v in ((f, out[f.name]) for f in target)], schema=target)
 
+    return in_batches(df, run, schema)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, by the session's setting in batches of at most ``BYTES`` bytes, or one row.
+
+    Spark's own bound is 64 MB, which the executor and its Python worker both hold for each task.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -86,9 +95,11 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` (smallest node reachable) for every node of ``edges`` (a, b: bigint).
 
     Alternating large-star and small-star steps; each is an aggregate that combines before
-    the shuffle and one join, and each round's edges are checkpointed. Hubs are left to the
+    the shuffle and one join, and each round's edges are checkpointed, in as many parts as their
+    number asks for: a part is a file, and a task of the next round. Hubs are left to the
     adaptive skew join. Self loops and repeated edges are allowed.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
@@ -103,7 +114,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v")))
-        e = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        # A round makes at most two edges of one.
+        parts = max(cores, -(-2 * mark[0] // EDGES))
+        e = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().coalesce(parts))
     leaf = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return leaf.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

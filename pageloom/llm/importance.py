@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import arrow_map, bounded_sample, stored, table, without
+from pageloom.llm.common import arrow_map, bounded_sample, in_batches, stored, table, without
 from pageloom.llm.hashing import mixed, span_hashes
 
 BUCKETS, SAMPLE, TEMPERATURE = 1 << 16, 20_000, 0.002
@@ -52,7 +52,7 @@ def counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
 
     out = np.zeros(buckets)
-    for r in docs.select("text").mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect():
+    for r in in_batches(docs.select("text"), run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect():
         out[r.b] = r.n
     return out
 

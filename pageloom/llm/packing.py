@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.llm.bpe import BEYOND, VOCABULARY, default_path, vocabulary
-from pageloom.llm.common import arrow_schema, stored, table
+from pageloom.llm.common import arrow_schema, in_batches, stored, table
 
 WINDOW, END = 1024, 0
 #: White space of twice this many characters may exhaust the faster library's splitter; blocks of it are looked for.
@@ -69,7 +69,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
                     [pa.array(np.full(len(n), part)), pa.array(before), batch.column(0).slice(at, 256), pa.array(n), pa.array(ids, pa.binary())],
                     schema=target)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, target)], schema=target)
 
     ready = placed(stored(tokenized(docs, path)))
-    return ready.select("doc_id", "at", "n", "ids").mapInArrow(run, schema)
+    return in_batches(ready.select("doc_id", "at", "n", "ids"), run, schema)
 
 
 def sequences(cut: DataFrame, window: int = WINDOW, pad: int = END) -> DataFrame:

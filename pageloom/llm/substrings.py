@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from pageloom.llm.common import arrow_map, sliced, stored, table
+from pageloom.llm.common import arrow_map, in_batches, sliced, stored, table
 from pageloom.llm.hashing import mixed, window_hashes
 from pageloom.operators.skew import spread_join
 
@@ -311,8 +311,8 @@ def parsed(docs: DataFrame, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
             yield cut(batch, batch.column(width).to_pylist())
 
     rows = keyed.select(*names, "_id", "_h")
-    met = rows.mapInArrow(asked, rows.schema).join(claims.withColumnsRenamed({"doc_id": "_id", "h": "_h", "claims": "_claims"}), ["_id", "_h"], "left")
-    return rows.mapInArrow(whole, schema).unionByName(met.select(*names, "_claims").mapInArrow(claimed, schema))
+    met = in_batches(rows, asked, rows.schema).join(claims.withColumnsRenamed({"doc_id": "_id", "h": "_h", "claims": "_claims"}), ["_id", "_h"], "left")
+    return in_batches(rows, whole, schema).unionByName(in_batches(met.select(*names, "_claims"), claimed, schema))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -347,6 +347,55 @@ def test_parts_of_a_batch_are_bounded_by_bytes(monkeypatch):
     assert all(p.num_rows == 1 or (p.num_rows <= 50 and p.nbytes <= 1_000) for p in parts) and list(common.sliced(batch, None)) == [batch]
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    from pageloom.llm import common
+
+    def work(batch):
+        yield {"n": [batch.num_rows], "size": [batch.nbytes]}
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        texts = spark.range(0, 6_000, 1, 1).select(F.repeat(F.lit("abcdefgh"), F.lit(300)).alias("text"))
+        got = common.arrow_map(texts, work, "n bigint, size bigint").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in got) == 6_000 and max(r["size"] for r in got) < 1.5 * common.BYTES
+
+
+def test_rounds_of_components_have_as_many_parts_as_their_edges_ask_for(spark, monkeypatch):
+    from pageloom.llm import common
+
+    parts, cut, cores = [], common.cut_lineage, spark.sparkContext.defaultParallelism
+
+    def counted(df):
+        out = cut(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "cut_lineage", counted)
+    ways = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in ways}
+    pairs = [(i, i + 1) for i in range(0, 40) if i % 8 != 7] + [(100 + i, 100) for i in range(20)] + [(3, 3), (1, 0)]
+    forest = common.Forest(121)
+    for a, b in pairs:
+        forest.union(a, b)
+    want = {n: forest.find(n) for pair in pairs for n in pair}
+    try:
+        for k, v in ways.items():
+            spark.conf.set(k, v)
+        for edges in (50_000, 1):
+            parts.clear()
+            monkeypatch.setattr(common, "EDGES", edges)
+            got = common.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+            assert sorted((r.node, r.root) for r in got) == sorted(want.items())
+            assert len(parts) > 2 and set(parts[1:]) == {cores if edges > 1 else 24}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_samples_stay_small_where_keys_repeat(spark):
     from pageloom.llm.common import bounded_sample
 
