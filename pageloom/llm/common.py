@@ -149,12 +149,13 @@ def paired_blocks(df: DataFrame, key: str, row: str, size: int) -> DataFrame:
 
     A key of at most ``size`` rows is one item. A larger one is cut into c blocks by a hash
     of ``row``; each row goes to the c items that pair its block with each block, so that every
-    two rows of a key meet in an item and no item outgrows two blocks. Adds ``item`` (bigint)
-    and ``mine`` / ``other`` (the row's block and the block it is paired with).
+    two rows of a key meet in an item and no item outgrows two blocks. The keys that are cut are
+    broadcast: one for ``size`` rows at most. Adds ``item`` (bigint) and ``mine`` / ``other`` (the
+    row's block and the block it is paired with).
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
     c = F.coalesce(F.ceil(F.col("_n") / size).cast("int"), F.lit(1))
-    dealt = df.join(counts, key, "left").withColumn("_c", c).drop("_n")
+    dealt = df.join(F.broadcast(counts), key, "left").withColumn("_c", c).drop("_n")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(row), F.col("_c")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_c")
     return dealt.withColumn("item", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")))

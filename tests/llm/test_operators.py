@@ -396,6 +396,28 @@ def test_rounds_of_components_have_as_many_parts_as_their_edges_ask_for(spark, m
             spark.conf.set(k, v)
 
 
+def test_blocks_are_dealt_without_moving_rows_by_key(spark):
+    from pageloom.llm.common import paired_blocks
+
+    rows = spark.range(0, 3_000, 1, 3).select((F.col("id") % 20 * (F.col("id") % 3)).alias("key"), F.col("id").alias("row"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        dealt = paired_blocks(rows, "key", "row", 100)
+        assert "SortMergeJoin" not in dealt._jdf.queryExecution().executedPlan().toString()
+        items = {}
+        for r in dealt.collect():
+            items.setdefault(r.item, set()).add((r.key, r.row))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.key, []).append(r.row)
+    met = {(k, a, b) for found in items.values() for k, a in found for j, b in found if j == k}
+    assert met == {(k, a, b) for k, own in by.items() for a in own for b in own}
+    assert all(len({k for k, _ in found}) == 1 for found in items.values())
+
+
 def test_samples_stay_small_where_keys_repeat(spark):
     from pageloom.llm.common import bounded_sample
 
