@@ -536,3 +536,29 @@ def test_types_in_lists_and_escapes_are_found_at_any_depth(pages_of):
     block = '<script type="application/ld+json">%s</script>'
     pages = pages_of(block % r'{"@type":"A","x":[{"@type":["B",5,{"@type":"C"}]},{"y":{"@type":"D\"q"}}]}', block % r'{"@type":"A","n":"{\"@type\":\"No\"}","m":{"@type":"E"}}')
     assert [r.t for r in pages.select("page_id", ld_types(F.col("html")).alias("t")).orderBy("page_id").collect()] == [["A", "B", "C", 'D"q'], ["A", "E"]]
+
+
+def _small_tables(spark, folder):
+    """Forty orders of three customers on two boards, as the queries read them."""
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 5)
+    orders = [(i * 10, i % 3, "O", 100.0 + i, day, ("1-URGENT", "2-HIGH")[i % 2]) for i in range(40)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(i, f"C{i}", "M") for i in range(3)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def test_the_steps_of_a_run_read_written_pages_and_a_written_registry(spark, monkeypatch, tmp_path):
+    from pageloom.plans import queries as q
+
+    sf, seen = _small_tables(spark, tmp_path), []
+    monkeypatch.setattr(q.rn, "run", lambda pages, target, registry, *rest: seen.extend([pages, registry]) or {})
+    q._run_second_visit(spark, sf)
+    whole = q.reg.decide
+    monkeypatch.setattr(q.reg, "decide", lambda pages, *rest: seen.append(pages) or whole(pages, *rest))
+    q.drift_status(spark, sf)
+    assert len(seen) == 3 and seen[0].count() == seen[2].count() == 8 and seen[1].count() == 6
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "Join" not in plan and plan.count("FileScan") == 1
