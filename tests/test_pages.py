@@ -562,3 +562,16 @@ def test_the_steps_of_a_run_read_written_pages_and_a_written_registry(spark, mon
     for df in seen:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_attempts_without_faulty_rows_are_not_run_again_for_messages(spark, monkeypatch, tmp_path):
+    from pageloom.plans import queries as q
+
+    asked, whole = [], q.extract_assigned
+    monkeypatch.setattr(q, "extract_assigned", lambda pages, assigned, *args, **more: asked.append(assigned) or whole(pages, assigned, *args, **more))
+    out = {(r.page_id, r.attempt): r.faults for r in q.repair_requests(spark, _small_tables(spark, tmp_path)).collect()}
+    # The first attempt finds no row on any page, the second lacks the company of every row of the odd pages.
+    odd, every = {1, 11, 21, 31}, {10 * block + board for block in range(4) for board in (1, 2)}
+    assert {(r.page_id, r.attempt) for r in asked[0].collect()} == {(page, 2) for page in odd}
+    assert set(out) == {(page, 1) for page in every} | {(page, 2) for page in odd}
+    assert all('"rows":[]' in out[page, 1] for page in every) and all('"company[4]: Input should be a valid string"' in out[page, 2] for page in odd)
