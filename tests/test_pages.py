@@ -575,3 +575,31 @@ def test_attempts_without_faulty_rows_are_not_run_again_for_messages(spark, monk
     assert {(r.page_id, r.attempt) for r in asked[0].collect()} == {(page, 2) for page in odd}
     assert set(out) == {(page, 1) for page in every} | {(page, 2) for page in odd}
     assert all('"rows":[]' in out[page, 1] for page in every) and all('"company[4]: Input should be a valid string"' in out[page, 2] for page in odd)
+
+
+def test_types_are_read_off_the_text_of_a_block_without_escapes(pages_of):
+    from pageloom.operators.jsonld import ld_types
+
+    block = '<script type="application/ld+json">%s</script>'
+    texts = ['{ "@type"\n:\t"X y", "a": ", ", "b": [{"@type":{"@type":"In"}}]}', '{"@type":["L",{"@type":"M"}]}', r'{"\u0040type":"U","x":{"@type":"a\/b"}}', '{"@type":"A"} x', '"@type"']
+    out = pages_of(*[block % t for t in texts]).select("page_id", ld_types(F.col("html")).alias("t"))
+    assert [r.t for r in out.orderBy("page_id").collect()] == [["In", "X y"], ["L", "M"], ["U", "a/b"], ["<unparsed-ld>"], []]
+    assert "Contains(" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_and_numbers_of_their_own_kind_are_checked_without_lambdas(spark):
+    import re
+
+    from pageloom.functions.coerce import check_value
+    from pageloom.model import ItemField
+
+    cells = spark.createDataFrame([(0, "1", "str"), (1, None, "str"), (2, "7", "int"), (3, "x", "absent"), (4, "2.0", "float"), (5, None, None)], "i int, v string, k string")
+    for kind, own, want in (
+        ("str", "str", [("1", None), (None, "Input should be a valid string"), (None, "Input should be a valid string"), (None, "Input should be a valid string"),
+                        (None, "Input should be a valid string"), (None, "Input should be a valid string")]),
+        ("int", "int", [(1, None), (None, "Input should be a valid integer"), (7, None), (None, "Unable to parse input string as an integer, exceeded maximum size"),
+                        (2, None), (None, "Input should be a valid integer")]),
+    ):
+        out = cells.select("i", check_value(ItemField("f", kind), F.col("v"), F.col("k")).alias("c"))
+        assert [tuple(r.c) for r in out.orderBy("i").collect()] == want
+        assert re.search(rf"\(k#\d+ = {own}\)", out._jdf.queryExecution().analyzed().toString())
